@@ -1,176 +1,146 @@
-"""Decoding of 32-byte ABI words, as Column expressions over 64 hex characters.
+"""Decoding of 32-byte ABI words, as Spark SQL expressions over 64 hex characters.
 
-Every builder stays in the JVM. Words are taken without their ``0x`` prefix and
-in lowercase; narrow types look only at their own low bytes.
+A word is named by a SQL operand: a column, or a field of a lambda variable, so
+that the same text serves a projection and a filter inside an array. Words come
+without ``0x`` and in lowercase; narrow types look only at their own low bytes.
+Nothing here leaves the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from eventloom.config import INTEGER_TYPES, spark_type
 
 ZERO_WORD = "0" * 64
+# The largest word stands for "no limit" in most allowances, so it gets a shortcut.
+FULL_WORD = "f" * 64
+
+# Digits of 2^192, 2^128, 2^64 and 1 in base 10^18, one row per digit, lowest first.
+POWER_DIGITS = [
+    [2 ** (64 * k) // 10 ** (18 * j) % 10**18 for k in (3, 2, 1, 0)] for j in range(5)
+]
+POWERS = "array({})".format(
+    ", ".join(
+        "array({})".format(", ".join(f"CAST({c}BD AS DECIMAL(18,0))" for c in row)) for row in POWER_DIGITS
+    )
+)
+BASE = f"CAST({10**18}BD AS DECIMAL(19,0))"
+ZERO = "CAST(0 AS DECIMAL(38,0))"
 
 
-def _decimal(text: str, precision: int) -> Column:
-    return F.lit(text).cast(f"decimal({precision},0)")
+def topic_word(topic: str) -> str:
+    return f"lower(substring({topic}, 3, 64))"
 
 
-def _low(word: Column, digits: int) -> Column:
-    return F.substring(word, 65 - digits, digits)
+def data_word(data: str, position: int) -> str:
+    return f"lower(substring({data}, {3 + 64 * position}, 64))"
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _low(word: str, digits: int) -> str:
+    return f"substring({word}, {65 - digits}, {digits})"
 
 
-def _quarter(word: Column, n: int) -> Column:
-    """The n-th 64-bit quarter of a word, most significant first."""
-    return F.conv(F.substring(word, 1 + 16 * n, 16), 16, 10).cast("decimal(20,0)")
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` over a name for ``value``, which is computed once however often it is used."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-# Digits of 2^192, 2^128, 2^64 and 1 in base 10^18, one row per digit, lowest first.
-POWER_DIGITS = [
-    [2 ** (64 * k) // 10 ** (18 * j) % 10**18 for k in (3, 2, 1, 0)] for j in range(5)
-]
+def _quarter(word: str, start: int | str) -> str:
+    """The 64-bit quarter of a word that starts at a character position."""
+    return f"CAST(conv(substring({word}, {start}, 16), 16, 10) AS DECIMAL(20,0))"
 
 
-def _wide_text(word: Column) -> Column:
+def _wide_text(word: str) -> str:
     """Decimal text of a 256-bit unsigned word.
 
     Each base-10^18 digit before carrying is a sum of four products below
     1.9e19 * 1e18, so it fits DECIMAL(38); one fold over the five digits carries.
     """
-    base = _decimal(str(10**18), 19)
-
-    def digit(quarters: Column, row: list[int]) -> Column:
-        terms = [quarters[n] * _decimal(str(c), 18) for n, c in enumerate(row) if c]
-        return reduce(lambda a, b: a + b, terms, _decimal("0", 38)).cast("decimal(38,0)")
-
-    def carry(state: Column, value: Column) -> Column:
-        total = (value + state["carry"]).cast("decimal(38,0)")
-        rest = (total % base).cast("decimal(18,0)")
-        return F.struct(
-            ((total - rest) / base).cast("decimal(38,0)").alias("carry"),
-            F.concat(F.lpad(rest.cast("string"), 18, "0"), state["text"]).alias("text"),
-        )
-
-    def folded(quarters: Column) -> Column:
-        return F.aggregate(
-            F.array(*[digit(quarters, row) for row in POWER_DIGITS]),
-            F.struct(_decimal("0", 38).alias("carry"), F.lit("").alias("text")),
-            carry,
-            lambda s: F.ltrim(s["text"], F.lit("0")),
-        )
-
-    return _bind(F.array(*[_quarter(word, n) for n in range(4)]), folded)
+    quarters = f"transform(array(1, 17, 33, 49), q_start -> {_quarter(word, 'q_start')})"
+    digits = _bound(
+        quarters,
+        "quarters",
+        f"""transform({POWERS}, power -> aggregate(
+            zip_with(quarters, power, (q, c) -> q * c), {ZERO},
+            (total, product) -> CAST(total + product AS DECIMAL(38,0))))""",
+    )
+    return f"""aggregate({digits}, struct({ZERO} AS carry, '' AS text),
+        (state, digit) -> struct(
+            CAST((digit + state.carry - (digit + state.carry) % {BASE}) / {BASE} AS DECIMAL(38,0)) AS carry,
+            concat(lpad(CAST(CAST((digit + state.carry) % {BASE} AS DECIMAL(18,0)) AS STRING), 18, '0'),
+                   state.text) AS text),
+        state -> trim(LEADING '0' FROM state.text))"""
 
 
-def unsigned_text(word: Column) -> Column:
+def unsigned_text(word: str) -> str:
     """Decimal text of an unsigned word, by the cheapest arithmetic its size allows."""
-    small = F.conv(F.substring(word, 49, 16), 16, 10)
-    # Below 2^126 the number itself fits DECIMAL(38).
-    medium = (_quarter(word, 2) * _decimal(str(2**64), 20) + _quarter(word, 3)).cast("decimal(38,0)")
-    return (
-        F.when(F.substring(word, 1, 48) == "0" * 48, small)
-        .when(
-            (F.substring(word, 1, 32) == "0" * 32) & (F.substring(word, 33, 1) < "4"),
-            medium.cast("string"),
-        )
-        .otherwise(_wide_text(word))
-    )
+    return f"""CASE
+        WHEN substring({word}, 1, 48) = '{"0" * 48}' THEN conv(substring({word}, 49, 16), 16, 10)
+        WHEN substring({word}, 1, 32) = '{"0" * 32}' AND substring({word}, 33, 1) < '4'
+        THEN CAST({_quarter(word, 33)} * {2**64}BD + {_quarter(word, 49)} AS STRING)
+        WHEN {word} = '{FULL_WORD}' THEN '{2**256 - 1}'
+        ELSE {_wide_text(word)} END"""
 
 
-def _is_negative(word: Column, bits: int) -> Column:
-    return F.substring(word, 65 - bits // 4, 1) >= "8"
+def _is_negative(word: str, bits: int) -> str:
+    return f"substring({word}, {65 - bits // 4}, 1) >= '8'"
 
 
-def _extended(word: Column, bits: int, signed: bool) -> Column:
+def _extended(word: str, bits: int, signed: bool) -> str:
     """The low bits of a word, widened back to 256 bits."""
     if bits == 256:
         return word
     pad = 64 - bits // 4
-    zeros = F.lit("0" * pad)
-    fill = F.when(_is_negative(word, bits), F.lit("f" * pad)).otherwise(zeros) if signed else zeros
-    return F.concat(fill, _low(word, bits // 4))
+    fill = f"'{'0' * pad}'"
+    if signed:
+        fill = f"CASE WHEN {_is_negative(word, bits)} THEN '{'f' * pad}' ELSE {fill} END"
+    return f"concat({fill}, {_low(word, bits // 4)})"
 
 
-def _negated(word: Column) -> Column:
+def _negated(word: str) -> str:
     """Two's complement of a word: trailing zeros stay, the last other digit is 16 minus itself."""
+    turned = """concat(
+        translate(substring(head, 1, length(head) - 1), '0123456789abcdef', 'fedcba9876543210'),
+        translate(substring(head, -1, 1), '123456789abcdef', 'fedcba987654321'))"""
+    return f"rpad({_bound(f'''trim(TRAILING '0' FROM {word})''', 'head', turned)}, 64, '0')"
 
-    def turned(head: Column) -> Column:
-        return F.concat(
-            F.translate(
-                F.substring(head, F.lit(1), F.length(head) - 1), "0123456789abcdef", "fedcba9876543210"
-            ),
-            F.translate(F.substring(head, -1, 1), "123456789abcdef", "fedcba987654321"),
-        )
 
-    return F.rpad(_bind(F.rtrim(word, F.lit("0")), turned), 64, "0")
-
-
-def integer_text(word: Column, bits: int, signed: bool) -> Column:
+def integer_text(word: str, bits: int, signed: bool) -> str:
     """Decimal text of an ABI integer."""
     if bits <= 64:
-        low = _low(word, bits // 4)
+        plain = f"conv({_low(word, bits // 4)}, 16, 10)"
         if not signed:
-            return F.conv(low, 16, 10)
-        fill = F.lit("f" * (16 - bits // 4))
-        return F.when(_is_negative(word, bits), F.conv(F.concat(fill, low), 16, -10)).otherwise(
-            F.conv(low, 16, 10)
-        )
+            return plain
+        extended = f"concat('{'f' * (16 - bits // 4)}', {_low(word, bits // 4)})"
+        return f"CASE WHEN {_is_negative(word, bits)} THEN conv({extended}, 16, -10) ELSE {plain} END"
     full = _extended(word, bits, signed)
     if not signed:
         return unsigned_text(full)
-    return F.when(
-        _is_negative(word, bits),
-        F.concat(F.lit("-"), _bind(_negated(full), unsigned_text)),
-    ).otherwise(unsigned_text(full))
-
+    magnitude = _bound(_negated(full), "magnitude", unsigned_text("magnitude"))
+    return f"""CASE WHEN {_is_negative(word, bits)} THEN concat('-', {magnitude})
+        ELSE {unsigned_text(full)} END"""
 
-def address_text(word: Column) -> Column:
-    return F.concat(F.lit("0x"), _low(word, 40))
 
-
-def bool_text(word: Column) -> Column:
-    return F.when(word != ZERO_WORD, "true").otherwise("false")
-
-
-def _dynamic_text(word: Column, prefix: str) -> Column:
+def _dynamic_text(word: str, prefix: str) -> str:
     # One word can hold a dynamic value only when it is all zero: an empty one.
-    return F.when(word == ZERO_WORD, "").otherwise(F.concat(F.lit(prefix), word))
+    return f"CASE WHEN {word} = '{ZERO_WORD}' THEN '' ELSE concat('{prefix}', {word}) END"
 
 
-def word_text(abi_type: str, word: Column) -> Column:
+def word_text(abi_type: str, word: str) -> str:
     """The decoded value of a word as text; unknown types keep their hex."""
     if abi_type in INTEGER_TYPES:
         signed, bits = INTEGER_TYPES[abi_type]
         return integer_text(word, bits, signed)
     if abi_type == "address":
-        return address_text(word)
+        return f"concat('0x', {_low(word, 40)})"
     if abi_type == "bool":
-        return bool_text(word)
+        return f"CASE WHEN {word} <> '{ZERO_WORD}' THEN 'true' ELSE 'false' END"
     if abi_type == "bytes":
         return _dynamic_text(word, "")
     if abi_type == "string":
         return _dynamic_text(word, "0x")
-    return F.concat(F.lit("0x"), word)
+    return f"concat('0x', {word})"
 
 
-def word_value(abi_type: str, word: Column) -> Column:
+def word_value(abi_type: str, word: str) -> str:
     """The decoded value of a word in its table type."""
-    return word_text(abi_type, word).cast(spark_type(abi_type))
-
-
-def topic_word(topic: Column) -> Column:
-    return F.lower(F.substring(topic, 3, 64))
-
-
-def data_word(data: Column, position: int) -> Column:
-    return F.lower(F.substring(data, 3 + 64 * position, 64))
+    return f"CAST({word_text(abi_type, word)} AS {spark_type(abi_type).simpleString()})"

@@ -8,8 +8,6 @@ with a hit travel to the header join.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,34 +39,23 @@ STAGED_COLUMNS = [
 def with_hits(receipts: DataFrame, events: Sequence[Event]) -> DataFrame:
     """Receipts with at least one wanted log, and the wanted logs of every event in ``hits``."""
     split = "first_log" in receipts.columns
-    first = F.col("first_log") if split else F.lit(0).cast("bigint")
+    first = "first_log" if split else "0L"
     kept = ["block_number", "transaction_index", "tx_hash"]
     kept += [c for c in ("block_log_start", "first_log", "whole") if c in receipts.columns]
 
-    def wanted(log: Column) -> Column:
-        return reduce(or_, [log_matches(log, m, item) for _, m, item in events])
-
-    def numbered(log: Column, i: Column) -> Column:
-        return F.struct(
-            log["address"].alias("address"),
-            log["topics"].alias("topics"),
-            log["data"].alias("data"),
-            (first + i).alias("position"),
-        )
-
-    def hits_of(key: int, mapping: ContractMapping, item: AbiItem) -> Column:
-        mine = F.filter("numbered", lambda log: log_matches(log, mapping, item))
-        return F.transform(
-            mine,
-            lambda log, i: F.struct(
-                F.lit(key).alias("event_key"), i.cast("bigint").alias("log_index"), log.alias("log")
-            ),
-        )
-
-    rows = receipts.where(F.exists("logs", wanted)).select(
-        *kept, F.transform("logs", numbered).alias("numbered")
+    wanted = " OR ".join(log_matches("log", m, item) for _, m, item in events)
+    numbered = f"""transform(logs, (log, i) -> named_struct(
+        'address', log.address, 'topics', log.topics, 'data', log.data, 'position', {first} + i))"""
+    hits = [
+        f"""transform(filter(numbered, log -> {log_matches("log", m, item)}),
+            (log, i) -> named_struct('event_key', {key}, 'log_index', CAST(i AS BIGINT), 'log', log))"""
+        for key, m, item in events
+    ]
+    rows = (
+        receipts.where(f"exists(logs, log -> {wanted})")
+        .select(*kept, F.expr(numbered).alias("numbered"))
+        .select(*kept, F.expr(f"concat({', '.join(hits)})").alias("hits"))
     )
-    rows = rows.select(*kept, F.concat(*[hits_of(*e) for e in events]).alias("hits"))
     return _continue_ordinals(rows, events) if split else rows
 
 
@@ -77,6 +64,10 @@ def _continue_ordinals(rows: DataFrame, events: Sequence[Event]) -> DataFrame:
 
     Only counts go through the window, one small row per stored row.
     """
+
+    def hits_of(key: int) -> Column:
+        return F.size(F.filter("hits", lambda hit: hit["event_key"] == key)).cast("bigint")
+
     split = rows.where(~F.col("whole"))
     earlier = (
         Window.partitionBy("tx_hash").orderBy("first_log").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,10 +75,7 @@ def _continue_ordinals(rows: DataFrame, events: Sequence[Event]) -> DataFrame:
     counts = split.select(
         "tx_hash",
         "first_log",
-        *[
-            F.size(F.filter("hits", lambda h, k=key: h["event_key"] == k)).cast("bigint").alias(f"n{key}")
-            for key, _, _ in events
-        ],
+        *[hits_of(key).alias(f"n{key}") for key, _, _ in events],
     )
     starts = counts.select(
         "tx_hash",
@@ -163,10 +151,10 @@ def row_id(mapping: ContractMapping, item: AbiItem) -> Column:
     )
 
 
-def _word_columns(item: AbiItem) -> dict[str, Column]:
+def _words(item: AbiItem) -> dict[str, str]:
     """The word of every input: topics for indexed ones, data words for the others."""
-    words = {i.name: topic_word(F.col(f"topic{n + 1}")) for n, i in enumerate(item.indexed)}
-    words.update({i.name: data_word(F.col("data"), n) for n, i in enumerate(item.plain)})
+    words = {i.name: topic_word(f"topic{n + 1}") for n, i in enumerate(item.indexed)}
+    words.update({i.name: data_word("data", n) for n, i in enumerate(item.plain)})
     return words
 
 
@@ -175,7 +163,7 @@ def event_rows(staged: DataFrame, event: Event) -> DataFrame:
     key, mapping, item = event
     item.schema()
     # Words are columns of their own first: decoding looks at a word several times.
-    words = {f"_{name}": word for name, word in _word_columns(item).items()}
+    words = {f"_{name}": F.expr(word) for name, word in _words(item).items()}
     last = [c for c in (BLOCK_LOG_INDEX,) if c in staged.columns]
     return staged.where(F.col("event_key") == key).withColumns(words).select(
         row_id(mapping, item).alias("indexed_id"),
@@ -187,7 +175,7 @@ def event_rows(staged: DataFrame, event: Event) -> DataFrame:
         "topic2",
         "topic3",
         "data",
-        *[word_value(i.type, F.col(f"_{i.name}")).alias(i.name) for i in item.columns],
+        *[F.expr(word_value(i.type, f"`_{i.name}`")).alias(i.name) for i in item.columns],
         "tx_hash",
         "block_number",
         "block_hash",

@@ -1,32 +1,38 @@
-"""Predicates that decide which logs an event table takes."""
+"""Predicates that decide which logs an event table takes.
+
+They are Spark SQL texts over named operands, so that one definition filters log
+rows and the logs nested in a receipt alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.config import AbiItem, ConfigError, ContractMapping, JobConfig
 from eventloom.functions.words import data_word, topic_word, word_text
 
 
-def address_in(address: Column, addresses: Sequence[str]) -> Column:
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def address_in(address: str, addresses: Sequence[str]) -> str:
     """Contract filter; no addresses means every contract."""
     if not addresses:
-        return F.lit(True)
-    return F.lower(address).isin(*[a.lower() for a in addresses])
+        return "true"
+    return f"lower({address}) IN ({', '.join(_literal(a.lower()) for a in addresses)})"
 
 
-def topic_arity(topics: Column, item: AbiItem) -> Column:
-    return F.size(topics) == 1 + len(item.indexed)
+def topic_arity(topics: str, item: AbiItem) -> str:
+    return f"size({topics}) = {1 + len(item.indexed)}"
 
 
-def data_arity(data: Column, item: AbiItem) -> Column:
+def data_arity(data: str, item: AbiItem) -> str:
     """As many whole 32-byte words as plain inputs; a shorter tail is ignored."""
-    return F.floor((F.length(data) - 2) / 64) == len(item.plain)
+    return f"floor((length({data}) - 2) / 64) = {len(item.plain)}"
 
 
 def java_pattern(pattern: str) -> str:
@@ -37,34 +43,31 @@ def java_pattern(pattern: str) -> str:
     return "(?iU)" + pattern
 
 
-def patterns_match(topics: Column, data: Column, item: AbiItem) -> Column:
-    tests = [F.lit(True)]
-    for words, inputs in (
-        (lambda n: topic_word(F.get(topics, F.lit(n + 1))), item.indexed),
-        (lambda n: data_word(data, n), item.plain),
-    ):
-        for n, i in enumerate(inputs):
-            if i.pattern is not None:
-                tests.append(word_text(i.type, words(n)).rlike(java_pattern(i.pattern)))
-    return reduce(and_, tests)
+def patterns_match(topics: str, data: str, item: AbiItem) -> list[str]:
+    words = [(i, topic_word(f"get({topics}, {n + 1})")) for n, i in enumerate(item.indexed)]
+    words += [(i, data_word(data, n)) for n, i in enumerate(item.plain)]
+    return [
+        f"{word_text(i.type, word)} RLIKE {_literal(java_pattern(i.pattern))}"
+        for i, word in words
+        if i.pattern is not None
+    ]
 
 
-def event_matches(log: Column, item: AbiItem) -> Column:
+def event_matches(item: AbiItem, topics: str = "topics", data: str = "data") -> str:
     """Signature, topic count, data length and value patterns of one event."""
     tests = [
-        F.get(log["topics"], F.lit(0)) == item.topic0,
-        topic_arity(log["topics"], item),
-        data_arity(log["data"], item),
+        f"get({topics}, 0) = '{item.topic0}'",
+        topic_arity(topics, item),
+        data_arity(data, item),
+        *patterns_match(topics, data, item),
     ]
-    if any(i.pattern is not None for i in item.inputs):
-        tests.append(patterns_match(log["topics"], log["data"], item))
-    return reduce(and_, tests)
+    return " AND ".join(f"({t})" for t in tests)
 
 
-def log_matches(log: Column, mapping: ContractMapping, item: AbiItem) -> Column:
-    if not mapping.addresses:
-        return event_matches(log, item)
-    return address_in(log["address"], mapping.addresses) & event_matches(log, item)
+def log_matches(log: str, mapping: ContractMapping, item: AbiItem) -> str:
+    """Whether a nested log, named by a lambda variable, belongs to an event of a mapping."""
+    event = event_matches(item, f"{log}.topics", f"{log}.data")
+    return f"({address_in(f'{log}.address', mapping.addresses)} AND {event})"
 
 
 def route_events(logs: DataFrame, items: Sequence[AbiItem]) -> DataFrame:

@@ -313,7 +313,7 @@ def event_gates(spark, sf_dir):
     f"""WITH {RAW} SELECT tx_hash, log_position, address, data FROM raw WHERE l_returnflag IN ('A', 'N')""",
 )
 def filter_address(spark, sf_dir):
-    raw = _raw(spark, sf_dir).where(address_in(F.col("address"), PAIR.addresses))
+    raw = _raw(spark, sf_dir).where(address_in("address", PAIR.addresses))
     return raw.select("tx_hash", "log_position", "address", "data")
 
 
@@ -335,10 +335,9 @@ def txs_left_with_logs(spark, sf_dir):
     AND l_linenumber NOT IN (6, 7)""",
 )
 def match_event(spark, sf_dir):
-    log = F.struct("address", "topics", "data")
     return (
         _raw(spark, sf_dir)
-        .where(event_matches(log, TRANSFER))
+        .where(event_matches(TRANSFER))
         .select("tx_hash", "log_position", "address", F.get("topics", F.lit(0)).alias("topic0"), "data")
     )
 
@@ -349,7 +348,7 @@ def match_event(spark, sf_dir):
     FROM raw WHERE l_linenumber <> 7""",
 )
 def topic_arities(spark, sf_dir):
-    raw = _raw(spark, sf_dir).where(topic_arity(F.col("topics"), TRANSFER))
+    raw = _raw(spark, sf_dir).where(topic_arity("topics", TRANSFER))
     return raw.select("tx_hash", "log_position", F.concat_ws(",", "topics").alias("topics"))
 
 
@@ -358,7 +357,7 @@ def topic_arities(spark, sf_dir):
     f"WITH {RAW} SELECT tx_hash, log_position, data FROM raw WHERE l_linenumber <> 6",
 )
 def data_arities(spark, sf_dir):
-    raw = _raw(spark, sf_dir).where(data_arity(F.col("data"), TRANSFER))
+    raw = _raw(spark, sf_dir).where(data_arity("data", TRANSFER))
     return raw.select("tx_hash", "log_position", "data")
 
 
