@@ -54,9 +54,8 @@ def get_event_logs(
 def get_logs_by_table(logs: DataFrame, filters: DataFrame, max_hits: int = MAX_LOGS) -> DataFrame:
     """The first hits of every filter of a filter table."""
     order = [c for c in HIT_ORDER if c in logs.columns]
-    return first_per_group(
-        match_filter_table(logs, filters), ["filter_id"], order, ["tx_hash", "log_index"], max_hits
-    )
+    matches = match_filter_table(logs, filters, enough=max_hits)
+    return first_per_group(matches, ["filter_id"], order, ["tx_hash", "log_index"], max_hits)
 
 
 def _hex(text: Column) -> Column:

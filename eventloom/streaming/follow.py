@@ -1,0 +1,51 @@
+"""Keeping event tables up to date as new receipt files arrive.
+
+Decoding has no state, so each batch of new files is decoded like a range of
+its own; the stream's checkpoint remembers which files are done.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from eventloom.config import ConfigError, JobConfig
+from eventloom.operators.decode import event_tables, stage_events
+from eventloom.operators.match import check_patterns
+from eventloom.session import scratch_path
+from eventloom.sources.chain import in_block_range
+
+
+def follow(
+    spark: SparkSession,
+    config: JobConfig,
+    headers_path: str,
+    receipts_path: str,
+    output: str,
+    checkpoint: str,
+) -> None:
+    """Decodes every receipt file not seen before, then returns.
+
+    Each batch owns a folder per table, which a repeated batch replaces.
+    """
+    check_patterns(spark, config)
+    schema = spark.read.parquet(receipts_path).schema
+    if "first_log" in schema.fieldNames():
+        raise ConfigError("a followed transaction must come in one row")
+    events = config.events()
+
+    def deliver(batch: DataFrame, batch_id: int) -> None:
+        headers = in_block_range(spark.read.parquet(headers_path), config.from_block, config.to_block)
+        path = scratch_path(spark, f"batch-{batch_id}")
+        stage_events(batch, headers, events).write.parquet(path)
+        for table, rows in event_tables(spark.read.parquet(path), events).items():
+            rows.write.mode("overwrite").parquet(f"{output}/{table}/batch={batch_id}")
+
+    receipts = spark.readStream.schema(schema).parquet(receipts_path)
+    query = (
+        in_block_range(receipts, config.from_block, config.to_block)
+        .writeStream.trigger(availableNow=True)
+        .option("checkpointLocation", checkpoint)
+        .foreachBatch(deliver)
+        .start()
+    )
+    query.awaitTermination()
