@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 TABLES = "nation region supplier orders lineitem".split()
 
 
+@pytest.fixture(autouse=True)
+def no_coalescing(spark):
+    """Keeps small shuffles in several partitions, as large ones are."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.fixture(scope="module")
 def skewed(tmp_path_factory):
     from datetime import datetime, timedelta
