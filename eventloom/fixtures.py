@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from eventloom.config import AbiInput, AbiItem, ContractMapping, JobConfig
 from eventloom.functions.bloom import bloom_of_bits
 from eventloom.functions.keccak import bloom_bits_column
+from eventloom.operators.decode import decode
 from eventloom.operators.running import running_totals
 from eventloom.plans.logs import union_logs
-from eventloom.plans.sync import decode
 from eventloom.session import scratch_path
 from eventloom.sinks.tables import ParquetSink, configured_tables
 from eventloom.sources.chain import TX_ID_SPAN, raw_logs, tx_ordinals

@@ -7,7 +7,7 @@ with a hit travel to the header join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,13 +137,14 @@ def stage_events(receipts: DataFrame, headers: DataFrame, events: Sequence[Event
     return rows.select(*selected)
 
 
-def row_id(mapping: ContractMapping, item: AbiItem) -> Column:
+def row_id(group: Sequence[Event]) -> Column:
     """An id that a repeated or retried run gives again."""
+    scopes = [F.when(F.col("event_key") == key, ",".join(m.addresses)) for key, m, _ in group]
     return F.sha2(
         F.concat_ws(
             "|",
-            F.lit(item.signature),
-            F.lit(",".join(mapping.addresses)),
+            F.lit(group[0][2].signature),
+            F.coalesce(*scopes),
             F.col("tx_hash"),
             F.col("log_index").cast("string"),
         ),
@@ -158,15 +159,24 @@ def _words(item: AbiItem) -> dict[str, str]:
     return words
 
 
-def event_rows(staged: DataFrame, event: Event) -> DataFrame:
-    """The typed table rows of one event."""
-    key, mapping, item = event
+def by_item(events: Sequence[Event]) -> list[list[Event]]:
+    """Events of different mappings that decode alike, together."""
+    groups: dict[AbiItem, list[Event]] = {}
+    for event in events:
+        groups.setdefault(event[2], []).append(event)
+    return list(groups.values())
+
+
+def event_rows(staged: DataFrame, group: Sequence[Event]) -> DataFrame:
+    """The typed table rows of one event, for every mapping that lists it."""
+    item = group[0][2]
     item.schema()
     # Words are columns of their own first: decoding looks at a word several times.
     words = {f"_{name}": F.expr(word) for name, word in _words(item).items()}
     last = [c for c in (BLOCK_LOG_INDEX,) if c in staged.columns]
-    return staged.where(F.col("event_key") == key).withColumns(words).select(
-        row_id(mapping, item).alias("indexed_id"),
+    mine = staged.where(F.col("event_key").isin(*[key for key, _, _ in group]))
+    return mine.withColumns(words).select(
+        row_id(group).alias("indexed_id"),
         "contract_address",
         "log_index",
         "transaction_index",
@@ -184,13 +194,24 @@ def event_rows(staged: DataFrame, event: Event) -> DataFrame:
     )
 
 
-def event_tables(staged: DataFrame, events: Sequence[Event]) -> dict[str, DataFrame]:
-    """One frame per table; events that share a table are all kept, repeats included."""
+def union_by_table(frames: Iterable[tuple[str, DataFrame]]) -> dict[str, DataFrame]:
+    """One frame per table; what several events feed into it is all kept, repeats included."""
     tables: dict[str, DataFrame] = {}
-    for event in events:
-        rows = event_rows(staged, event)
-        known = tables.get(event[2].table)
-        tables[event[2].table] = (
-            rows if known is None else known.unionByName(rows, allowMissingColumns=True)
-        )
+    for table, rows in frames:
+        known = tables.get(table)
+        tables[table] = rows if known is None else known.unionByName(rows, allowMissingColumns=True)
     return tables
+
+
+def event_tables(staged: DataFrame, events: Sequence[Event]) -> dict[str, DataFrame]:
+    """The event tables over logs that were staged once for all events."""
+    return union_by_table((g[0][2].table, event_rows(staged, g)) for g in by_item(events))
+
+
+def decode(
+    receipts: DataFrame, headers: DataFrame, events: Sequence[Event]
+) -> dict[str, DataFrame]:
+    """The event tables as lazy plans over the chain tables; each scan looks for its own event only."""
+    return union_by_table(
+        (g[0][2].table, event_rows(stage_events(receipts, headers, g), g)) for g in by_item(events)
+    )

@@ -11,14 +11,16 @@ SALTS = 64
 
 
 def first_per_group(
-    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], spread: Sequence[str], k: int
+    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int
 ) -> DataFrame:
     """The first ``k`` rows of every group in order.
 
     A group is ranked in salted shares first, so a hot group is spread over many
-    tasks and only ``SALTS * k`` of its rows meet in the final ranking.
+    tasks and only ``SALTS * k`` of its rows meet in the final ranking. All rows of
+    an input partition share a salt, so Spark cuts each partition to ``k`` rows per
+    group before it shuffles anything.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.spark_partition_id() % SALTS)
     share = Window.partitionBy(*group, "_salt").orderBy(*order)
     total = Window.partitionBy(*group).orderBy(*order)
     return (

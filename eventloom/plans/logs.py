@@ -18,11 +18,9 @@ MAX_LOGS = 1000
 MAX_BLOCK_LOGS = 10000
 MAX_RECEIPT_LOGS = 1000
 
+MAX_TEXT = 2**31 - 1
 LOG_COLUMNS = [*LEADING_COLUMNS, *TRAILING_COLUMNS]
 HIT_ORDER = ["block_number", "log_index", "transaction_index", "event", "indexed_id"]
-HASH = r"^(0x)?[0-9a-fA-F]{64}\z"
-ADDRESS = r"^(0x)?[0-9a-fA-F]{40}\z"
-BYTES = r"^(0x)?([0-9a-fA-F]{2})*\z"
 
 
 def union_logs(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -55,11 +53,23 @@ def get_logs_by_table(logs: DataFrame, filters: DataFrame, max_hits: int = MAX_L
     """The first hits of every filter of a filter table."""
     order = [c for c in HIT_ORDER if c in logs.columns]
     matches = match_filter_table(logs, filters, enough=max_hits)
-    return first_per_group(matches, ["filter_id"], order, ["tx_hash", "log_index"], max_hits)
+    return first_per_group(matches, ["filter_id"], order, max_hits)
+
+
+def _digits(text: Column) -> Column:
+    return F.when(F.substring(text, 1, 2) == "0x", F.substring(text, 3, MAX_TEXT)).otherwise(text)
+
+
+def _is_hex(text: Column, size: int | None = None) -> Column:
+    """Whether a text is hex of so many bytes, with or without 0x; false for null."""
+    digits = _digits(text)
+    length = F.length(digits)
+    fits = length % 2 == 0 if size is None else length == 2 * size
+    return F.coalesce(fits & F.unhex(digits).isNotNull(), F.lit(False))
 
 
 def _hex(text: Column) -> Column:
-    return F.concat(F.lit("0x"), F.lower(F.regexp_replace(text, "^0x", "")))
+    return F.concat(F.lit("0x"), F.lower(_digits(text)))
 
 
 def valid_logs(hits: DataFrame) -> DataFrame:
@@ -68,16 +78,16 @@ def valid_logs(hits: DataFrame) -> DataFrame:
     Takes the fields as they come from documents and adds ``topics``.
     """
     required = (
-        F.col("contract_address").rlike(ADDRESS)
-        & F.col("tx_hash").rlike(HASH)
-        & F.col("block_hash").rlike(HASH)
-        & F.col("data").rlike(BYTES)
+        _is_hex(F.col("contract_address"), 20)
+        & _is_hex(F.col("tx_hash"), 32)
+        & _is_hex(F.col("block_hash"), 32)
+        & _is_hex(F.col("data"))
         & (F.col("block_number") >= 0)
         & (F.col("transaction_index") >= 0)
         & (F.col("log_index") >= 0)
     )
-    topics = F.transform(
-        F.filter(F.array(*TOPIC_COLUMNS), lambda t: F.coalesce(t.rlike(HASH), F.lit(False))), _hex
+    topics = F.array_compact(
+        F.array(*[F.when(_is_hex(F.col(t), 32), _hex(F.col(t))) for t in TOPIC_COLUMNS])
     )
     others = [c for c in hits.columns if c not in TOPIC_COLUMNS]
     fixed = {c: _hex(F.col(c)).alias(c) for c in ("contract_address", "tx_hash", "block_hash", "data")}

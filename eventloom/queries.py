@@ -17,7 +17,7 @@ from eventloom.config import AbiInput, AbiItem, ContractMapping, JobConfig
 from eventloom.functions.bloom import bloom_has, event_gate, mapping_gate
 from eventloom.functions.keccak import checksum_address
 from eventloom.functions.text import epoch_seconds, hex_quantity, rfc3339
-from eventloom.operators.decode import Event, stage_events
+from eventloom.operators.decode import Event, decode, stage_events
 from eventloom.operators.filters import LogFilter
 from eventloom.operators import match
 from eventloom.operators.match import address_in, data_arity, event_matches, topic_arity
@@ -32,7 +32,7 @@ from eventloom.plans.logs import (
     matching_logs,
     valid_logs,
 )
-from eventloom.plans.sync import bounded, decode
+from eventloom.plans.sync import bounded
 from eventloom.session import scratch_path
 from eventloom.sinks import tables
 from eventloom.sinks.tables import BUCKET_BLOCKS, CsvSink, ParquetSink

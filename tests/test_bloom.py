@@ -4,8 +4,8 @@ from chains import AA, BB, CC, HEADERS, RECEIPTS, TRANSFER, header, item, rows,
 from eventloom.config import ContractMapping, JobConfig
 from eventloom.functions.bloom import bloom_has, bloom_of_bits, event_gate, mapping_gate
 from eventloom.functions.keccak import bloom_bits, bloom_bits_column
+from eventloom.operators.decode import decode
 from eventloom.operators.transfers import native_transfers
-from eventloom.plans.sync import decode
 from pyspark.sql import functions as F
 
 OTHER = item("Other", ("v", "uint256", False))

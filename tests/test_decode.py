@@ -5,8 +5,9 @@ import pytest
 
 from chains import AA, BB, CC, HEADERS, RECEIPTS, SPLIT, TRANSFER, header, item, rows, transfer, tx, word
 from eventloom.config import ContractMapping, JobConfig
+from eventloom.operators.decode import decode
 from eventloom.operators.transfers import ZERO_ADDRESS, native_transfers
-from eventloom.plans.sync import bounded, decode
+from eventloom.plans.sync import bounded
 from eventloom.sources import chain
 
 APPROVAL = item("Approval", ("owner", "address", True), ("spender", "address", True), ("value", "uint256", False))

@@ -102,7 +102,7 @@ def test_first_per_group(spark):
     random.seed(2)
     data = [("hot" if n % 3 == 0 else f"g{n % 40}", random.randrange(10**6), n) for n in range(6000)]
     df = spark.createDataFrame(data, "g string, o bigint, id bigint").repartition(5)
-    found = first_per_group(df, ["g"], ["o", "id"], ["id"], 25).collect()
+    found = first_per_group(df, ["g"], ["o", "id"], 25).collect()
     groups = {}
     for row in sorted(data, key=lambda r: (r[1], r[2])):
         groups.setdefault(row[0], []).append(row)
