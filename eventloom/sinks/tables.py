@@ -16,6 +16,9 @@ from eventloom.plans.documents import to_documents
 log = logging.getLogger(__name__)
 
 BUCKET_BLOCKS = 100_000
+# Columns whose values are spread over all blocks: files sorted by block cannot be
+# skipped by their value range, so row groups carry a bloom filter for them.
+SCATTERED_COLUMNS = ("tx_hash", "topic1", "topic2")
 
 
 def native_schema() -> T.StructType:
@@ -58,19 +61,18 @@ class ParquetSink:
             empty.write.mode("overwrite" if self.drop else "ignore").parquet(self.path(table))
 
     def write(self, table: str, df: DataFrame) -> None:
-        by_block(df).write.mode("append").partitionBy("block_bucket").parquet(self.path(table))
+        writer = by_block(df).write.mode("append").partitionBy("block_bucket")
+        for c in SCATTERED_COLUMNS:
+            if c in df.columns:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(self.path(table))
 
     def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
-        columns = [*schema.fields, T.StructField(BLOCK_LOG_INDEX, T.LongType())]
-        columns.append(T.StructField("block_bucket", T.LongType()))
-        names = set()
-        unique = [f for f in columns if not (f.name in names or names.add(f.name))]
-        # The empty file of a new table sits above the partition folders.
-        return (
-            spark.read.schema(T.StructType(unique))
-            .option("recursiveFileLookup", "false")
-            .parquet(self.path(table))
-        )
+        """The stored table; the position in the block is null where the chain tables lack it."""
+        stored = T.StructType(schema.fields + [T.StructField("block_bucket", T.LongType())])
+        if table != NATIVE_TABLE:
+            stored = stored.add(BLOCK_LOG_INDEX, T.LongType())
+        return spark.read.schema(stored).parquet(self.path(table))
 
 
 @dataclass
