@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import types as T
@@ -192,6 +192,13 @@ class DocumentSpec:
 
 @dataclass(frozen=True)
 class JobConfig:
+    """A parsed job file.
+
+    Batch size and flush threshold are read so that a job file stays valid, but
+    Spark's partitions take their place. ``csv`` names a folder for a
+    :class:`~eventloom.sinks.tables.CsvSink`, which a caller adds by hand.
+    """
+
     mappings: tuple[ContractMapping, ...]
     from_block: int = 0
     to_block: int | None = None
@@ -201,7 +208,6 @@ class JobConfig:
     csv_threshold: int = DEFAULT_THRESHOLD
     parquet: ParquetSpec | None = None
     documents: DocumentSpec | None = None
-    extra: dict[str, Any] = field(default_factory=dict, compare=False)
 
     @classmethod
     def parse(cls, raw: dict[str, Any]) -> JobConfig:
