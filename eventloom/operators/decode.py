@@ -108,9 +108,8 @@ def gated_headers(headers: DataFrame, events: Sequence[Event]) -> DataFrame:
     )
     if "logs_bloom" not in headers.columns:
         return block
-    bloom = F.col("logs_bloom")
     gates = F.array_compact(
-        F.array(*[F.when(event_gate(m, item, bloom), F.lit(key)) for key, m, item in events])
+        F.array(*[F.when(F.expr(event_gate(m, item)), F.lit(key)) for key, m, item in events])
     )
     return block.withColumn("gates", gates).drop("logs_bloom").where(F.size("gates") > 0)
 

@@ -272,26 +272,23 @@ def export_documents(spark, sf_dir):
 
 @query("bloom_address")
 def bloom_address(spark, sf_dir):
-    bloom = F.col("logs_bloom")
+    contracts = {"aa": AA, "bb": BB, "cc": CC}
     return fx.headers(spark, sf_dir).select(
-        "block_number", *[bloom_has(bloom, a).alias(n) for n, a in (("aa", AA), ("bb", BB), ("cc", CC))]
+        "block_number", *[F.expr(bloom_has("logs_bloom", a)).alias(n) for n, a in contracts.items()]
     )
 
 
 @query("bloom_topic")
 def bloom_topic(spark, sf_dir):
-    bloom = F.col("logs_bloom")
     return fx.headers(spark, sf_dir).select(
         "block_number",
-        bloom_has(bloom, TRANSFER.topic0).alias("transfer"),
-        bloom_has(bloom, APPROVAL.topic0).alias("approval"),
-        bloom_has(bloom, SETTLED.topic0).alias("settled"),
+        *[F.expr(bloom_has("logs_bloom", i.topic0)).alias(i.table) for i in (TRANSFER, APPROVAL, SETTLED)],
     )
 
 
 @query("candidate_blocks")
 def candidate_blocks(spark, sf_dir):
-    wanted = fx.headers(spark, sf_dir).where(mapping_gate(PAIR, F.col("logs_bloom")))
+    wanted = fx.headers(spark, sf_dir).where(mapping_gate(PAIR))
     return (
         fx.receipts(spark, sf_dir)
         .join(wanted.select("block_number"), "block_number", "left_semi")
@@ -301,10 +298,9 @@ def candidate_blocks(spark, sf_dir):
 
 @query("event_gate")
 def event_gates(spark, sf_dir):
-    bloom = F.col("logs_bloom")
     return fx.headers(spark, sf_dir).select(
         "block_number",
-        *[event_gate(m, item, bloom).alias(item.table) for _, m, item in EVERY_EVENT],
+        *[F.expr(event_gate(m, item)).alias(item.table) for _, m, item in EVERY_EVENT],
     )
 
 
