@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from eventloom.config import AbiInput, AbiItem, ContractMapping, JobConfig
 from eventloom.functions.bloom import bloom_of_bits
@@ -19,7 +18,7 @@ from eventloom.operators.decode import decode
 from eventloom.operators.running import running_totals
 from eventloom.plans.logs import union_logs
 from eventloom.session import scratch_path
-from eventloom.sinks.tables import ParquetSink, configured_tables
+from eventloom.sinks.tables import ParquetSink, configured_tables, event_tables_at
 from eventloom.sources.chain import TX_ID_SPAN, raw_logs, tx_ordinals
 
 LOGS_PER_ROW = 1024
@@ -285,11 +284,7 @@ def event_table_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
         for name, df in tables.items():
             sink.write(name, df)
 
-    path = _stored(spark, sf_dir, "events", build)
-    sink = ParquetSink(path)
-    return {
-        name: sink.read(spark, name, schema) for name, schema in config.table_schemas().items()
-    }
+    return event_tables_at(spark, config, _stored(spark, sf_dir, "events", build))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

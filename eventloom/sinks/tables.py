@@ -75,6 +75,12 @@ class ParquetSink:
         return spark.read.schema(stored).parquet(self.path(table))
 
 
+def event_tables_at(spark: SparkSession, config: JobConfig, directory: str) -> dict[str, DataFrame]:
+    """The stored event tables of a job."""
+    sink = ParquetSink(directory)
+    return {table: sink.read(spark, table, schema) for table, schema in config.table_schemas().items()}
+
+
 @dataclass
 class CsvSink:
     """A folder of CSV files with header per table."""

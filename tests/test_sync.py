@@ -9,7 +9,15 @@ from eventloom.config import NATIVE_TABLE, ConfigError, ContractMapping, Documen
 from eventloom.plans.documents import read_back, to_documents
 from eventloom.plans.sync import event_counts, sync
 from eventloom.session import scratch_path
-from eventloom.sinks.tables import CsvSink, ParquetSink, block_boundaries, configured_tables, open_sinks
+from eventloom.plans.logs import union_logs
+from eventloom.sinks.tables import (
+    CsvSink,
+    ParquetSink,
+    block_boundaries,
+    configured_tables,
+    event_tables_at,
+    open_sinks,
+)
 from eventloom.sources.csv import read_event_csv
 from eventloom.streaming.follow import follow
 
@@ -66,6 +74,8 @@ def test_whole_job(spark, chain, tmp_path):
     assert rows(stored(spark, config, "transfer"), "value", "block_bucket") == [("3", 0), ("4", 0)]
     assert rows(stored(spark, config, NATIVE_TABLE), "value") == [("9",)]
     assert stored(spark, config, "approval").count() == 0
+    logs = union_logs(event_tables_at(spark, config, config.parquet.directory))
+    assert rows(logs, "event", "block_number") == [("sized", 6)] * 2 + [("transfer", 5)] * 2
     assert documents(tmp_path, "approval") == []
 
     doc = min(documents(tmp_path, "sized"), key=lambda d: d["log_index"])
