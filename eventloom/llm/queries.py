@@ -5,11 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import token_counts, token_files, url_rules
+from eventloom.llm import langid, simhash, token_counts, token_files, url_rules
 from eventloom.llm.common import read_table
 from eventloom.session import scratch_path
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(~langid.held_out("doc_id")))
+    marked = docs.select("doc_id", "text", langid.held_out("doc_id").alias("held_out"))
+    return langid.predict(marked, model, columns=("doc_id", "held_out"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -24,14 +31,20 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_table(token_counts.length_histogram(lengths))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_rules.rule_table(spark, url_rules.RULES)
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
+    "op5_simhash": op5_simhash,
     "op6_url_rules": op6_url_rules,
 }
 
