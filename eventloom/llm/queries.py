@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import langid, simhash, token_counts, token_files, url_rules
+from eventloom.llm import decontaminate, langid, simhash, token_counts, token_files, url_rules
 from eventloom.llm.common import read_table
 from eventloom.session import scratch_path
 
@@ -40,12 +40,17 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_url_rules": op6_url_rules,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 ORACLES = {
