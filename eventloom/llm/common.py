@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.session import scratch_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,11 +19,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the folder that all executors share.
 
-    Cuts the lineage, so a lost executor costs a re-read and not a recomputation.
+    Cuts the lineage, so a lost executor costs a re-read and not a recomputation. The
+    shuffle files of the write are given up with its end; nothing reads them again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

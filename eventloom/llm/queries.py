@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import decontaminate, langid, simhash, token_counts, token_files, url_rules
+from eventloom.llm import decontaminate, langid, repeats, simhash, token_counts, token_files, url_rules
 from eventloom.llm.common import read_table
 from eventloom.session import scratch_path
 
@@ -44,6 +44,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op3_token_files": op3_token_files,
@@ -51,6 +55,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_url_rules": op6_url_rules,
     "op8_decontaminate": op8_decontaminate,
+    "op9_repeats": op9_repeats,
 }
 
 ORACLES = {
