@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, langid, repeats, simhash, token_counts, token_files, url_rules
+from eventloom.llm import decontaminate, langid, nearest, page_text, repeats, simhash, token_counts, token_files, url_rules
 from eventloom.llm.common import read_table
 from eventloom.session import scratch_path
 
@@ -17,6 +18,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(marked, model, columns=("doc_id", "held_out"))
 
 
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +45,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -50,10 +59,12 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_page_text": op2_page_text,
     "op3_token_files": op3_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_url_rules": op6_url_rules,
+    "op7_nearest": op7_nearest,
     "op8_decontaminate": op8_decontaminate,
     "op9_repeats": op9_repeats,
 }
