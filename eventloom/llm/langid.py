@@ -45,20 +45,23 @@ def held_out(id_col: str) -> F.Column:
 
 def learn(
     labelled: DataFrame, docs_per_language: int = 4000, words_per_language: int = 20_000,
-    grams_per_language: int = 20_000, text_col: str = "text", lang_col: str = "lang",
+    grams_per_language: int = 20_000, most_languages: int = 200, text_col: str = "text", lang_col: str = "lang",
 ) -> LanguageModel:
     """Fits on a bounded sample: about ``docs_per_language`` whole documents of each language.
 
-    A document is taken if the hash of its text falls below the share its language needs,
-    so the sample does not depend on partitions or order. Only the most frequent words and
+    At most ``most_languages`` languages are learned, those with the most documents. A
+    document is taken if the hash of its text falls below the share its language
+    needs, so the sample does not depend on partitions or order. Only the most frequent words and
     n-grams of the sample reach the driver: at most the two bounds for each language.
     Rows with a null text or language teach nothing; without any row nothing is learned.
     """
     usable = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     usable = usable.where("text IS NOT NULL AND lang IS NOT NULL")
-    shares = usable.groupBy("lang").agg((F.lit(float(docs_per_language)) / F.count("*")).alias("share"))
+    most = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    # The few shares go into the filter itself, so that no text moves.
+    shares = F.create_map(*[F.lit(v) for r in most for v in (r.lang, docs_per_language / r.n)]) if most else None
     chance = (F.xxhash64("text", F.lit("sample")) % 1_000_000 + 1_000_000) / 2_000_000
-    sample = usable.join(shares, "lang").where(chance < F.col("share")).select("lang", "text")
+    sample = usable.where(chance < shares[F.col("lang")] if most else F.lit(False)).select("lang", "text")
     word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))
     words = sample.select("lang", word.alias("entry")).groupBy("lang", "entry").agg(F.count("*").alias("n"))
     words = words.persist()

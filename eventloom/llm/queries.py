@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import decontaminate, langid, nearest, page_text, repeats, simhash, token_counts, token_files, url_rules
+from eventloom.llm import (
+    decontaminate, langid, merge_dropout, nearest, page_text, repeats, simhash, token_counts, token_files, url_rules,
+)
 from eventloom.llm.common import read_table
 from eventloom.session import scratch_path
 
@@ -57,6 +59,15 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    restored = merge_dropout.restore(merge_dropout.segment(docs, model), model)
+    return restored.select(
+        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless")
+    )
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_page_text": op2_page_text,
@@ -67,6 +78,7 @@ QUERIES = {
     "op7_nearest": op7_nearest,
     "op8_decontaminate": op8_decontaminate,
     "op9_repeats": op9_repeats,
+    "op10_merge_dropout": op10_merge_dropout,
 }
 
 ORACLES = {
