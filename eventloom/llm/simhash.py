@@ -9,12 +9,13 @@ search goes down from the root, adds up the differing bits of each node on its w
 leaves a whole group as soon as the sum is too large, or if all of it is already linked to
 the one that searches.
 
-Only a spanning forest of each group's links is put out. Groups of more than ``GROUP``
+Only as many links of a group are put out as hold it together. Groups of more than ``GROUP``
 fingerprints are cut into shares, and every pair of shares is a group of its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -31,15 +32,20 @@ SEED = 42
 GROUP = 2048
 FANOUT = 16
 FRONTIER = 1 << 19
+WIDENING = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]
 
 # --- fingerprints ---
 
 
-def fingerprint(text: str | None, words: int) -> int:
-    """A bit is 1 if it is set in over half the hashes of all shingles, repeats included."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z lower-cased, split at ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """XXH64 of every shingle in order, repeats included; of fewer words, the whole sequence."""
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(found)
     lengths = np.fromiter(map(len, found), np.int64, len(found))
     ends = np.cumsum(lengths + 1) - 1
@@ -47,15 +53,24 @@ def fingerprint(text: str | None, words: int) -> int:
     last = min(words, len(found)) - 1
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[: len(starts) - last].tolist(), ends[last:].tolist())
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
-    set_bits = np.zeros(64, np.int64)
-    for start in range(0, len(hashes), 1 << 16):
-        part = hashes[start : start + (1 << 16)]
-        set_bits += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(
-            axis=0, dtype=np.int64
-        )
-    bits = (set_bits * 2 > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Bit by bit, whether over half of the hashes (rows of 64-bit numbers) have it set, as 64-bit numbers."""
+    hashes = hashes.reshape(len(hashes), -1)
+    set_bits = np.zeros(64 * hashes.shape[1], np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        part = np.ascontiguousarray(hashes[start : start + (1 << 14)]).astype("<u8")
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        set_bits += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits((set_bits * 2 > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def fingerprint(text: str | None, words: int) -> int:
+    """The majority of all shingles' hashes; 0 without a word."""
+    hashes = shingle_hashes(words_of(text), words)
+    return int(majority(hashes)[0]) if len(hashes) else 0
 
 
 def with_fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,15 +101,22 @@ def gray_rank(bits: np.ndarray) -> np.ndarray:
     return rank
 
 
-def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (smallest row of each component) after the links a-b."""
+def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Labels (smallest row of each component) after the links a-b, and the places of the links that were needed.
+
+    In each round every label hangs itself on a smaller one by a single link, so the links
+    taken never close a ring.
+    """
+    taken, at = [], np.arange(len(a))
     while True:
-        x, y = labels[a], labels[b]
+        x, y = labels[a[at]], labels[b[at]]
         apart = x != y
         if not apart.any():
-            return labels
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(labels, np.maximum(x, y), np.minimum(x, y))
+            return labels, np.concatenate([*taken, at[:0]])
+        at, x, y = at[apart], x[apart], y[apart]
+        larger, first = np.unique(np.maximum(x, y), return_index=True)
+        labels[larger] = np.minimum(x, y)[first]
+        taken.append(at[first])
         while True:
             next_labels = labels[labels]
             if (next_labels == labels).all():
@@ -102,18 +124,33 @@ def merge_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
             labels = next_labels
 
 
-def spanning_links(group: np.ndarray, bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all fingerprints of each group that are within ``distance``, transitively.
+def spanning_links(
+    group: np.ndarray, bits: np.ndarray, distance: int, wide: np.ndarray | None = None, wide_distance: int = 0
+) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join, transitively, all rows of each group that are near each other.
 
-    ``group`` is ascending. Returns pairs of fingerprints, fewer than there are rows.
+    Near means at most ``distance`` differing bits and, if there are ``wide`` fingerprints too
+    (rows of 64-bit numbers), at most ``wide_distance`` in those. Returns pairs of row numbers,
+    fewer than there are rows.
     """
     bits = bits.astype(np.uint64)
     order = np.lexsort((gray_rank(bits), group))
     group, bits = group[order], bits[order]
+    wide = None if wide is None else wide[order]
     n = len(bits)
     labels = np.arange(n)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def link(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if wide is not None:
+            near = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1) <= wide_distance
+            a, b = a[near], b[near]
+        labels, taken = merge_labels(labels, a, b)
+        found.append((a[taken], b[taken]))
+        return labels
+
     near = np.nonzero((group[1:] == group[:-1]) & (np.bitwise_count(bits[1:] ^ bits[:-1]) <= distance))[0]
-    labels = merge_labels(labels, near, near + 1)
+    labels = link(labels, near, near + 1)
 
     # Levels from the rows up to one root a group: first row, last row, shared bits, pattern.
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -132,9 +169,6 @@ def spanning_links(group: np.ndarray, bits: np.ndarray, distance: int) -> tuple[
         shared = np.bitwise_and.reduceat(mask & ~(pattern ^ pattern[spread]), heads)
         children.append((heads, ends))
         levels.append((levels[-1][0][heads], levels[-1][1][ends - 1], shared, pattern[heads] & shared, owner[heads]))
-    if len(levels) == 1:
-        return bits[:0], bits[:0]
-
     root_of = np.searchsorted(levels[-1][4], group)
     searched = np.arange(n)
     # A search starts at the root of its group; only rows behind it are wanted.
@@ -152,7 +186,7 @@ def spanning_links(group: np.ndarray, bits: np.ndarray, distance: int) -> tuple[
             # Rows of a node that all carry the searcher's label need no further link.
             row, node, sum_, known = row[keep], node[keep], sum_[keep], mask[node[keep]]
             if level == 0:
-                labels = merge_labels(labels, row, node)
+                labels = link(labels, row, node)
                 continue
             uniform_from = np.concatenate([[0], np.cumsum(labels[1:] != labels[:-1])])
             same = (uniform_from[low[node]] == uniform_from[high[node] - 1]) & (labels[low[node]] == labels[row])
@@ -168,8 +202,8 @@ def spanning_links(group: np.ndarray, bits: np.ndarray, distance: int) -> tuple[
                 continue
             below = np.repeat(heads[node] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
             stack.append((level - 1, np.repeat(row, sizes), below, np.repeat(sum_, sizes), np.repeat(known, sizes)))
-    linked = np.nonzero(labels != np.arange(n))[0]
-    return bits[linked], bits[labels[linked]]
+    a, b = (np.concatenate(side) for side in zip(*found))
+    return order[a], order[b]
 
 
 # --- links over Spark ---
@@ -182,46 +216,60 @@ def block_masks(distance: int) -> list[int]:
     return [x | y for x, y in combinations(blocks, 2)]
 
 
-def fingerprint_links(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """a and b: links between distinct ``bits`` that leave none within ``distance`` unconnected."""
+def fingerprint_links(prints: DataFrame, distance: int = 4, wide_distance: int | None = None) -> DataFrame:
+    """a and b: links between the distinct ``node`` s that leave none that are near unconnected.
+
+    ``prints`` has node, bits and, if ``wide_distance`` is given, wide: a second, longer
+    fingerprint as bytes, in which linked nodes must be near as well.
+    """
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(distance)]
-    keyed = prints.select(
-        "bits", F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in signed])).alias("pair", "shared")
-    )
+    payload = ["node", "bits"] if wide_distance is None else ["node", "bits", "wide"]
+    pairs = F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in signed])).alias("pair", "shared")
+    keyed = prints.select(*payload, pairs)
     crowded = (
-        keyed.groupBy("pair", "shared").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+        prints.select("bits", pairs).groupBy("pair", "shared").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
         .select("pair", "shared", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("shares"))
     )
     shares = F.coalesce("shares", F.lit(1))
-    share = F.pmod(F.xxhash64("bits", F.lit("share")), shares).cast("int")
+    share = F.pmod(F.xxhash64("node", F.lit("share")), shares).cast("int")
     dealt = (
         keyed.join(crowded, ["pair", "shared"], "left")
-        .select("bits", "pair", "shared", share.alias("own"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("other"))
+        .select(*payload, "pair", "shared", share.alias("own"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("other"))
         .select(
-            F.xxhash64("pair", "shared", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "bits",
+            F.xxhash64("pair", "shared", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *payload,
         )
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(keys: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-            alone = np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]])
-            a, b = spanning_links(keys[~alone], bits[~alone], distance) if not alone.all() else (bits[:0], bits[:0])
-            pairs = np.unique(np.stack([a.view(np.int64), b.view(np.int64)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        def flush(chunk: pa.Table) -> pa.RecordBatch:
+            keys = chunk.column("key").to_numpy()
+            differs = keys[1:] != keys[:-1]
+            met = np.nonzero(~(np.concatenate([[True], differs]) & np.concatenate([differs, [True]])))[0]
+            chunk = chunk.take(pa.array(met))
+            nodes, bits = chunk.column("node").to_numpy(), chunk.column("bits").to_numpy()
+            wide = None
+            if wide_distance is not None:
+                wide = np.frombuffer(b"".join(chunk.column("wide").to_pylist()), "<u8").reshape(len(met), WIDE)
+            a, b = spanning_links(keys[met], bits, distance, wide, wide_distance or 0) if len(met) else (met, met)
+            pairs = np.unique(np.stack([np.maximum(nodes[a], nodes[b]), np.minimum(nodes[a], nodes[b])], axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-        keys, bits = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        waiting: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            keys = np.concatenate([keys, batch.column("key").to_numpy()])
-            bits = np.concatenate([bits, batch.column("bits").to_numpy()])
-            if len(keys) < 1 << 16:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size < 1 << 16:
                 continue
+            table = pa.Table.from_batches(waiting)
+            keys = table.column("key").to_numpy()
             # The last group may go on in the next batch.
             whole = int(np.searchsorted(keys, keys[-1]))
             if whole:
-                yield found(keys[:whole], bits[:whole])
-                keys, bits = keys[whole:], bits[whole:]
-        if len(keys):
-            yield found(keys, bits)
+                yield flush(table.slice(0, whole))
+                waiting, size = table.slice(whole).to_batches(), table.num_rows - whole
+        if waiting:
+            yield flush(pa.Table.from_batches(waiting))
 
     # Two groups whose keys collide are searched together, which adds no wrong link.
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a bigint, b bigint").distinct()
@@ -240,7 +288,8 @@ def near_duplicates(
     """
     hashed = written(with_fingerprints(docs, words, id_col, text_col), "fingerprints")
     prints = written(hashed.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    labels = written(connected_components(fingerprint_links(prints, distance)), "labels")
+    links = fingerprint_links(prints.select(F.col("bits").alias("node"), "bits"), distance)
+    labels = written(connected_components(links), "labels")
     labelled = prints.join(labels, prints.bits == labels.node, "left").select(
         "bits", "least_id", F.coalesce("label", "bits").alias("label")
     )
@@ -249,3 +298,100 @@ def near_duplicates(
     return hashed.join(answers, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# --- one document of each group of near copies ---
+
+WORD_DISTANCE = 8
+WIDE = 4
+
+
+def wide_distance_of(similarity: float) -> int:
+    """Bits in which fingerprints of sets of that Jaccard similarity differ, two standard deviations included."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * WIDE
+    return math.ceil(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
+
+
+def set_fingerprints(text: str | None, words: int) -> tuple[int, bytes]:
+    """Of the distinct words (64 bits), and of the distinct shingles (256 bits)."""
+    found = words_of(text)
+    if not found:
+        return 0, bytes(8 * WIDE)
+    single = majority(np.unique(shingle_hashes(found, 1)))
+    shingles = np.unique(shingle_hashes(found, words))
+    spread = np.stack([shingles * np.uint64(m) for m in WIDENING], axis=1)
+    spread = (spread ^ (spread >> np.uint64(32))) * np.uint64(WIDENING[0])
+    spread ^= spread >> np.uint64(29)
+    return int(single[0]), majority(spread).tobytes()
+
+
+def similarity_of(left: str | None, right: str | None, words: int) -> float:
+    """Jaccard similarity of the sets of shingles; 1 if both are empty."""
+    a, b = (set(shingle_hashes(words_of(t), words).tolist()) for t in (left, right))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def drop_near_copies(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` without all but one row, that of the smallest id, of each group of exact and near copies.
+
+    Near copies share at least ``similarity`` of their shingles of five words. Texts are
+    searched by the fingerprint of their distinct words, in which such texts differ in few bits, and linked
+    if the longer fingerprints of their shingles are near as well; each link is then checked against
+    the texts. Groups are what links connect. Null texts count as empty; null ids as the
+    smallest; of fully equal rows one stays. A link that only three differing words in a hundred
+    separate can fall outside the searched distance of 8 bits.
+    """
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    keyed = docs.withColumn("_own", own)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_fingerprints(t, words) for (t,) in rows([batch], "text")]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("node"), batch.column("id"),
+                    pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
+                    pa.array([f[1] for f in found], pa.binary()),
+                ],
+                ["node", "id", "bits", "wide"],
+            )
+
+    slim = keyed.select(F.col("_own").alias("node"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    marked = written(slim.mapInArrow(hashed, "node bigint, id bigint, bits bigint, wide binary"), "set-fingerprints")
+    prints = written(marked.groupBy("node").agg(F.first("bits").alias("bits"), F.first("wide").alias("wide")), "texts")
+    links = written(fingerprint_links(prints, WORD_DISTANCE, wide_distance_of(similarity)), "candidate-links")
+
+    # Every link's two texts meet once; a text with many links is a skewed join, which Spark splits.
+    asked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = written(
+        slim.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "linked-texts"
+    )
+    both = (
+        links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    )
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [similarity_of(x, y, words) >= similarity for x, y in rows([batch], "left", "right")]
+            yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
+
+    labels = written(connected_components(both.select("a", "b", "left", "right").mapInArrow(confirm, "a bigint, b bigint")), "labels")
+    members = (
+        marked.select("node", "id").join(labels, "node", "left")
+        .select("node", "id", F.coalesce("label", "node").alias("label"))
+    )
+    stays = members.groupBy("label").agg(F.min(F.struct("id", "node")).alias("stays"))
+    rows_of = members.groupBy("label", "id", "node").agg(F.count("*").alias("n"))
+    judged = rows_of.join(stays, "label").select(
+        F.col("id").alias("_id"), F.col("node").alias("_node"), "n", (F.struct("id", "node") == F.col("stays")).alias("stays")
+    )
+    odd = written(judged.where("NOT stays OR n > 1"), "copies")
+    same = keyed[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (keyed["_own"] == F.col("_node"))
+    kept = keyed.join(odd, same, "left").where("stays IS NULL OR stays")
+    once = kept.where("n IS NULL").select(*docs.columns)
+    again = kept.where("n > 1").dropDuplicates(["_id", "_node"]).select(*docs.columns)
+    return once.unionByName(again)
