@@ -258,12 +258,9 @@ def cut_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     stop = lambda i: F.when(i == count, F.length("text").cast("bigint")).otherwise(F.get("spans", i)["first_char"])
     piece = lambda i: F.substring(F.col("text"), (begin(i) + 1).cast("int"), (stop(i) - begin(i)).cast("int"))
     clean = F.array_join(F.transform(F.sequence(F.lit(0), count), piece), "")
-    text = F.when(count == 0, F.col("text")).otherwise(clean)
-    return found.select(
-        *[
-            text.alias(c) if c == "text"
-            else F.when(count == 0, F.col(c)).otherwise(F.length(clean)).cast(docs.schema[c].dataType).alias(c)
-            if c == "n_chars" else c
-            for c in docs.columns
-        ]
-    )
+    cleaned = found.withColumn("_clean", F.when(count > 0, clean))
+    new = {"text": F.coalesce("_clean", "text")}
+    if "n_chars" in docs.columns:
+        length = F.length("_clean").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("_clean").isNull(), F.col("n_chars")).otherwise(length)
+    return cleaned.select(*[new[c].alias(c) if c in new else c for c in docs.columns])

@@ -160,6 +160,19 @@ def scorer_of(key: int, held: Broadcast) -> Scorer:
     return Scorer(held.value)
 
 
+def keep_known(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5
+) -> DataFrame:
+    """``docs`` whose language is told with a score of ``least`` or more, with that language.
+
+    Learned from the documents that are not held out. Texts without a letter go.
+    """
+    model = learn(docs.where(~held_out(id_col)), text_col=text_col, lang_col=lang_col)
+    marked = predict(docs, model, text_col, tuple(docs.columns))
+    told = marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return told.select(*[F.col("lang_pred").alias(c) if c == lang_col else c for c in docs.columns])
+
+
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
     """``columns`` of every row with lang_pred and score, from the whole text alone.
 
@@ -175,13 +188,14 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", colum
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(key, held)
         for batch in batches:
-            found = [scorer.predict(t) for (t,) in rows([batch], "_text")]
-            kept = batch.drop_columns(["_text"])
+            found = [scorer.predict(t) for (t,) in rows([batch], scored)]
+            kept = batch if scored in columns else batch.drop_columns([scored])
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 [*kept.schema.names, "lang_pred", "score"],
             )
 
-    wanted = docs.select(*columns, F.col(text_col).alias("_text"))
-    schema = wanted.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    scored = text_col if text_col in columns else "_text"
+    wanted = docs.select(*columns) if scored in columns else docs.select(*columns, F.col(text_col).alias(scored))
+    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
     return wanted.mapInArrow(score, schema)
