@@ -48,6 +48,9 @@ TRAILING_COLUMNS = {
     "timestamp": T.LongType(),
 }
 BLOCK_LOG_INDEX = "block_log_index"
+# Stored event tables are partitioned by stretches of so many blocks.
+BLOCK_BUCKET = "block_bucket"
+BUCKET_BLOCKS = 100_000
 NATIVE_TABLE = "eth_transfer"
 NATIVE_COLUMNS = {
     "from": T.StringType(),

@@ -96,10 +96,7 @@ def _continue_ordinals(rows: DataFrame, events: Sequence[Event]) -> DataFrame:
 
 
 def gated_headers(headers: DataFrame, events: Sequence[Event]) -> DataFrame:
-    """Headers whose bloom admits an event, with the events it admits.
-
-    Headers without a bloom column admit every event.
-    """
+    """Headers whose bloom admits an event; headers without a bloom column admit every one."""
     block = headers.select(
         "block_number",
         "block_hash",
@@ -108,20 +105,20 @@ def gated_headers(headers: DataFrame, events: Sequence[Event]) -> DataFrame:
     )
     if "logs_bloom" not in headers.columns:
         return block
-    gates = F.array_compact(
-        F.array(*[F.when(F.expr(event_gate(m, item)), F.lit(key)) for key, m, item in events])
-    )
-    return block.withColumn("gates", gates).drop("logs_bloom").where(F.size("gates") > 0)
+    gates = " OR ".join(event_gate(m, item) for _, m, item in events)
+    return block.where(gates).drop("logs_bloom")
 
 
 def stage_events(receipts: DataFrame, headers: DataFrame, events: Sequence[Event]) -> DataFrame:
     """One scan of the receipts for all events: raw matched logs, tagged with their event."""
-    joined = with_hits(receipts, events).join(gated_headers(headers, events), "block_number")
+    gated = gated_headers(headers, events)
+    if "logs_bloom" in headers.columns:
+        # Blocks that the bloom rules out leave before any log is looked at.
+        receipts = receipts.join(gated.select("block_number"), "block_number", "left_semi")
+    joined = with_hits(receipts, events).join(gated, "block_number")
     # Every row has a hit, so the outer form drops nothing; unlike the inner one it
     # does not make the optimizer evaluate the hits twice to test for emptiness.
     rows = joined.withColumn("hit", F.explode_outer("hits"))
-    if "gates" in joined.columns:
-        rows = rows.where(F.array_contains("gates", F.col("hit.event_key")))
     log = F.col("hit.log")
     columns = {
         "event_key": F.col("hit.event_key"),

@@ -6,6 +6,7 @@ rows and the logs nested in a receipt alike.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +33,45 @@ def topic_arity(topics: str, item: AbiItem) -> str:
 
 def data_arity(data: str, item: AbiItem) -> str:
     """As many whole 32-byte words as plain inputs; a shorter tail is ignored."""
-    return f"floor((length({data}) - 2) / 64) = {len(item.plain)}"
+    return f"{data_words(data)} = {len(item.plain)}"
+
+
+def data_words(data: str) -> str:
+    """Whole 32-byte words of hex data; none in null or empty data."""
+    return f"floor(greatest(length(coalesce({data}, '0x')) - 2, 0) / 64)"
+
+
+# POSIX classes, by the characters they hold.
+POSIX = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": r"\x00-\x7F", "blank": r"\t ", "cntrl": r"\x00-\x1F\x7F",
+    "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": " -~", "punct": r"!-/:-@\[-`{-~", "space": r"\t\n\x0B\f\r ",
+    "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+POSIX_CLASS = re.compile(r"\[:(\^?)(\w+):\]")
+NAMED_GROUP = re.compile(r"((?:^|[^\\])(?:\\\\)*)\(\?P<")
 
 
 def java_pattern(pattern: str) -> str:
-    """The same match in Java syntax: any case, Unicode classes, ``$`` only at the very end."""
+    """The same match in Java syntax: any case, Unicode classes, ``$`` only at the very end.
+
+    POSIX classes become ranges inside their brackets, named groups lose their ``P``. Class
+    operators that Java lacks are refused.
+    """
+    if re.search(r"\[[^\]]*(--|~~)", pattern):
+        raise ValueError(f"class operator without a counterpart: {pattern!r}")
+    pattern = POSIX_CLASS.sub(_posix, NAMED_GROUP.sub(r"\1(?<", pattern))
     escapes = len(pattern) - 1 - len(pattern[:-1].rstrip("\\"))
     if pattern.endswith("$") and escapes % 2 == 0:
         pattern = pattern[:-1] + r"\z"
     return "(?iU)" + pattern
 
 
+def _posix(found: re.Match) -> str:
+    if found[2] not in POSIX:
+        raise ValueError(f"unknown character class: {found[0]}")
+    return f"[^{POSIX[found[2]]}]" if found[1] else POSIX[found[2]]
+
+
 def patterns_match(topics: str, data: str, item: AbiItem) -> list[str]:
     words = [(i, topic_word(f"get({topics}, {n + 1})")) for n, i in enumerate(item.indexed)]
     words += [(i, data_word(data, n)) for n, i in enumerate(item.plain)]
@@ -80,11 +109,11 @@ def route_events(logs: DataFrame, items: Sequence[AbiItem]) -> DataFrame:
         "topic0 string, event string, n_indexed int, n_plain int",
     )
     fits = (F.size("topics") == 1 + F.col("n_indexed")) & (
-        F.floor((F.length("data") - 2) / 64) == F.col("n_plain")
+        F.expr(data_words("data")) == F.col("n_plain")
     )
     return (
         logs.withColumn("topic0", F.get("topics", F.lit(0)))
-        .join(F.broadcast(events), "topic0")
+        .join(events, "topic0")
         .where(fits)
         .drop("n_indexed", "n_plain")
     )

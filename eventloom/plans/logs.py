@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.config import BLOCK_LOG_INDEX, LEADING_COLUMNS, TRAILING_COLUMNS
+from eventloom.config import BLOCK_BUCKET, BLOCK_LOG_INDEX, LEADING_COLUMNS, TRAILING_COLUMNS
 from eventloom.functions.text import hex_quantity
 from eventloom.operators.filters import TOPIC_COLUMNS, LogFilter, match_filter_table
 from eventloom.operators.topk import first_per_group
 
-# How many hits a request returns.
+# How many hits a request for logs asks for, and how many logs a page of a
+# block or of a receipt spans.
 MAX_LOGS = 1000
 MAX_BLOCK_LOGS = 10000
 MAX_RECEIPT_LOGS = 1000
@@ -27,7 +28,7 @@ def union_logs(tables: Mapping[str, DataFrame]) -> DataFrame:
     """All event tables as one log table, without their decoded inputs."""
     frames = []
     for table, df in tables.items():
-        extra = [c for c in (BLOCK_LOG_INDEX,) if c in df.columns]
+        extra = [c for c in (BLOCK_LOG_INDEX, BLOCK_BUCKET) if c in df.columns]
         frames.append(df.select(F.lit(table).alias("event"), *LOG_COLUMNS, *extra))
     return reduce(DataFrame.unionByName, frames)
 
@@ -36,21 +37,24 @@ def matching_logs(logs: DataFrame, log_filter: LogFilter) -> DataFrame:
     return logs.where(log_filter.predicate(logs))
 
 
-def get_logs(logs: DataFrame, log_filter: LogFilter, max_hits: int = MAX_LOGS) -> DataFrame:
-    """The first hits of a filter in (block, log index) order."""
+def get_logs(logs: DataFrame, log_filter: LogFilter, max_hits: int | None = None) -> DataFrame:
+    """The hits of a filter in (block, log index) order: all, or the first ``max_hits``."""
     hits = matching_logs(logs, log_filter)
-    return hits.orderBy(*[c for c in HIT_ORDER if c in hits.columns]).limit(max_hits)
+    ordered = hits.orderBy(*[c for c in HIT_ORDER if c in hits.columns])
+    return ordered if max_hits is None else ordered.limit(max_hits)
 
 
 def get_event_logs(
-    tables: Mapping[str, DataFrame], table: str, log_filter: LogFilter, max_hits: int = MAX_LOGS
+    tables: Mapping[str, DataFrame], table: str, log_filter: LogFilter, max_hits: int | None = None
 ) -> DataFrame:
     """The same over one event table; the other tables are not read."""
     return get_logs(tables[table.lower()], log_filter, max_hits)
 
 
-def get_logs_by_table(logs: DataFrame, filters: DataFrame, max_hits: int = MAX_LOGS) -> DataFrame:
-    """The first hits of every filter of a filter table."""
+def get_logs_by_table(logs: DataFrame, filters: DataFrame, max_hits: int | None = None) -> DataFrame:
+    """The hits of every filter of a filter table: all, or the first ``max_hits`` of each."""
+    if max_hits is None:
+        return match_filter_table(logs, filters)
     order = [c for c in HIT_ORDER if c in logs.columns]
     matches = match_filter_table(logs, filters, enough=max_hits)
     return first_per_group(matches, ["filter_id"], order, max_hits)
@@ -72,10 +76,11 @@ def _hex(text: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(_digits(text)))
 
 
-def valid_logs(hits: DataFrame) -> DataFrame:
+def valid_logs(hits: DataFrame, keep: bool = False) -> DataFrame:
     """Hits with every required field well formed; a malformed topic goes alone.
 
-    Takes the fields as they come from documents and adds ``topics``.
+    Takes the fields as they come from documents and adds ``topics``. ``keep`` keeps the
+    malformed hits as well, told apart by ``is_valid``.
     """
     required = (
         _is_hex(F.col("contract_address"), 20)
@@ -91,7 +96,10 @@ def valid_logs(hits: DataFrame) -> DataFrame:
     )
     others = [c for c in hits.columns if c not in TOPIC_COLUMNS]
     fixed = {c: _hex(F.col(c)).alias(c) for c in ("contract_address", "tx_hash", "block_hash", "data")}
-    return hits.where(required).select(*[fixed.get(c, F.col(c)) for c in others], topics.alias("topics"))
+    chosen = [*[fixed.get(c, F.col(c)) for c in others], topics.alias("topics")]
+    if keep:
+        return hits.select(*chosen, F.coalesce(required, F.lit(False)).alias("is_valid"))
+    return hits.where(required).select(*chosen)
 
 
 def answer_log() -> Column:

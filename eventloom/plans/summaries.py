@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.config import BLOCK_BUCKET, BUCKET_BLOCKS
 from eventloom.functions.text import hex_quantity
-from eventloom.operators.filters import LATEST_TAGS
+from eventloom.operators.filters import LATEST_TAGS, highest_block
 from eventloom.plans.logs import MAX_BLOCK_LOGS, MAX_RECEIPT_LOGS, answer_log, valid_logs
 
 ZERO_HASH = "0x" + "0" * 64
@@ -100,9 +101,11 @@ def get_block(logs: DataFrame, block: int | str = "latest") -> DataFrame:
     if block == "earliest":
         block = 0
     if block == "latest":
-        chosen = logs.where(number == latest_block(logs).scalar())
+        chosen = logs.where(number == highest_block(logs))
     elif isinstance(block, int):
         chosen = logs.where(number == block)
+        if BLOCK_BUCKET in logs.columns:
+            chosen = chosen.where(F.col(BLOCK_BUCKET) == block // BUCKET_BLOCKS)
     elif block in LATEST_TAGS:
         raise ValueError(f"unsupported block tag: {block}")
     else:
@@ -111,27 +114,31 @@ def get_block(logs: DataFrame, block: int | str = "latest") -> DataFrame:
 
 
 def receipts_from_logs(logs: DataFrame) -> DataFrame:
-    """A receipt for every transaction that has logs, in pages of 1,000 log positions.
+    """A receipt for every transaction that has hits, one row per page of 1,000 log positions.
 
-    ``to`` is the contract of the first log and stands on page 0.
+    Its fields come from the first hit, malformed or not; only well-formed hits are listed.
+    ``to`` is the contract of the first hit and stands on page 0. A page without any
+    well-formed hit has an empty list. Hits without a transaction hash have no receipt.
     """
     order = ["log_index", *[c for c in ("event", "indexed_id") if c in logs.columns]]
     page = F.floor(F.col("log_index") / MAX_RECEIPT_LOGS)
-    rows = valid_logs(logs).select(
-        "tx_hash",
-        page.alias("page"),
+    rows = valid_logs(logs, keep=True).where("tx_hash IS NOT NULL").select(
+        F.lower("tx_hash").alias("tx_hash"),
+        F.coalesce(page, F.lit(0)).alias("page"),
         "transaction_index",
-        "block_hash",
+        F.lower("block_hash").alias("block_hash"),
         "block_number",
-        "contract_address",
+        F.lower("contract_address").alias("contract_address"),
         F.struct(*order).alias("rank"),
-        answer_log().alias("log"),
+        F.when(F.col("is_valid"), answer_log()).alias("log"),
     )
     pages = rows.groupBy("tx_hash", "page").agg(
         F.min_by(
             F.struct("transaction_index", "block_hash", "block_number", "contract_address"), "rank"
         ).alias("first"),
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "log"))), lambda x: x["log"]).alias("logs"),
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("log").isNotNull(), F.struct("rank", "log")))), lambda x: x["log"]
+        ).alias("logs"),
     )
     return pages.select(
         F.col("tx_hash").alias("transactionHash"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom import fixtures as fx
-from eventloom.config import AbiInput, AbiItem, ContractMapping, JobConfig
+from eventloom.config import BUCKET_BLOCKS, AbiInput, AbiItem, ContractMapping, JobConfig
 from eventloom.functions.bloom import bloom_has, event_gate, mapping_gate
 from eventloom.functions.keccak import checksum_address
 from eventloom.functions.text import epoch_seconds, hex_quantity, rfc3339
@@ -25,6 +25,7 @@ from eventloom.operators.transfers import native_transfers, txs_with_logs
 from eventloom.plans import summaries
 from eventloom.plans.documents import document_columns, read_back, to_documents
 from eventloom.plans.logs import (
+    MAX_LOGS,
     answer_logs,
     get_event_logs,
     get_logs,
@@ -35,7 +36,7 @@ from eventloom.plans.logs import (
 from eventloom.plans.sync import bounded
 from eventloom.session import scratch_path
 from eventloom.sinks import tables
-from eventloom.sinks.tables import BUCKET_BLOCKS, CsvSink, ParquetSink
+from eventloom.sinks.tables import CsvSink, ParquetSink
 from eventloom.sources import chain
 from eventloom.sources.csv import read_event_csv
 
@@ -179,10 +180,10 @@ def scan_block_range(spark, sf_dir):
     '0x' || lpad(lower(hex(o_custkey)), 40, '0') AS "from",
     CASE WHEN o_orderstatus <> 'P' THEN '{AA}' END AS "to",
     CASE WHEN o_orderpriority = '1-URGENT' THEN round(o_totalprice * 100)::BIGINT::VARCHAR ELSE '0' END AS value
-    FROM t WHERE block_number BETWEEN {RANGE[0]} AND {RANGE[1]}""",
+    FROM t""",
 )
 def scan_transactions(spark, sf_dir):
-    return chain.in_block_range(fx.receipts(spark, sf_dir), *RANGE).select(
+    return fx.receipts(spark, sf_dir).select(
         "block_number", "transaction_index", "tx_hash", "from", "to", "value"
     )
 
@@ -191,11 +192,10 @@ def scan_transactions(spark, sf_dir):
     "scan_logs",
     f"""WITH {RAW} SELECT block_number, transaction_index, tx_hash, log_position, address,
     concat_ws(',', topic0, topic1, topic2) AS topics, data
-    FROM raw WHERE block_number BETWEEN {RANGE[0]} AND {RANGE[1]}""",
+    FROM raw""",
 )
 def scan_logs(spark, sf_dir):
-    ranged = chain.in_block_range(fx.receipts(spark, sf_dir), *RANGE)
-    return chain.raw_logs(ranged).withColumn("topics", F.concat_ws(",", "topics"))
+    return chain.raw_logs(fx.receipts(spark, sf_dir)).withColumn("topics", F.concat_ws(",", "topics"))
 
 
 @query("resolve_to_block", f"WITH {TX} SELECT max(block_number) AS best_block FROM t")
@@ -395,7 +395,7 @@ def _log_query(condition: str) -> str:
 
 def _matching(log_filter: LogFilter) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return matching_logs(_logs(spark, sf_dir), log_filter).drop("indexed_id")
+        return matching_logs(fx.logs(spark, sf_dir), log_filter).select(*LOG_COLUMNS)
 
     return run
 
@@ -439,18 +439,19 @@ HIT_ORDER_SQL = "block_number, log_index, transaction_index, event"
 )
 def get_logs_query(spark, sf_dir):
     request = LogFilter.parse({"fromBlock": hex(RANGE[0]), "address": AA})
-    return get_logs(_logs(spark, sf_dir), request).drop("indexed_id")
+    hits = get_logs(fx.logs(spark, sf_dir), request, MAX_LOGS)
+    return hits.select(*LOG_COLUMNS)
 
 
 @query(
     "get_event_logs",
     f"""WITH {LOGS} SELECT address AS contract_address, log_index, transaction_index, arg1 AS owner,
     arg2 AS spender, amount AS value, tx_hash, block_number FROM d WHERE event = 'approval'
-    AND block_number >= {RANGE[0]} ORDER BY block_number, log_index, transaction_index LIMIT 1000""",
+    ORDER BY block_number, log_index, transaction_index LIMIT 1000""",
 )
 def get_event_logs_query(spark, sf_dir):
     hits = get_event_logs(
-        fx.event_table_frames(spark, sf_dir), "Approval", LogFilter.parse({"fromBlock": hex(RANGE[0])})
+        fx.event_table_frames(spark, sf_dir), "Approval", LogFilter(), MAX_LOGS
     )
     return hits.select(
         "contract_address",
@@ -510,7 +511,7 @@ def _filter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT filter_id, {LOG_FIELDS} FROM ranked WHERE n <= 1000""",
 )
 def logs_by_filter_table(spark, sf_dir):
-    return get_logs_by_table(_logs(spark, sf_dir), _filter_table(spark, sf_dir)).drop("indexed_id")
+    return get_logs_by_table(_logs(spark, sf_dir), _filter_table(spark, sf_dir), MAX_LOGS).drop("indexed_id")
 
 
 def _spoiled_hits(logs: DataFrame) -> DataFrame:

@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventloom.config import BLOCK_LOG_INDEX, NATIVE_COLUMNS, NATIVE_TABLE, ConfigError, JobConfig
+from eventloom.config import (
+    BLOCK_BUCKET, BLOCK_LOG_INDEX, BUCKET_BLOCKS, NATIVE_COLUMNS, NATIVE_TABLE, ConfigError, JobConfig,
+)
 from eventloom.plans.documents import to_documents
 
 log = logging.getLogger(__name__)
 
-BUCKET_BLOCKS = 100_000
 # Columns whose values are spread over all blocks: files sorted by block cannot be
 # skipped by their value range, so row groups carry a bloom filter for them.
 SCATTERED_COLUMNS = ("tx_hash", "topic1", "topic2")
+RANGE = "run_range"
 
 
 def native_schema() -> T.StructType:
@@ -45,11 +47,16 @@ def by_block(df: DataFrame) -> DataFrame:
 
 @dataclass
 class ParquetSink:
-    """A folder of Parquet files per table, partitioned by block bucket."""
+    """A folder of Parquet files per table, partitioned by block bucket and by the range of the run.
+
+    With ``block_range`` set, a run replaces what an earlier run over the same range
+    wrote; without, rows are added.
+    """
 
     directory: str
     drop: bool = False
     name: str = "parquet"
+    block_range: str | None = None
 
     def path(self, table: str) -> str:
         return f"{self.directory.rstrip('/')}/{table}"
@@ -61,7 +68,12 @@ class ParquetSink:
             empty.write.mode("overwrite" if self.drop else "ignore").parquet(self.path(table))
 
     def write(self, table: str, df: DataFrame) -> None:
-        writer = by_block(df).write.mode("append").partitionBy("block_bucket")
+        run = F.lit(self.block_range or "all").alias(RANGE)
+        writer = by_block(df).select("*", run).write.partitionBy(BLOCK_BUCKET, RANGE)
+        if self.block_range:
+            writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        else:
+            writer = writer.mode("append")
         for c in SCATTERED_COLUMNS:
             if c in df.columns:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
@@ -69,10 +81,11 @@ class ParquetSink:
 
     def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
         """The stored table; the position in the block is null where the chain tables lack it."""
-        stored = T.StructType(schema.fields + [T.StructField("block_bucket", T.LongType())])
+        stored = T.StructType(schema.fields + [T.StructField(BLOCK_BUCKET, T.LongType())])
+        stored = stored.add(RANGE, T.StringType())
         if table != NATIVE_TABLE:
             stored = stored.add(BLOCK_LOG_INDEX, T.LongType())
-        return spark.read.schema(stored).parquet(self.path(table))
+        return spark.read.schema(stored).parquet(self.path(table)).drop(RANGE)
 
 
 def event_tables_at(spark: SparkSession, config: JobConfig, directory: str) -> dict[str, DataFrame]:

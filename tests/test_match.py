@@ -52,6 +52,29 @@ def test_patterns(spark, name, kind, pattern, value, fits):
     assert matches(spark, event, (AA, [event.topic0, "0x" + word(value)], "0x")) is fits
 
 
+@pytest.mark.parametrize("data", [None, "", "0x"])
+def test_no_data_has_no_words(spark, data):
+    topics = lambda event: [event.topic0, "0x" + word(1)]
+    indexed = item("E", ("v", "uint256", True))
+    assert matches(spark, indexed, (AA, topics(indexed), data))
+    plain = item("E", ("v", "uint256", False))
+    assert not matches(spark, plain, (AA, [plain.topic0], data))
+
+
+@pytest.mark.parametrize(
+    "pattern, fits", [("^[[:digit:]]+$", True), ("^[[:alpha:]]+$", False), ("^(?P<n>1)2", True), ("[[:^digit:]]", False)]
+)
+def test_patterns_of_the_other_syntax(spark, pattern, fits):
+    event = item("E", ("v", "uint256", False), patterns={"v": pattern})
+    assert matches(spark, event, (AA, [event.topic0], "0x" + word(1234))) is fits
+
+
+@pytest.mark.parametrize("pattern", ["[a-z--b]", "[a~~b]", "[[:nope:]]"])
+def test_patterns_without_a_counterpart_are_refused(pattern):
+    with pytest.raises(ValueError):
+        java_pattern(pattern)
+
+
 def test_all_patterns_must_match(spark):
     event = item(*[TRANSFER.name], *[(i.name, i.type, i.indexed) for i in TRANSFER.inputs], patterns={"from": "1$", "value": "^7"})
     assert matches(spark, event, transfer(AA, 1, 2, 70))

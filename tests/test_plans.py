@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_point
 from eventloom import fixtures
-from eventloom.operators.decode import with_hits
+from eventloom.operators.decode import stage_events, with_hits
 from eventloom.operators.filters import LogFilter
 from eventloom.plans.logs import get_logs
 from eventloom.plans.summaries import get_block, get_receipt
@@ -50,7 +50,7 @@ def test_block_range_reaches_the_receipt_scan(spark):
 
 def test_log_filter_reaches_every_table_scan(logs):
     f = LogFilter.parse({"fromBlock": "0x5", "address": fixtures.AA, "topics": [fixtures.TRANSFER.topic0]})
-    text = plan(get_logs(logs, f))
+    text = plan(get_logs(logs, f, 1000))
     assert "TakeOrderedAndProject" in text
     for pushed in (
         "GreaterThanOrEqual(block_number,5)",
@@ -58,6 +58,14 @@ def test_log_filter_reaches_every_table_scan(logs):
         f"EqualTo(topic0,{fixtures.TRANSFER.topic0})",
     ):
         assert text.count(pushed) == 2, pushed
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*block_bucket[^\]]*>= 0", text)) == 2
+
+
+def test_the_bloom_gate_stands_below_the_log_matching(spark):
+    gated = stage_events(fixtures.receipts(spark, SMALL), fixtures.headers(spark, SMALL), EVERY_EVENT)
+    lines = plan(gated).splitlines()
+    semi = next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+    assert any("exists(logs" in line or "transform(logs" in line for line in lines[:semi])
 
 
 def test_point_lookups_filter_below_the_grouping(logs):

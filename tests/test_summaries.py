@@ -74,3 +74,12 @@ def test_large_receipts_continue_on_further_pages(logs, monkeypatch):
 
 def test_counts(logs):
     assert rows(summaries.event_counts(logs)) == [("approval", 1), ("transfer", 17)]
+
+
+def test_receipt_of_malformed_hits(spark):
+    good, bad = log(1, 0, 1), list(log(1, 0, 0, BB))
+    bad[9] = "0xabc"
+    (receipt,) = summaries.receipts_from_logs(spark.createDataFrame([good, tuple(bad)], LOGS)).collect()
+    assert receipt.to == BB and [l.address for l in receipt.logs] == [AA]
+    (receipt,) = summaries.receipts_from_logs(spark.createDataFrame([tuple(bad)], LOGS)).collect()
+    assert receipt.to == BB and receipt.logs == []
