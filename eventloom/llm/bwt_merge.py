@@ -4,9 +4,12 @@ The transform of each shard is made alone. To merge them, the rows of all shards
 interleaved, first in shard order, and the interleave is refined symbol by symbol: after h
 rounds rows stand in the order of their first h symbols. A round takes each row's preceding
 symbol, puts the rows in the order of those symbols, equal ones as they stood, and so gets
-the interleave of the suffixes one symbol longer. Nothing is sorted but single symbols. A
-gap between rows that opens in round h means that their suffixes share h - 1 symbols; rows
-with no gap between them after ``depth`` rounds begin with the same ``depth`` symbols.
+the interleave of the suffixes one symbol longer. Nothing is sorted but single symbols.
+
+A gap between rows that opens in round h means that their suffixes share h - 1 symbols. A
+row with a gap on both sides shares fewer than h symbols with any other, and so do, one
+symbol longer, all rows that would come from it: it is left out from then on. The rows left
+after ``depth`` rounds, cut at the gaps, are the intervals of equal strings of that length.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ import numpy as np
 
 @dataclass
 class Transform:
-    """Rows of one shard in suffix order: preceding symbol, text position, row of the suffix before."""
+    """Rows of one shard in suffix order: preceding symbol, place in the text and in its string,
+    row of the suffix one symbol longer."""
 
     symbols: np.ndarray
     positions: np.ndarray
+    offsets: np.ndarray
     previous: np.ndarray
-    strings: int
 
 
 def transform(text: np.ndarray) -> Transform:
@@ -53,42 +57,36 @@ def transform(text: np.ndarray) -> Transform:
     starts = np.concatenate([[0], ends[:-1] + 1])
     before = np.arange(n) - 1
     before[starts] = ends
-    return Transform(text[before[order]], order, rank[before[order]], len(ends))
+    offsets = np.arange(n) - starts[string]
+    return Transform(text[before[order]], order, offsets[order], rank[before[order]])
+
 
+def repeated_intervals(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merges the shards and returns their repeated strings of ``depth`` symbols.
 
-def merge(shards: list[Transform], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in the shards' texts put end to end), and for each row in merged order the
-    number of symbols it shares with the row before, ``depth`` if that many or more."""
-    sizes = [len(s.symbols) for s in shards]
-    bases = np.cumsum([0, *sizes[:-1]])
+    Positions, in the shards' texts put end to end, of all suffixes whose first ``depth``
+    symbols another suffix has as well, in order of those symbols, and the number of the
+    interval that each belongs to.
+    """
+    bases = np.cumsum([0, *[len(s.symbols) for s in shards[:-1]]])
     symbols = np.concatenate([s.symbols for s in shards])
     previous = np.concatenate([s.previous + b for s, b in zip(shards, bases)]).astype(np.int32)
     positions = np.concatenate([s.positions + b for s, b in zip(shards, bases)])
-    closers = np.concatenate([np.arange(b, b + s.strings) for s, b in zip(shards, bases)]).astype(np.int32)
-    n, strings = len(symbols), len(closers)
-    interleave = np.arange(n, dtype=np.int32)
-    shared = np.full(n, depth, np.int16)
-    shared[0] = 0
-    for round_ in range(1, depth + 1):
-        gap = np.cumsum(shared < depth, dtype=np.int32)
-        before = symbols[interleave]
-        step = np.argsort(before, kind="stable")[strings:]
-        # Ends of strings come first, in shard and string order, and differ from each other.
-        moved = previous[interleave[step]]
-        symbol, block = before[step], gap[step]
-        opened = np.ones(n, bool)
-        opened[strings + 1 :] = (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])
-        fresh = opened & (shared == depth)
-        interleave = np.concatenate([closers, moved])
-        if not fresh.any():
+    deep = np.concatenate([s.offsets for s in shards]) >= depth
+    interleave = np.nonzero(deep)[0].astype(np.int32)
+    interval = np.zeros(len(interleave), np.int32)
+    for _ in range(depth):
+        if not len(interleave):
             break
-        shared[fresh] = round_ - 1
-    return positions[interleave], shared
-
-
-def repeated_intervals(shared: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows [start, stop) of the intervals of two rows or more that begin with the same ``depth`` symbols."""
-    same = shared >= depth
-    starts = np.nonzero(~same & np.concatenate([same[1:], [False]]))[0]
-    stops = np.nonzero(same & ~np.concatenate([same[1:], [False]]))[0] + 1
-    return starts, stops
+        before = symbols[interleave]
+        step = np.argsort(before, kind="stable")
+        old = interval[step]
+        opened = np.empty(len(step) + 1, bool)
+        opened[1:-1] = old[1:] != old[:-1]
+        # A new symbol begins where the counts of the smaller ones end.
+        opened[np.cumsum(np.bincount(before))] = True
+        opened[0] = opened[-1] = True
+        shared = np.nonzero(~(opened[:-1] & opened[1:]))[0]
+        interval = np.cumsum(opened[:-1], dtype=np.int32)[shared]
+        interleave = previous[interleave[step[shared]]]
+    return positions[interleave], interval

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm import bwt_merge
@@ -40,10 +40,14 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1
 SIDE = 34
 CROWD = 20_000
-BATCH_BYTES = 1 << 21
-SHARD_BYTES = 1 << 18
+BATCH_BYTES = 1 << 20
+SHARD_BYTES = 1 << 17
 LOWEST = -(1 << 63)
 PLACE_BITS = 24
+TOGETHER = 1 << 21
+FACTOR = np.int64(0x2545F4914F6CDD1D)
+#: A run is packed as first start << 32, 25 bits of the text's hash << 7, count of starts.
+OWN, COUNT = (1 << 25) - 1, (1 << 7) - 1
 
 
 def encoded(text: str | None) -> bytes:
@@ -108,7 +112,7 @@ def anchor_runs(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def document_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def flush(ids: list, owns: list, parts: list[bytes]) -> pa.RecordBatch:
+    def flush(ids: list, owns: list, parts: list[bytes], moved: int = 0) -> pa.RecordBatch:
         data = b"".join(parts)
         sizes = np.array([len(p) for p in parts], np.int64)
         begin = np.cumsum(sizes) - sizes
@@ -116,13 +120,23 @@ def document_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         digest = xxhash.xxh64_intdigest
         spans = zip(first.tolist(), (last + LENGTH).tolist(), (at - first).tolist())
         pieces = np.array([digest(data[a:b], o) for a, b, o in spans], np.uint64).view(np.int64)
-        count = last - first + 1
+        ids_, first_ = np.array(ids, np.int64)[doc], first - begin[doc] + moved
+        run = first_ << 32 | np.array(owns, np.int64)[doc] << 7 | last - first + 1
+        # Of equal pieces at hand only the earliest can be the first of all.
+        order = np.lexsort((first_, ids_, pieces, anchor))
+        head = np.ones(len(order), bool)
+        head[1:] = (anchor[order][1:] != anchor[order][:-1]) | (pieces[order][1:] != pieces[order][:-1])
+        leader = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        late = np.empty(len(order), bool)
+        late[order] = (ids_[order] != ids_[leader]) | (first_[order] != first_[leader])
+        # Late rows only pass through: they are not dealt out by anchor, and their run is negative.
+        own_key = ((ids_ * FACTOR) ^ run) * FACTOR
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(anchor), pa.array(pieces), pa.array(np.array(ids, np.int64)[doc]),
-                pa.array(np.array(owns, np.int64)[doc]), pa.array((first - begin[doc]) << 8 | count),
+                pa.array(np.where(late, own_key, anchor)), pa.array(pieces), pa.array(ids_),
+                pa.array(np.where(late, -run, run)),
             ],
-            ["anchor", "piece", "doc", "own", "run"],
+            ["anchor", "piece", "doc", "run"],
         )
 
     ids, owns, parts, size = [], [], [], 0
@@ -130,11 +144,13 @@ def document_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         data = encoded(text)
         if len(data) < LENGTH:
             continue
-        if parts and size + len(data) >= 1 << 20:
+        if parts and size + len(data) > TOGETHER:
             yield flush(ids, owns, parts)
             ids, owns, parts, size = [], [], [], 0
-        if len(data) >= (1 << PLACE_BITS):
-            yield from long_document(doc, own, data, flush)
+        if len(data) > TOGETHER:
+            # Stretches of a long document; every string lies whole in one of them.
+            for start in range(0, len(data) - LENGTH + 1, TOGETHER):
+                yield flush([doc], [own], [data[start : start + TOGETHER + LENGTH - 1]], start)
             continue
         ids.append(doc)
         owns.append(own)
@@ -144,15 +160,6 @@ def document_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield flush(ids, owns, parts)
 
 
-def long_document(doc: int, own: int, data: bytes, flush) -> Iterator[pa.RecordBatch]:
-    """Stretches of a document too long for one batch; every string lies whole in one of them."""
-    step = 1 << 22
-    for start in range(0, len(data) - LENGTH + 1, step):
-        found = flush([doc], [own], [data[start : start + step + LENGTH - 1]])
-        moved = pa.array(found.column("run").to_numpy() + (start << 8))
-        yield found.set_column(4, "run", moved)
-
-
 # --- pieces that share an anchor ---
 
 
@@ -162,7 +169,7 @@ def piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = encoded(text)
         n = len(anchor_list)
         runs = np.array([a["run"] for a in anchor_list], np.int64)
-        first, count = runs >> 8, runs & 255
+        first, count = runs >> 32, runs & COUNT
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([a["anchor"] for a in anchor_list], pa.int64()), pa.array([doc] * n, pa.int64()),
@@ -222,20 +229,16 @@ def shared_strings(docs: np.ndarray, owns: np.ndarray, firsts: np.ndarray, piece
     shard_of = begin // SHARD_BYTES
     cuts = np.append(begin[np.concatenate([[True], shard_of[1:] != shard_of[:-1]])], len(data))
     shards = [bwt_merge.transform(data[a:b]) for a, b in zip(cuts, cuts[1:])]
-    positions, shared = bwt_merge.merge(shards, LENGTH)
-    starts, stops = bwt_merge.repeated_intervals(shared, LENGTH)
-    if not len(starts):
+    at, interval = bwt_merge.repeated_intervals(shards, LENGTH)
+    if not len(at):
         return []
-    members = stops - starts
-    at = positions[np.repeat(starts - np.cumsum(members) + members, members) + np.arange(members.sum())]
-    interval = np.repeat(np.arange(len(starts)), members)
     piece = np.searchsorted(begin, at, side="right") - 1
     doc, first = docs[order][piece], firsts[order][piece] + at - begin[piece]
     in_order = np.lexsort((first, doc))
     changes = (np.diff(doc[in_order]) != 0) | (np.diff(first[in_order]) != 0)
     place = np.empty(len(at), np.int64)
     place[in_order] = np.concatenate([[0], np.cumsum(changes)])
-    earliest = np.full(len(starts), len(at))
+    earliest = np.full(interval[-1] + 1, len(at))
     np.minimum.at(earliest, interval, place)
     repeat = place > earliest[interval]
     by_piece = np.lexsort((first[repeat], piece[repeat]))
@@ -304,32 +307,33 @@ RUNS = "doc bigint, own bigint, first bigint, last bigint"
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """doc, own, first, last: runs of starts of repeats. ``docs`` has doc, own and text."""
-    anchors = docs.mapInArrow(document_anchors, "anchor bigint, piece bigint, doc bigint, own bigint, run bigint")
-    place = F.struct("doc", F.shiftright("run", 8).alias("first"))
-    by_piece = Window.partitionBy("anchor", "piece").orderBy("doc", F.shiftright("run", 8))
+    anchors = docs.mapInArrow(document_anchors, "anchor bigint, piece bigint, doc bigint, run bigint")
+    late, run = F.col("run") < 0, F.abs("run")
+    by_piece = Window.partitionBy("anchor", "piece").orderBy(late, "doc", F.shiftright("run", 32))
     by_anchor = Window.partitionBy("anchor")
+    is_first = (F.col("place") == 1) & ~late
     marked = (
         anchors.repartition("anchor")
         .withColumn("place", F.rank().over(by_piece))
-        .withColumn("many", F.count("*").over(by_anchor))
-        .where("many > 1")
-        .withColumn("pieces", F.sum(F.when(F.col("place") == 1, 1).otherwise(0)).over(by_anchor))
+        .withColumn("pieces", F.sum(F.when(is_first, 1).otherwise(0)).over(by_anchor))
+        .where(~is_first | (F.col("pieces") > 1))
     )
     # What stays: repeats of whole pieces, and first pieces of anchors that have several.
+    own = F.shiftright(run, 7).bitwiseAND(F.lit(OWN))
     marks = written(
-        marked.where("place > 1 OR pieces > 1").select("anchor", "doc", "own", "run", "place", "pieces"), "marks"
+        marked.select("anchor", "doc", own.alias("own"), run.alias("run"), is_first.alias("first"), "pieces"), "marks"
     )
-    first = F.shiftright("run", 8)
-    whole = marks.where("place > 1").select(
-        "doc", "own", first.alias("first"), (first + F.col("run").bitwiseAND(F.lit(255)) - 1).alias("last")
+    whole = marks.where("NOT first").select(
+        "doc", "own", F.shiftright("run", 32).alias("first"),
+        (F.shiftright("run", 32) + F.col("run").bitwiseAND(F.lit(COUNT)) - 1).alias("last"),
     )
 
     def pieces_of(asked: DataFrame) -> DataFrame:
         wanted = asked.groupBy("doc", "own").agg(F.collect_list(F.struct("anchor", "run")).alias("asked"))
         return docs.join(wanted, ["doc", "own"]).mapInArrow(piece_rows, PIECES)
 
-    open_ = marks.where("place = 1 AND pieces > 1")
-    few = written(pieces_of(open_.where(F.col("pieces") <= CROWD)), "pieces")
+    open_ = marks.where("first AND pieces > 1")
+    few = pieces_of(open_.where(F.col("pieces") <= CROWD))
     merged = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(merge_pieces, RUNS)
     found = whole.unionByName(written(merged, "repeats"))
     crowd = open_.where(F.col("pieces") > CROWD)
@@ -354,8 +358,13 @@ def kept_parts(size: int, runs: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in zip([0, *stops.tolist()], [*starts.tolist(), size])]
 
 
+def own_of(text: Column) -> Column:
+    """Tells rows with the same id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit(OWN))
+
+
 def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``runs``: array of the runs [first, last] of starts of repeats, null if none.
+    """``docs`` with ``_runs``: array of the runs [first, last] of starts of repeats, null if none.
 
     Null text is empty. A null id counts as the smallest. Rows that share an id are one
     document to the order of places: of equal strings in them only a later start is a
@@ -364,16 +373,16 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = docs.withColumns(
         {
             "_doc": F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)),
-            "_own": F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))),
+            "_own": own_of(F.col(text_col)),
         }
     )
     # Equal rows have equal repeats: one of them is enough.
     texts = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)).alias("doc"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own"), F.col(text_col).alias("text"),
+        own_of(F.col(text_col)).alias("own"), F.col(text_col).alias("text"),
     )
     runs = repeated_starts(texts).select(F.col("doc").alias("_doc"), F.col("own").alias("_own"), "first", "last")
-    by_doc = runs.groupBy("_doc", "_own").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    by_doc = runs.groupBy("_doc", "_own").agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
     return keyed.join(by_doc, ["_doc", "_own"], "left").drop("_doc", "_own")
 
 
@@ -383,7 +392,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, runs in rows([batch], "text", "runs"):
+            for text, runs in rows([batch], "text", "_runs"):
                 data = encoded(text)
                 parts = kept_parts(len(data), runs)
                 kept = b"".join([data[a:b] for a, b in parts])
@@ -412,7 +421,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             texts, lengths = [], []
             counts = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else [None] * batch.num_rows
-            for (text, runs), n in zip(rows([batch], text_col, "runs"), counts):
+            for (text, runs), n in zip(rows([batch], text_col, "_runs"), counts):
                 if runs:
                     data = encoded(text)
                     parts = kept_parts(len(data), runs)
@@ -423,8 +432,8 @@ def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = {text_col: pa.array(texts, pa.string())}
             if "n_chars" in batch.schema.names:
                 new["n_chars"] = pa.array(lengths, batch.schema.field("n_chars").type)
-            names = [n for n in batch.schema.names if n != "runs"]
+            names = [n for n in batch.schema.names if n != "_runs"]
             yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in names], names)
 
-    marked = with_repeats(docs, text_col=text_col).select(*docs.columns, "runs")
+    marked = with_repeats(docs, text_col=text_col).select(*docs.columns, "_runs")
     return marked.mapInArrow(cut, docs.schema)
