@@ -6,9 +6,9 @@ an agenda, best score first, then from the left. A candidate is skipped for good
 hash of the seed, the chunk, its variant, the candidate's place and its two symbols falls
 below the dropout; else it is merged and its new neighbours become candidates. The hash
 alone decides, so a retried task gives the same ids, and a skip can be known when a
-candidate first appears. Every occurrence of a chunk has one of ``variants`` variants,
-drawn by a hash of seed, document and place: one word is cut in several ways, and each way is
-worked out once.
+candidate first appears. Every stretch of 32 chunks has one of ``variants`` variants, drawn by
+a hash of seed, document and place: one word is cut in several ways in a corpus and in a long
+text, and each way is worked out once.
 
 Short chunks are worked off together, one merge of each at a time; long ones by a heap.
 """
@@ -23,7 +23,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -32,7 +31,8 @@ SPACE = "▁"
 CHUNKS = re.compile(r" *[^ \n]+| +|\n")
 NEVER = np.int32(2**31 - 1)
 WIDTHS = [4, 6, 8, 10, 12, 16, 24, 48]
-MOST_CACHED = 400_000
+MOST_CACHED = 150_000
+STRETCH = 32
 SYMBOL_BITS = 22
 FACTORS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -85,11 +85,6 @@ class Pieces:
             if len(piece) == 1 and piece != SPACE:
                 self.symbol_of[ord(piece)] = i
         self.symbol_of[ord(" ")] = self.ids.get(SPACE, size + ord(SPACE))
-        self.bytes_of: list[bytes] = [b""] * size
-        for i, piece in text.items():
-            self.bytes_of[i] = piece.replace(SPACE, " ").encode()
-        for b, i in enumerate(self.byte_ids):
-            self.bytes_of[i] = bytes([b])
 
     def symbol(self, text: str) -> int | None:
         found = self.ids.get(text)
@@ -117,6 +112,25 @@ class Pieces:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def piece_bytes(path: str) -> list[bytes]:
+    """What each id stands for in a text; nothing for control pieces."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=path)
+    return [
+        bytes([int(model.id_to_piece(i)[3:-1], 16)]) if model.is_byte(i)
+        else b"" if model.is_control(i) or model.is_unknown(i)
+        else model.id_to_piece(i).replace(SPACE, " ").encode()
+        for i in range(model.get_piece_size())
+    ]
+
+
+def decoded(ids: np.ndarray, table: list[bytes]) -> str:
+    """The text of ids, without the leading space."""
+    return b"".join(map(table.__getitem__, ids.tolist()))[1:].decode("utf-8", "surrogatepass")
+
+
 def skipped(key: np.ndarray, place: np.ndarray, left: np.ndarray, right: np.ndarray, share: float) -> np.ndarray:
     """Whether the hash of a candidate falls below the dropout."""
     if share <= 0:
@@ -208,30 +222,32 @@ def merge_long(pieces: Pieces, symbols: list[int], key: int, share: float) -> li
 
 
 class Encoder:
-    """Remembers the ids of chunks and variants; what is new in a batch is worked out together."""
+    """Remembers the ids of chunks per variant; what is new in a batch is worked out together."""
 
     def __init__(self, path: str, dropout: Dropout):
         self.pieces = Pieces(path)
         self.dropout = dropout
-        self.known: dict[tuple[str, int], bytes] = {}
+        self.known: list[dict[str, bytes]] = [{} for _ in range(max(1, dropout.variants))]
 
-    def learn(self, wanted: list[tuple[str, int]]) -> None:
-        share, seed = self.dropout.share, self.dropout.seed
-        digest = xxhash.xxh64_intdigest
-        keys = np.array(
-            [digest(c.encode("utf-8", "surrogatepass"), (seed * 0x9E3779B97F4A7C15 + v) % 2**64) for c, v in wanted], np.uint64
-        )
-        symbols, sizes = self.pieces.symbols([c for c, _ in wanted])
+    def learn(self, chunks: list[str], variant: int) -> None:
+        share, known = self.dropout.share, self.known[variant]
+        symbols, sizes = self.pieces.symbols(chunks)
         ends = np.cumsum(sizes)
         begins = ends - sizes
+        # A chunk's key: its characters as digits, mixed with seed and variant.
+        weights = mixed(np.arange(1, int(sizes.max()) + 1, dtype=np.uint64))
+        inside = np.arange(len(symbols)) - np.repeat(begins, sizes)
+        digits = mixed(symbols.astype(np.uint64) + FACTORS[0]) * weights[inside]
+        salt = np.uint64((self.dropout.seed * 0x9E3779B97F4A7C15 + variant + 1) % 2**64)
+        keys = mixed(np.add.reduceat(digits, begins) + mixed(np.array([salt]))[0])
         order = np.argsort(sizes, kind="stable")
         cuts = np.searchsorted(sizes[order], [0, *WIDTHS], side="right")
         for low, high, width in zip(cuts, cuts[1:], WIDTHS):
-            for start in range(low, high, 16384):
-                rows_ = order[start : min(high, start + 16384)]
+            for start in range(low, high, 8192):
+                rows_ = order[start : min(high, start + 8192)]
                 at = begins[rows_, None] + np.arange(width + 1)
-                inside = np.arange(width + 1) < sizes[rows_, None]
-                matrix = np.where(inside, symbols[np.minimum(at, len(symbols) - 1)], -1).astype(np.int32)
+                there = np.arange(width + 1) < sizes[rows_, None]
+                matrix = np.where(there, symbols[np.minimum(at, len(symbols) - 1)], -1).astype(np.int32)
                 found = merge_short(self.pieces, matrix, keys[rows_], share)
                 used = found >= 0
                 data = found[used].astype("<i4").tobytes()
@@ -239,35 +255,37 @@ class Encoder:
                 spans = zip(rows_.tolist(), np.concatenate([[0], stops[:-1]]).tolist(), stops.tolist())
                 odd = (found >= self.pieces.size).any(axis=1)
                 for (i, a, b), is_odd in zip(spans, odd.tolist()):
-                    self.known[wanted[i]] = self.spelt(np.frombuffer(data[a:b], "<i4").tolist()) if is_odd else data[a:b]
+                    known[chunks[i]] = self.spelt(np.frombuffer(data[a:b], "<i4").tolist()) if is_odd else data[a:b]
         for i in order[cuts[-1] :].tolist():
             long = merge_long(self.pieces, symbols[begins[i] : ends[i]].tolist(), int(keys[i]), share)
-            self.known[wanted[i]] = self.spelt(long)
+            known[chunks[i]] = self.spelt(long)
 
     def spelt(self, symbols: list[int]) -> bytes:
         return np.array(self.pieces.spelt(symbols), "<i4").tobytes()
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[bytes | None]:
         """Ids of each text as bytes; ``keys`` tell documents apart."""
-        drawn = []
+        drawn: list[list[tuple[int, list[str]]]] = []
+        wanted: list[set[str]] = [set() for _ in self.known]
         for text, key in zip(texts, keys):
             # A leading space, as the model was trained with; an empty text has none.
             chunks = CHUNKS.findall(" " + text) if text else []
-            place = np.arange(len(chunks), dtype=np.uint64)
+            stretches = [chunks[i : i + STRETCH] for i in range(0, len(chunks), STRETCH)]
             document = np.uint64((key * 0x94D049BB133111EB + self.dropout.seed) % 2**64)
-            variant = mixed(place * FACTORS[0] + document) % np.uint64(max(1, self.dropout.variants))
-            drawn.append(list(zip(chunks, variant.tolist())))
-        if len(self.known) > MOST_CACHED:
-            self.known.clear()
-        new = {c for line in drawn for c in line if c not in self.known}
-        if new:
-            self.learn(list(new))
-        get = self.known.__getitem__
-        return [None if t is None else b"".join(map(get, line)) for t, line in zip(texts, drawn)]
-
-    def decode(self, ids: np.ndarray) -> str:
-        data = b"".join(map(self.pieces.bytes_of.__getitem__, ids.tolist()))
-        return data[1:].decode("utf-8", "surrogatepass")
+            variants = mixed(np.arange(len(stretches), dtype=np.uint64) * FACTORS[0] + document)
+            drawn.append(list(zip((variants % np.uint64(len(self.known))).tolist(), stretches)))
+            for variant, stretch in drawn[-1]:
+                wanted[variant].update(stretch)
+        for variant, chunks in enumerate(wanted):
+            if len(self.known[variant]) > MOST_CACHED:
+                self.known[variant].clear()
+            if new := list(chunks.difference(self.known[variant])):
+                self.learn(new, variant)
+        get = [k.__getitem__ for k in self.known]
+        return [
+            None if text is None else b"".join([b"".join(map(get[v], stretch)) for v, stretch in line])
+            for text, line in zip(texts, drawn)
+        ]
 
 
 @functools.lru_cache(maxsize=1)
@@ -276,46 +294,57 @@ def encoder(path: str, dropout: Dropout) -> Encoder:
 
 
 def segment(
-    docs: DataFrame, model: str, dropout: Dropout = Dropout(), id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, model: str, dropout: Dropout = Dropout(), id_col: str = "doc_id", text_col: str = "text",
+    restored: str | None = None,
 ) -> DataFrame:
-    """``docs`` with ``ids``: array<int>, the pieces of the whole text.
+    """``docs`` with ``ids``: array<int>, the pieces of the whole text (in place of a column of that name).
 
     Null text has null ids, an empty one none. Without dropout the ids are the library's own,
     but for texts with the character U+2581, which stands for a space there and is kept
     here as its bytes. Rows with equal id and text get equal ids; a null id counts as 0.
+    ``restored`` names a column for the text that the ids decode to, in the same pass.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = encoder(model, dropout)
+        table = piece_bytes(model)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
                 keys = [k or 0 for k in batch.column("_key").to_pylist()]
                 found = one.encode(batch.column(text_col).to_pylist(), keys)
-                sizes = np.array([len(f or b"") // 4 for f in found], np.int32)
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(f or b"" for f in found), "<i4"))
-                mask = pa.array([f is None for f in found], pa.bool_())
-                ids = pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)
-                kept = batch.drop_columns(["_key"])
-                yield pa.RecordBatch.from_arrays([*kept.columns, ids], [*kept.schema.names, "ids"])
-
-    keyed = docs.drop("ids").withColumn("_key", F.col(id_col).cast("bigint"))
-    return keyed.mapInArrow(encode, keyed.drop("_key").schema.add("ids", ArrayType(IntegerType())))
+                values = [None if f is None else np.frombuffer(f, "<i4") for f in found]
+                offsets = np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v in values])])
+                ids = pa.ListArray.from_arrays(
+                    pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(f or b"" for f in found), "<i4")),
+                    mask=pa.array([f is None for f in found], pa.bool_()),
+                )
+                columns, names = [*batch.drop_columns(["_key"]).columns, ids], [*batch.schema.names[:-1], "ids"]
+                if restored:
+                    columns.append(pa.array([None if v is None else decoded(v, table) for v in values], pa.string()))
+                    names.append(restored)
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    plain = docs.drop("ids", *([restored] if restored else []))
+    fields = [*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))]
+    fields += [StructField(restored, StringType())] if restored else []
+    return plain.withColumn("_key", F.col(id_col).cast("bigint")).mapInArrow(encode, StructType(fields))
 
 
 def restore(segmented: DataFrame, model: str, text_col: str = "decoded") -> DataFrame:
     """``segmented`` with the text its ``ids`` decode to in ``text_col``; null ids give null."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(model, Dropout())
+        table = piece_bytes(model)
         for batch in batches:
             column = batch.column("ids")
             values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
             missing = column.is_null().to_pylist()
             texts = [
-                None if none else one.decode(values[a:b]) for none, a, b in zip(missing, offsets[:-1], offsets[1:])
+                None if none else decoded(values[a:b], table) for none, a, b in zip(missing, offsets[:-1], offsets[1:])
             ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, text_col])
 
-    return segmented.mapInArrow(decode, StructType([*segmented.schema.fields, StructField(text_col, StringType())]))
+    plain = segmented.drop(text_col)
+    return plain.mapInArrow(decode, StructType([*plain.schema.fields, StructField(text_col, StringType())]))

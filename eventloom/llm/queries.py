@@ -62,8 +62,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    restored = merge_dropout.restore(merge_dropout.segment(docs, model), model)
-    return restored.select(
+    return merge_dropout.segment(docs, model, restored="decoded").select(
         "doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless")
     )
 
