@@ -159,7 +159,7 @@ def _search(held: Broadcast, text_col: str):
         at = 0
         for batch in batches:
             own_spans, own_items, n_words = [], [], []
-            before = list(rows([batch], "spans", "items"))
+            before = list(rows([batch], "_spans", "_items"))
             for i in range(batch.num_rows):
                 old_spans, old_items = before[i]
                 n_words.append(int(lengths[at]))
@@ -178,9 +178,9 @@ def _search(held: Broadcast, text_col: str):
                     own_spans.append(old_spans)
                     own_items.append(old_items)
                 at += 1
-            kept = batch.drop_columns(["n_words", "spans", "items"])
-            kinds = {name: batch.schema.field(name).type for name in ("n_words", "spans", "items")}
-            found = [pa.array(v, kinds[k]) for k, v in (("n_words", n_words), ("spans", own_spans), ("items", own_items))]
+            kept = batch.drop_columns(["_n_words", "_spans", "_items"])
+            kinds = {name: batch.schema.field(name).type for name in ("_n_words", "_spans", "_items")}
+            found = [pa.array(v, kinds[k]) for k, v in (("_n_words", n_words), ("_spans", own_spans), ("_items", own_items))]
             yield pa.RecordBatch.from_arrays([*kept.columns, *found], [*kept.schema.names, *kinds])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,10 +208,10 @@ def find_passages(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
     item_id_col: str = "item_id", item_text_col: str = "text", pack_words: int = PACK_WORDS,
 ) -> DataFrame:
-    """All columns of ``docs`` with n_words, spans and items.
+    """All columns of ``docs`` with _n_words, _spans and _items.
 
-    ``spans`` are the merged stretches of words hit by an occurrence of a window, as
-    inclusive word and character positions; ``items`` the distinct ids, as text, whose
+    ``_spans`` are the merged stretches of words hit by an occurrence of a window, as
+    inclusive word and character positions; ``_items`` the distinct ids, as text, whose
     windows occur. Null or wordless text has no words and no hit. Items without an id or
     words take no part, and of items with the same id all texts count as that one's.
 
@@ -225,9 +225,9 @@ def find_passages(
     packs = -(-total // pack_words)
     found = docs.withColumns(
         {
-            "n_words": F.lit(0).cast("bigint"),
-            "spans": F.array().cast(SPANS),
-            "items": F.array().cast("array<string>"),
+            "_n_words": F.lit(0).cast("bigint"),
+            "_spans": F.array().cast(SPANS),
+            "_items": F.array().cast("array<string>"),
         }
     )
     for pack in range(max(1, packs)):
@@ -237,15 +237,17 @@ def find_passages(
     return found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pack_words: int = PACK_WORDS
+) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row."""
-    found = find_passages(docs.select("doc_id", "text"), benchmark, window)
+    found = find_passages(docs.select("doc_id", "text"), benchmark, window, pack_words=pack_words)
     hit = F.aggregate(
-        "spans", F.lit(0).cast("bigint"), lambda s, x: s + x["last_word"] - x["first_word"] + F.lit(1).cast("bigint")
+        "_spans", F.lit(0).cast("bigint"), lambda s, x: s + x["last_word"] - x["first_word"] + F.lit(1).cast("bigint")
     )
     return found.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("items")).cast("binary"), 256).alias("items_sha256"),
+        "doc_id", F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("_items")).cast("binary"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
 
@@ -253,9 +255,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def cut_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the characters of the spans, with n_chars brought up to date."""
     found = find_passages(docs, benchmark, window)
-    count = F.size("spans")
-    begin = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get("spans", i - 1)["last_char"] + 1)
-    stop = lambda i: F.when(i == count, F.length("text").cast("bigint")).otherwise(F.get("spans", i)["first_char"])
+    count = F.size("_spans")
+    begin = lambda i: F.when(i == 0, F.lit(0).cast("bigint")).otherwise(F.get("_spans", i - 1)["last_char"] + 1)
+    stop = lambda i: F.when(i == count, F.length("text").cast("bigint")).otherwise(F.get("_spans", i)["first_char"])
     piece = lambda i: F.substring(F.col("text"), (begin(i) + 1).cast("int"), (stop(i) - begin(i)).cast("int"))
     clean = F.array_join(F.transform(F.sequence(F.lit(0), count), piece), "")
     cleaned = found.withColumn("_clean", F.when(count > 0, clean))

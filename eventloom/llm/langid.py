@@ -168,13 +168,16 @@ def keep_known(
     Learned from the documents that are not held out. Texts without a letter go.
     """
     model = learn(docs.where(~held_out(id_col)), text_col=text_col, lang_col=lang_col)
-    marked = predict(docs, model, text_col, tuple(docs.columns))
-    told = marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return told.select(*[F.col("lang_pred").alias(c) if c == lang_col else c for c in docs.columns])
+    marked = predict(docs, model, text_col, tuple(docs.columns), ("_lang_pred", "_score"))
+    told = marked.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least))
+    return told.select(*[F.col("_lang_pred").alias(c) if c == lang_col else c for c in docs.columns])
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
-    """``columns`` of every row with lang_pred and score, from the whole text alone.
+def predict(
+    docs: DataFrame, model: LanguageModel, text_col: str = "text", columns: tuple[str, ...] = (),
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
+    """``columns`` of every row with lang_pred and score (as ``names``), from the whole text alone.
 
     A null text or one without a letter gives ``und`` and 0; so does every text if the
     model has learned nothing. Equal scores go to the first language in order of name. The
@@ -192,10 +195,10 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", colum
             kept = batch if scored in columns else batch.drop_columns([scored])
             yield pa.RecordBatch.from_arrays(
                 [*kept.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*kept.schema.names, "lang_pred", "score"],
+                [*kept.schema.names, *names],
             )
 
     scored = text_col if text_col in columns else "_text"
     wanted = docs.select(*columns) if scored in columns else docs.select(*columns, F.col(text_col).alias(scored))
-    schema = docs.select(*columns).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*columns).schema.add(names[0], "string").add(names[1], "double")
     return wanted.mapInArrow(score, schema)

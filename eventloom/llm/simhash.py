@@ -387,11 +387,12 @@ def drop_near_copies(
     stays = members.groupBy("label").agg(F.min(F.struct("id", "node")).alias("stays"))
     rows_of = members.groupBy("label", "id", "node").agg(F.count("*").alias("n"))
     judged = rows_of.join(stays, "label").select(
-        F.col("id").alias("_id"), F.col("node").alias("_node"), "n", (F.struct("id", "node") == F.col("stays")).alias("stays")
+        F.col("id").alias("_id"), F.col("node").alias("_node"), F.col("n").alias("_n"),
+        (F.struct("id", "node") == F.col("stays")).alias("_stays"),
     )
-    odd = written(judged.where("NOT stays OR n > 1"), "copies")
+    odd = written(judged.where("NOT _stays OR _n > 1"), "copies")
     same = keyed[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (keyed["_own"] == F.col("_node"))
-    kept = keyed.join(odd, same, "left").where("stays IS NULL OR stays")
-    once = kept.where("n IS NULL").select(*docs.columns)
-    again = kept.where("n > 1").dropDuplicates(["_id", "_node"]).select(*docs.columns)
+    kept = keyed.join(odd, same, "left").where("_stays IS NULL OR _stays")
+    once = kept.where("_n IS NULL").select(*docs.columns)
+    again = kept.where("_n > 1").dropDuplicates(["_id", "_node"]).select(*docs.columns)
     return once.unionByName(again)
