@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+import eventloom
 from eventloom.session import scratch_path
 
+_shipped: set[str] = set()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors through Spark, once per application, so that they need no copy of it."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    _shipped.add(application)
+    root = Path(eventloom.__file__).parent
+    # Spark's file server hands the archive out as long as the driver lives.
+    folder = tempfile.mkdtemp(prefix="eventloom-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/eventloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, f"{root.name}/{file.relative_to(root)}")
+    spark.sparkContext.addPyFile(archive)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +48,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     shuffle files of the write are given up with its end; nothing reads them again.
     """
     spark = df.sparkSession
+    ship(spark)
     path = scratch_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
