@@ -17,6 +17,7 @@ from eventloom.config import BUCKET_BLOCKS, AbiInput, AbiItem, ContractMapping,
 from eventloom.functions.bloom import bloom_has, event_gate, mapping_gate
 from eventloom.functions.keccak import checksum_address
 from eventloom.functions.text import epoch_seconds, hex_quantity, rfc3339
+from eventloom.oracle_sql import admitted, bloom_ctes, checksummed, keccak_ctes
 from eventloom.operators.decode import Event, decode, stage_events
 from eventloom.operators.filters import LogFilter
 from eventloom.operators import match
@@ -270,7 +271,11 @@ def export_documents(spark, sf_dir):
 # ---------------------------------------------------------------- filters on the chain
 
 
-@query("bloom_address")
+@query(
+    "bloom_address",
+    f"""WITH RECURSIVE {RAW}, {bloom_ctes([AA, BB, CC])} SELECT block_number, {admitted(AA)} AS aa,
+    {admitted(BB)} AS bb, {admitted(CC)} AS cc FROM blocks""",
+)
 def bloom_address(spark, sf_dir):
     contracts = {"aa": AA, "bb": BB, "cc": CC}
     return fx.headers(spark, sf_dir).select(
@@ -278,7 +283,12 @@ def bloom_address(spark, sf_dir):
     )
 
 
-@query("bloom_topic")
+@query(
+    "bloom_topic",
+    f"""WITH RECURSIVE {RAW}, {bloom_ctes([TRANSFER.topic0, APPROVAL.topic0, SETTLED.topic0])}
+    SELECT block_number, {admitted(TRANSFER.topic0)} AS transfer, {admitted(APPROVAL.topic0)} AS approval,
+    {admitted(SETTLED.topic0)} AS settled FROM blocks""",
+)
 def bloom_topic(spark, sf_dir):
     return fx.headers(spark, sf_dir).select(
         "block_number",
@@ -286,7 +296,12 @@ def bloom_topic(spark, sf_dir):
     )
 
 
-@query("candidate_blocks")
+@query(
+    "candidate_blocks",
+    f"""WITH RECURSIVE {RAW}, {bloom_ctes([AA, BB, TRANSFER.topic0])}
+    SELECT block_number, transaction_index, tx_hash FROM t
+    WHERE ({admitted(AA)} OR {admitted(BB)}) AND {admitted(TRANSFER.topic0)}""",
+)
 def candidate_blocks(spark, sf_dir):
     wanted = fx.headers(spark, sf_dir).where(mapping_gate(PAIR))
     return (
@@ -296,7 +311,11 @@ def candidate_blocks(spark, sf_dir):
     )
 
 
-@query("event_gate")
+@query(
+    "event_gate",
+    f"""WITH RECURSIVE {RAW}, {bloom_ctes([TRANSFER.topic0, APPROVAL.topic0])} SELECT block_number,
+    {admitted(TRANSFER.topic0)} AS transfer, {admitted(APPROVAL.topic0)} AS approval FROM blocks""",
+)
 def event_gates(spark, sf_dir):
     return fx.headers(spark, sf_dir).select(
         "block_number",
@@ -611,7 +630,14 @@ def decode_address(spark, sf_dir):
     return _transfers(spark, sf_dir).select("tx_hash", "log_index", "from", "to")
 
 
-@query("checksum_address")
+@query(
+    "checksum_address",
+    f"""WITH RECURSIVE {TRANSFERS},
+    m AS (SELECT item, lower(hex(substr(item, 3))) AS message FROM (SELECT arg1 AS item FROM d UNION SELECT arg2 FROM d)),
+    {keccak_ctes("m")}
+    SELECT tx_hash, log_index, {checksummed("arg1", "a.digest")} AS "from", {checksummed("arg2", "b.digest")} AS "to"
+    FROM d JOIN digests a ON a.item = arg1 JOIN digests b ON b.item = arg2""",
+)
 def checksum(spark, sf_dir):
     rows = _transfers(spark, sf_dir)
     return rows.select(
@@ -659,8 +685,29 @@ query(
         "(delta::HUGEINT * 1208925819614629174706176)::VARCHAR AS delta128",
     ),
 )(_settled("delta8", "delta16", "delta32", "delta64", "delta128"))
-# No SQL type here holds 256 bits; the tests compare these with Python integers.
-query("decode_wide")(_settled("scaled256", "delta256"))
+
+
+def _product_sql(number: str, power: int) -> str:
+    """A 64-bit number times 16^power as text: digits of base 10^18, each product below 2^127."""
+    base, rest, limbs = 10**18, 16**power, []
+    while rest:
+        rest, limb = divmod(rest, base)
+        limbs.append(limb)
+    carry, digits = "0::HUGEINT", []
+    for limb in limbs:
+        product = f"(abs({number})::HUGEINT * {limb} + {carry})"
+        digits.append(f"lpad(({product} % {base})::VARCHAR, 18, '0')")
+        carry = f"({product} // {base})"
+    text = " || ".join([f"{carry}::VARCHAR", *reversed(digits)])
+    sign = f"CASE WHEN {number} < 0 THEN '-' ELSE '' END"
+    return f"{sign} || coalesce(nullif(ltrim({text}, '0'), ''), '0')"
+
+
+# No SQL type here holds 256 bits, so the SQL multiplies digit by digit.
+query(
+    "decode_wide",
+    _settled_sql(f"{_product_sql('cents', 57)} AS scaled256", f"{_product_sql('delta', 40)} AS delta256"),
+)(_settled("scaled256", "delta256"))
 query("decode_bytes32", _settled_sql("'0x' || sha256('ref:' || o_orderkey) AS ref"))(_settled("ref"))
 query("decode_unknown", _settled_sql("'0x' || lpad(lower(hex(o_custkey)), 64, '0') AS kind"))(
     _settled("kind")
