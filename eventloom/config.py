@@ -198,8 +198,7 @@ class JobConfig:
     """A parsed job file.
 
     Batch size and flush threshold are read so that a job file stays valid, but
-    Spark's partitions take their place. ``csv`` names a folder for a
-    :class:`~eventloom.sinks.tables.CsvSink`, which a caller adds by hand.
+    Spark's partitions take their place. ``csv`` names a folder of CSV files to deliver to.
     """
 
     mappings: tuple[ContractMapping, ...]

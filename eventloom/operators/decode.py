@@ -16,6 +16,7 @@ from eventloom.config import BLOCK_LOG_INDEX, AbiItem, ContractMapping
 from eventloom.functions.bloom import event_gate
 from eventloom.functions.words import data_word, topic_word, word_value
 from eventloom.operators.match import log_matches
+from eventloom.session import scratch_path
 
 Event = tuple[int, ContractMapping, AbiItem]
 
@@ -133,6 +134,14 @@ def stage_events(receipts: DataFrame, headers: DataFrame, events: Sequence[Event
     return rows.select(*selected)
 
 
+def staged_once(receipts: DataFrame, headers: DataFrame, events: Sequence[Event], name: str) -> DataFrame:
+    """The matched logs of all events, written to the scratch folder by one scan and read back by event."""
+    path = scratch_path(receipts.sparkSession, name)
+    staged = stage_events(receipts, headers, events)
+    staged.write.partitionBy("event_key").parquet(path)
+    return receipts.sparkSession.read.schema(staged.schema).parquet(path)
+
+
 def row_id(group: Sequence[Event]) -> Column:
     """An id that a repeated or retried run gives again."""
     scopes = [F.when(F.col("event_key") == key, ",".join(m.addresses)) for key, m, _ in group]
@@ -207,7 +216,7 @@ def event_tables(staged: DataFrame, events: Sequence[Event]) -> dict[str, DataFr
 def decode(
     receipts: DataFrame, headers: DataFrame, events: Sequence[Event]
 ) -> dict[str, DataFrame]:
-    """The event tables as lazy plans over the chain tables; each scan looks for its own event only."""
-    return union_by_table(
-        (g[0][2].table, event_rows(stage_events(receipts, headers, g), g)) for g in by_item(events)
-    )
+    """The event tables. One event is a lazy plan over the chain tables; several share one staged scan."""
+    if len(by_item(events)) > 1:
+        return event_tables(staged_once(receipts, headers, events, "decoded"), events)
+    return event_tables(stage_events(receipts, headers, events), events)

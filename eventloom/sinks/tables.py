@@ -150,7 +150,11 @@ def _documents(config: JobConfig) -> Sink | None:
     return spec and DocumentSink(spec.directory, spec.prefix, spec.recreate, config.integer_columns)
 
 
-SINK_FACTORIES: list[SinkFactory] = [_parquet, _documents]
+def _csv(config: JobConfig) -> Sink | None:
+    return CsvSink(config.csv) if config.csv else None
+
+
+SINK_FACTORIES: list[SinkFactory] = [_parquet, _csv, _documents]
 
 
 def open_sinks(

@@ -129,6 +129,13 @@ def test_own_sink(spark, chain, tmp_path):
     }
 
 
+def test_csv_from_the_job(spark, chain, tmp_path):
+    config = job(tmp_path, csv=str(tmp_path / "csv"))
+    sync(spark, config, *chain)
+    back = read_event_csv(spark, str(tmp_path / "csv" / "transfer"), configured_tables(config)["transfer"])
+    assert rows(back, "value", "tx_hash") == rows(stored(spark, config, "transfer"), "value", "tx_hash")
+
+
 def test_csv_keeps_types_and_order(spark, tmp_path):
     df = spark.createDataFrame(
         [("7", Decimal(2**70), "", "a,\"b\"\nc", None)], "value string, wide decimal(38,0), empty string, text string, gone string"
