@@ -17,6 +17,7 @@ import os.path
 import re
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,6 +127,54 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
     return lines
 
 
+#: Bits of the table that an alignment keeps; a larger one is halved first.
+MOST_BITS = 1 << 30
+
+
+def bit_vectors(left: Sequence[str], right: Sequence[str]) -> Iterator[int]:
+    """After each line of ``right``: a 0 bit at each line of ``left`` where the common length grows."""
+    where: dict[str, int] = {}
+    for i, line in enumerate(left):
+        where[line] = where.get(line, 0) | 1 << i
+    full = (1 << len(left)) - 1
+    vector = full
+    for line in right:
+        matched = vector & where.get(line, 0)
+        vector = ((vector + matched) | (vector - matched)) & full
+        yield vector
+
+
+def common_lengths(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """Length of a longest common subsequence of ``right`` with each beginning of ``left``."""
+    last = (1 << len(left)) - 1
+    for last in bit_vectors(left, right):
+        pass
+    data = np.frombuffer(last.to_bytes(len(left) // 8 + 1, "little"), np.uint8)
+    bits = np.unpackbits(data, bitorder="little")[: len(left)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def aligned(left: Sequence[str], right: Sequence[str]) -> list[int]:
+    """Places in ``left`` of a longest common subsequence with ``right``."""
+    if len(left) * len(right) > MOST_BITS and len(right) > 1:
+        half = len(right) // 2
+        before = common_lengths(left, right[:half])
+        behind = common_lengths(left[::-1], right[half:][::-1])[::-1]
+        cut = int((before + behind).argmax())
+        return aligned(left[:cut], right[:half]) + [cut + i for i in aligned(left[cut:], right[half:])]
+    vectors = [(1 << len(left)) - 1, *bit_vectors(left, right)]
+    i, j, places = len(left), len(right), []
+    while i and j:
+        if vectors[j] >> (i - 1) & 1:
+            i -= 1
+        elif not vectors[j - 1] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            places.append(i)
+    return places[::-1]
+
+
 def shared_lines(left: Sequence[str], right: Sequence[str]) -> list[int]:
     """Places in ``left`` of a longest common subsequence, by bit vectors of lines."""
     first = 0
@@ -139,24 +188,7 @@ def shared_lines(left: Sequence[str], right: Sequence[str]) -> list[int]:
     common = set(a) & set(b)
     kept = [(i, line) for i, line in enumerate(a) if line in common]
     b = [line for line in b if line in common]
-    where: dict[str, int] = {}
-    for i, (_, line) in enumerate(kept):
-        where[line] = where.get(line, 0) | 1 << i
-    full = (1 << len(kept)) - 1
-    vector, vectors = full, [full]
-    for line in b:
-        matched = vector & where[line]
-        vector = ((vector + matched) | (vector - matched)) & full
-        vectors.append(vector)
-    i, j, middle = len(kept), len(b), []
-    while i and j:
-        if vectors[j] >> (i - 1) & 1:
-            i -= 1
-        elif not vectors[j - 1] >> (i - 1) & 1:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            middle.append(kept[i][0] + first)
+    middle = [kept[i][0] + first for i in aligned([line for _, line in kept], b)]
     return sorted(ends + middle)
 
 

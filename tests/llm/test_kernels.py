@@ -138,7 +138,9 @@ def test_fingerprint_is_the_majority_of_shingles(text):
     assert simhash.fingerprint(text, 4) == expected
 
 
-def test_shared_lines_are_a_longest_common_subsequence():
+@pytest.mark.parametrize("most_bits", [1 << 30, 20])
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch, most_bits):
+    monkeypatch.setattr(page_text, "MOST_BITS", most_bits)
     random_ = random.Random(1)
     for _ in range(500):
         a, b = ([random_.choice("abcd") for _ in range(random_.randint(0, 14))] for _ in range(2))
