@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import decontaminate, langid, merge_dropout, repeats, simhash
-from eventloom.llm.common import read_table, written
+from eventloom.llm.common import prepare, read_table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach, with that language in ``lang``."""
+    prepare(spark)
     return langid.keep_known(docs)
 
 
@@ -34,6 +35,7 @@ def without_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their piece ids, their count, and whether these decode to the text."""
+    prepare(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     return merge_dropout.segment(docs, model, restored="_decoded").select(
         *COLUMNS, "ids", F.size("ids").cast("bigint").alias("n_ids"),

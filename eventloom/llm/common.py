@@ -16,9 +16,26 @@ import eventloom
 from eventloom.session import scratch_path
 
 _shipped: set[str] = set()
+BATCH_BOUNDS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m"),
+}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Gets a session ready for the operators.
+
+    Arrow batches of long texts are kept small: each is held by the executor and by its Python
+    worker at once, and the defaults allow 10,000 rows and 64 MB. Other bounds that a
+    session has set stay.
+    """
+    for name, (default, bound) in BATCH_BOUNDS.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, bound)
+    ship(spark)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors through Spark, once per application, so that they need no copy of it."""
     application = spark.sparkContext.applicationId
@@ -37,7 +54,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,7 +65,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     shuffle files of the write are given up with its end; nothing reads them again.
     """
     spark = df.sparkSession
-    ship(spark)
+    prepare(spark)
     path = scratch_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
