@@ -6,8 +6,9 @@ import atexit
 import shutil
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 import eventloom
 from eventloom.session import scratch_path
 
+T = TypeVar("T")
 _shipped: set[str] = set()
 BATCH_BOUNDS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
@@ -76,6 +78,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_helper: dict[object, object] = {}
+
+
+def one_helper(key: object, make: Callable[[], T]) -> T:
+    """An object that a worker process keeps between batches and tasks; a new key lets go of the old one.
+
+    Worker processes serve one operator after another, so what one remembers must not pile
+    up beside what the next one does.
+    """
+    if key not in _helper:
+        _helper.clear()
+        _helper[key] = make()
+    return _helper[key]
+
+
+def no_helper() -> None:
+    _helper.clear()
+
+
 def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """The rows of Arrow batches as plain tuples, a few at a time."""
     for batch in batches:

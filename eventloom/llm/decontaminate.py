@@ -21,13 +21,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows
+from eventloom.llm.common import no_helper, rows
 from eventloom.llm.fm_index import FMIndex
 
 WINDOW = 10
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SHARD_WORDS = 1 << 22
-MOST_CACHED = 400_000
+MOST_CACHED = 200_000
 #: Words of items in one broadcast; more items are searched in several passes.
 PACK_WORDS = 4_000_000
 SPANS = "array<struct<first_word:bigint,last_word:bigint,first_char:bigint,last_char:bigint>>"
@@ -184,6 +184,7 @@ def _search(held: Broadcast, text_col: str):
             yield pa.RecordBatch.from_arrays([*kept.columns, *found], [*kept.schema.names, *kinds])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_helper()
         pack = held.value
         numbers = ChunkNumbers(pack.words)
         waiting: list[pa.RecordBatch] = []

@@ -7,24 +7,22 @@ known counts. If none is, its trigrams are tried, then bigrams, then single char
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows
+from eventloom.llm.common import one_helper, rows
 
 LONGEST = 4
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 SMOOTHING = 0.1
-MOST_CACHED = 400_000
+MOST_CACHED = 150_000
 
 
 @dataclass(frozen=True)
@@ -155,13 +153,8 @@ class Scorer(dict):
         return self.model.languages[best], float(odds[best] / odds.sum())
 
 
-@functools.lru_cache(maxsize=1)
-def scorer_of(key: int, held: Broadcast) -> Scorer:
-    return Scorer(held.value)
-
-
 def keep_known(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3
 ) -> DataFrame:
     """``docs`` whose language is told with a score of ``least`` or more, with that language.
 
@@ -189,7 +182,7 @@ def predict(
     key = model.key
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(key, held)
+        scorer = one_helper(("language", key), lambda: Scorer(held.value))
         for batch in batches:
             found = [scorer.predict(t) for (t,) in rows([batch], scored)]
             kept = batch if scored in columns else batch.drop_columns([scored])

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from eventloom.llm.common import one_helper
+
 SPACE = "▁"
 CHUNKS = re.compile(r" *[^ \n]+| +|\n")
 NEVER = np.int32(2**31 - 1)
@@ -288,11 +290,6 @@ class Encoder:
         ]
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str, dropout: Dropout) -> Encoder:
-    return Encoder(path, dropout)
-
-
 def segment(
     docs: DataFrame, model: str, dropout: Dropout = Dropout(), id_col: str = "doc_id", text_col: str = "text",
     restored: str | None = None,
@@ -306,7 +303,7 @@ def segment(
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoder(model, dropout)
+        one = one_helper(("pieces", model, dropout), lambda: Encoder(model, dropout))
         table = piece_bytes(model)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm import bwt_merge
-from eventloom.llm.common import rows, written
+from eventloom.llm.common import no_helper, rows, written
 
 LENGTH = 100
 GRAM = 32
@@ -44,7 +44,7 @@ BATCH_BYTES = 1 << 20
 SHARD_BYTES = 1 << 17
 LOWEST = -(1 << 63)
 PLACE_BITS = 24
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 FACTOR = np.int64(0x2545F4914F6CDD1D)
 #: A run is packed as first start << 32, 25 bits of the text's hash << 7, count of starts.
 OWN, COUNT = (1 << 25) - 1, (1 << 7) - 1
@@ -139,6 +139,7 @@ def document_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             ["anchor", "piece", "doc", "run"],
         )
 
+    no_helper()
     ids, owns, parts, size = [], [], [], 0
     for doc, own, text in rows(batches, "doc", "own", "text"):
         data = encoded(text)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows, written
+from eventloom.llm.common import no_helper, rows, written
 from eventloom.llm.components import connected_components
 
 SEED = 42
@@ -81,6 +81,7 @@ def with_fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", t
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_helper()
         for batch in batches:
             found = [fingerprint(t, words) for (t,) in rows([batch], "text")]
             bits = pa.array(np.array(found, np.uint64).view(np.int64))
@@ -348,6 +349,7 @@ def drop_near_copies(
     keyed = docs.withColumn("_own", own)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_helper()
         for batch in batches:
             found = [set_fingerprints(t, words) for (t,) in rows([batch], "text")]
             yield pa.RecordBatch.from_arrays(

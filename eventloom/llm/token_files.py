@@ -15,7 +15,6 @@ covers them, on any file system, and a retried task leaves no half-written file.
 
 from __future__ import annotations
 
-import functools
 import os
 import struct
 import unicodedata
@@ -29,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows
+from eventloom.llm.common import one_helper, rows
 from eventloom.operators.running import running_totals
 
 ROWS_IN_BLOCK, LANES = 32, 16
@@ -192,12 +191,6 @@ class WordEncoder(dict):
         return "<|" in chunk and any(s in chunk for s in self.special)
 
 
-@functools.lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process, so that its memory outlives a batch."""
-    return WordEncoder(path)
-
-
 SEGMENT_IDS = 1 << 18
 SEGMENTS = (
     "shard int, segment int, n_ids bigint, doc_ids array<bigint>, doc_lengths array<bigint>, ids binary"
@@ -218,7 +211,7 @@ def write_token_files(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        one = encoder(tokenizer)
+        one = one_helper(("words", tokenizer), lambda: WordEncoder(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         segment, ids, lengths, parts, size = 0, [], [], [], 0
 
