@@ -314,17 +314,17 @@ def wide_distance_of(similarity: float) -> int:
     return math.ceil(bits * share + 2 * math.sqrt(bits * share * (1 - share)))
 
 
-def set_fingerprints(text: str | None, words: int) -> tuple[int, bytes]:
-    """Of the distinct words (64 bits), and of the distinct shingles (256 bits)."""
+def set_fingerprints(text: str | None, words: int) -> tuple[int, bytes, np.ndarray]:
+    """Of the distinct words (64 bits), and of the distinct shingles (256 bits); and these in order."""
     found = words_of(text)
     if not found:
-        return 0, bytes(8 * WIDE)
+        return 0, bytes(8 * WIDE), np.zeros(0, np.uint64)
     single = majority(np.unique(shingle_hashes(found, 1)))
     shingles = np.unique(shingle_hashes(found, words))
     spread = np.stack([shingles * np.uint64(m) for m in WIDENING], axis=1)
     spread = (spread ^ (spread >> np.uint64(32))) * np.uint64(WIDENING[0])
     spread ^= spread >> np.uint64(29)
-    return int(single[0]), majority(spread).tobytes()
+    return int(single[0]), majority(spread).tobytes(), shingles
 
 
 def similarity_of(left: str | None, right: str | None, words: int) -> float:
@@ -333,47 +333,255 @@ def similarity_of(left: str | None, right: str | None, words: int) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+# --- the exact way for what the fingerprints miss ---
+
+PARITY_BITS = 1024
+MOST_COMMON = 100_000
+PAIRS_AT_ONCE = 1 << 17
+
+
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that repeat in a share of the texts, and their counts there.
+
+    They only set the order in which shingles are looked at, rare ones first. Any order finds
+    the same copies; this one keeps most shingles of a common passage out of the search.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+            shingles, counts = np.unique(np.concatenate(held), return_counts=True)
+            often = counts > 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array(shingles[often].view(np.int64)), pa.array(counts[often])], ["shingle", "n"]
+            )
+
+        held, size = [], 0
+        for (text,) in rows(batches, "text"):
+            held.append(np.unique(shingle_hashes(words_of(text), words)))
+            size += len(held[-1])
+            if size > 1 << 20:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    some = texts.where(F.pmod("node", F.lit(8)) == 0).select("text")
+    often = some.mapInArrow(counted, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    most = often.where("n > 2").orderBy(F.desc("n"), "shingle").limit(MOST_COMMON).toArrow().sort_by("shingle")
+    return most.column("shingle").to_numpy(), most.column("n").to_numpy()
+
+
+def prefix_of(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles in the common order, as signed numbers; two sets that are similar share one of these.
+
+    At least ``similarity`` of either set lies in the other, so both cannot lack all of
+    what comes first. The set without a shingle has one of its own.
+    """
+    if not len(shingles):
+        return np.zeros(1, np.int64)
+    signed = shingles.view(np.int64)
+    known, counts = common
+    times = np.zeros(len(signed), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, signed), len(known) - 1)
+        times = np.where(known[at] == signed, counts[at], 0)
+    n = len(signed)
+    return signed[np.lexsort((signed, times))[: n - math.ceil(similarity * n - 1e-9) + 1]]
+
+
+def parity_of(shingles: np.ndarray) -> bytes:
+    """Per bit, whether an odd number of shingles falls on it: two sets differ in no fewer shingles than bits."""
+    falls = np.bincount((shingles & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits((falls & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def bucket_pairs(
+    label: np.ndarray, size: np.ndarray, place: np.ndarray, parity: np.ndarray, similarity: float
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of one bucket that can be similar and differ in their label, with the share of bits that differ.
+
+    A row is a set with its size, the place of the bucket's shingle in its order, and its parity
+    bits. No pair of similar sets is left out at the first shingle that they share.
+    """
+    _, code, counts = np.unique(label, return_inverse=True, return_counts=True)
+    # The largest label first: its own pairs are never looked at.
+    order = np.lexsort((code, -counts[code]))
+    label, size, place, parity = label[order], size[order], place[order], parity[order]
+    begin = np.concatenate([[0], np.nonzero(label[1:] != label[:-1])[0] + 1])
+    before = begin[np.searchsorted(begin, np.arange(len(label)), side="right") - 1]
+    at = int(before.searchsorted(1))
+    while at < len(label):
+        stop = at + 1
+        # ``before`` grows, so the pairs of a stretch of rows are at most its length times its last.
+        while stop < len(label) and (stop + 1 - at) * int(before[stop]) <= PAIRS_AT_ONCE:
+            stop += 1
+        reach = before[at:stop]
+        row = np.repeat(np.arange(at, stop), reach)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach)
+        total = size[row] + size[other]
+        behind = np.minimum(size[row] - place[row], size[other] - place[other])
+        fits = (behind * (1 + similarity) >= similarity * total - 1e-6) & (
+            np.minimum(size[row], size[other]) >= similarity * np.maximum(size[row], size[other]) - 1e-6
+        )
+        row, other, total = row[fits], other[fits], total[fits]
+        differ = np.bitwise_count(parity[row] ^ parity[other]).sum(axis=1, dtype=np.int64)
+        near = differ * (1 + similarity) <= (1 - similarity) * total + 1e-6
+        yield order[row[near]], order[other[near]], differ[near] / total[near]
+        at = stop
+
+
+def shared_prefixes(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, place, size, parity and key of every place where a shingle joins sets of different labels.
+
+    ``sets`` has node, size, prefix and parity. Every two sets of different labels with a common
+    shingle in their prefixes meet under a key; shingles of more than ``GROUP`` sets are
+    cut into shares, and every pair of shares meets.
+    """
+    placed = with_labels(sets, labels).select("node", "label", F.posexplode("prefix").alias("place", "shingle"))
+    shared = written(
+        placed.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
+        .where("low <> high").select("shingle", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("shares"), "n"),
+        "shared-shingles",
+    )
+    shares = F.when(F.col("n") > GROUP, F.col("shares")).otherwise(1)
+    share = F.pmod(F.xxhash64("node", F.lit("share")), F.col("shares")).cast("int")
+    dealt = (
+        placed.select("node", "place", "shingle").join(shared, "shingle").withColumn("shares", shares)
+        .select("node", "place", "shingle", share.alias("own"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("other"))
+        .select("node", "place", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    )
+    return written(dealt, "shared-prefixes")
+
+
+def with_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def prefix_links(met: DataFrame, sets: DataFrame, labels: DataFrame, similarity: float, pruned: bool) -> DataFrame:
+    """a and b: pairs of different labels that can be similar; ``pruned``: the nearest that hold them together."""
+    named = with_labels(sets.select("node", "size", "parity"), labels)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys, nodes, label, size, place = (
+                chunk.column(c).to_numpy() for c in ("key", "node", "label", "size", "place")
+            )
+            parity = np.frombuffer(b"".join(chunk.column("parity").to_pylist()), "<u8").reshape(len(keys), -1)
+            heads = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
+            lasts = heads[1:] - 1
+            mixed = np.add.reduceat(np.concatenate([[False], label[1:] != label[:-1]]), heads[:-1]) > 0
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for first, last in zip(heads[:-1][mixed].tolist(), lasts[mixed].tolist()):
+                part = slice(first, last + 1)
+                for a, b, apart in bucket_pairs(label[part], size[part], place[part], parity[part], similarity):
+                    if len(a):
+                        held.append((a + first, b + first, apart))
+                        if sum(len(x[0]) for x in held[-64:]) > PAIRS_AT_ONCE:
+                            yield linked(held, nodes, label)
+                            held.clear()
+            if held:
+                yield linked(held, nodes, label)
+
+        def linked(held: list, nodes: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+            a, b, apart = (np.concatenate(side) for side in zip(*held))
+            if pruned:
+                order = np.argsort(apart, kind="stable")
+                a, b = a[order], b[order]
+                names, code = np.unique(label[np.concatenate([a, b])], return_inverse=True)
+                kept = nearest_forest(len(names), code[: len(a)], code[len(a) :])
+                a, b = a[kept], b[kept]
+            pairs = np.unique(np.stack([np.maximum(nodes[a], nodes[b]), np.minimum(nodes[a], nodes[b])], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for chunk in whole_groups(batches):
+            yield from flush(chunk)
+
+    # Two shingles whose keys collide are searched together, which adds candidates and loses none.
+    joined = met.join(named, "node").select("key", "node", "label", "size", "place", "parity")
+    return joined.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a bigint, b bigint").distinct()
+
+
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of the links, in their order, that join what was apart."""
+    parent = list(range(n))
+    kept = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[x] = y
+            kept.append(i)
+    return kept
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of rows sorted by key in which each key is whole."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.num_rows
+        if size < 1 << 14:
+            continue
+        table = pa.Table.from_batches(waiting)
+        keys = table.column("key").to_numpy()
+        # The last group may go on in the next batch.
+        whole = int(np.searchsorted(keys, keys[-1]))
+        if whole:
+            yield table.slice(0, whole)
+        waiting, size = table.slice(whole).to_batches(), table.num_rows - whole
+    if size:
+        yield pa.Table.from_batches(waiting)
+
+
 def drop_near_copies(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` without all but one row, that of the smallest id, of each group of exact and near copies.
 
-    Near copies share at least ``similarity`` of their shingles of five words. Texts are
-    searched by the fingerprint of their distinct words, in which such texts differ in few bits, and linked
-    if the longer fingerprints of their shingles are near as well; each link is then checked against
-    the texts. Groups are what links connect. Null texts count as empty; null ids as the
-    smallest; of fully equal rows one stays. A link that only three differing words in a hundred
-    separate can fall outside the searched distance of 8 bits.
+    Near copies share at least ``similarity`` of their shingles of five words; groups are what
+    their links connect. Most links are found by the fingerprint of the distinct words and a
+    longer one of the shingles. What these miss is found exactly: the first shingles of a
+    text in a common order, rare ones first, must hold one of each near copy's. Every pair
+    that shares one, and that neither sizes nor parity bits rule out, is checked against the texts unless
+    its texts are already in one group. Only checked links make groups: of the candidates,
+    first those that hold them together are checked, at last all that are still apart.
+    Null texts count as empty; null ids as the smallest; of fully equal rows one stays.
     """
     own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     keyed = docs.withColumn("_own", own)
 
+    slim = keyed.select(F.col("_own").alias("node"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    common = common_shingles(slim, words)
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_helper()
         for batch in batches:
-            found = [set_fingerprints(t, words) for (t,) in rows([batch], "text")]
+            prints, wides, sizes, prefixes, parities = [], [], [], [], []
+            for (text,) in rows([batch], "text"):
+                single, wide, shingles = set_fingerprints(text, words)
+                prints.append(single)
+                wides.append(wide)
+                sizes.append(max(1, len(shingles)))
+                prefixes.append(prefix_of(shingles, common, similarity))
+                parities.append(parity_of(shingles))
+            offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("node"), batch.column("id"),
-                    pa.array(np.array([f[0] for f in found], np.uint64).view(np.int64)),
-                    pa.array([f[1] for f in found], pa.binary()),
+                    batch.column("node"), batch.column("id"), pa.array(np.array(prints, np.uint64).view(np.int64)),
+                    pa.array(wides, pa.binary()), pa.array(sizes, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*prefixes, np.zeros(0, np.int64)]))),
+                    pa.array(parities, pa.binary()),
                 ],
-                ["node", "id", "bits", "wide"],
+                ["node", "id", "bits", "wide", "size", "prefix", "parity"],
             )
 
-    slim = keyed.select(F.col("_own").alias("node"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    marked = written(slim.mapInArrow(hashed, "node bigint, id bigint, bits bigint, wide binary"), "set-fingerprints")
-    prints = written(marked.groupBy("node").agg(F.first("bits").alias("bits"), F.first("wide").alias("wide")), "texts")
-    links = written(fingerprint_links(prints, WORD_DISTANCE, wide_distance_of(similarity)), "candidate-links")
-
-    # Every link's two texts meet once; a text with many links is a skewed join, which Spark splits.
-    asked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(
-        slim.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "linked-texts"
-    )
-    both = (
-        links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    schema = "node bigint, id bigint, bits bigint, wide binary, size bigint, prefix array<bigint>, parity binary"
+    marked = written(slim.mapInArrow(hashed, schema), "set-fingerprints")
+    prints = written(
+        marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bits", "wide", "size", "prefix", "parity")]), "texts"
     )
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +589,31 @@ def drop_near_copies(
             near = [similarity_of(x, y, words) >= similarity for x, y in rows([batch], "left", "right")]
             yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
-    labels = written(connected_components(both.select("a", "b", "left", "right").mapInArrow(confirm, "a bigint, b bigint")), "labels")
+    def checked(links: DataFrame) -> DataFrame:
+        """Those whose texts are similar. A text with many links is a skewed join, which Spark splits."""
+        asked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = written(
+            slim.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "linked-texts"
+        )
+        both = (
+            links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+        )
+        return written(both.select("a", "b", "left", "right").mapInArrow(confirm, "a bigint, b bigint"), "checked-links")
+
+    asked = written(fingerprint_links(prints, WORD_DISTANCE, wide_distance_of(similarity)), "candidate-links")
+    found = checked(asked)
+    labels = written(connected_components(found), "labels")
+    met = shared_prefixes(prints, labels)
+    for pruned in (True, False):
+        links = written(
+            prefix_links(met, prints, labels, similarity, pruned).join(asked, ["a", "b"], "left_anti"), "candidate-links"
+        )
+        if links.isEmpty():
+            # Without a new candidate a later round may still have some: those a pruned one stands for.
+            continue
+        asked, found = asked.unionByName(links), found.unionByName(checked(links))
+        labels = written(connected_components(found), "labels")
     members = (
         marked.select("node", "id").join(labels, "node", "left")
         .select("node", "id", F.coalesce("label", "node").alias("label"))

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import os
+import random
 import re
 import zlib
 
@@ -399,3 +400,50 @@ def test_near_copies_on_hard_rows(spark, hard, nothing):
         (False, 1), (False, 4), (False, 5), (False, 6), (False, 7), (True, 0),
     ]
     assert simhash.drop_near_copies(nothing).count() == 0
+
+
+def changed_copies(random_, n, length):
+    """Texts of ``length`` random words, each with a copy that is cut, appended to or edited; ids 2i and 2i + 1."""
+    word = lambda: "".join(random_.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    docs = []
+    for i in range(n):
+        words = [word() for _ in range(length)]
+        tail = length * (10, 18)[i // 4 % 2] // 100
+        copy = [
+            words[: length - tail], [*words, *(word() for _ in range(tail))], words[tail:],
+            [word() if random_.random() < 0.02 else w for w in words],
+        ][i % 4]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    return docs
+
+
+@pytest.mark.parametrize("length", [40, 300])
+def test_cut_appended_and_edited_copies_are_found(spark, length):
+    docs = changed_copies(random.Random(length), 80, length)
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert kept == near_copies_by_hand(docs) and len(kept) < 150
+
+
+def test_template_family_hides_no_copy(spark):
+    random_ = random.Random(3)
+    word = lambda: "".join(random_.choices("abcdefghijklmnopqrstuvwxyz", k=5))
+    template = [word() for _ in range(170)]
+    docs = []
+    for i in range(1100):
+        words = [*template[:85], *(word() for _ in range(30)), *template[85:]]
+        copy = [*words]
+        copy[100] = word()
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).select("doc_id").collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 2200, 2))
+
+
+@pytest.mark.parametrize("crowd", [4, 2048])
+def test_prefixes_meet_all_similar_sets(spark, monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "GROUP", crowd)
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", crowd)
+    monkeypatch.setattr(simhash, "WORD_DISTANCE", 0)
+    docs = changed_copies(random.Random(9), 40, 60)
+    docs += [(1000 + i, " ".join(docs[0][1].split()[i : i + 50])) for i in range(11)]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert kept == near_copies_by_hand(docs)
