@@ -3,14 +3,15 @@
 A text is cut into chunks that no piece crosses: a run of spaces with what follows it, or a
 line break. In a chunk, pairs of neighbouring symbols that make a piece are candidates on
 an agenda, best score first, then from the left. A candidate is skipped for good if a
-hash of the seed, the chunk, its variant, the candidate's place and its two symbols falls
-below the dropout; else it is merged and its new neighbours become candidates. The hash
-alone decides, so a retried task gives the same ids, and a skip can be known when a
-candidate first appears. Every stretch of 32 chunks has one of ``variants`` variants, drawn by
-a hash of seed, document and place: one word is cut in several ways in a corpus and in a long
-text, and each way is worked out once.
-
-Short chunks are worked off together, one merge of each at a time; long ones by a heap.
+hash of the seed, the document, the chunk's place in it, the candidate's place and its two
+symbols falls below the dropout; else it is merged and its new neighbours become candidates.
+The hash alone decides, so a retried task gives the same ids, and a skip can be known when a
+candidate first appears. Every occurrence of a word draws all of its candidates anew.
+
+What a short chunk becomes is remembered by the candidates that were skipped: until the first
+skip all occurrences run alike, and from there on those with the same skip do. So only draws are
+made per occurrence, for many at once, and each way to cut a chunk is worked out once. Longer chunks
+are worked off together, one merge of each at a time; the longest by a heap.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from __future__ import annotations
 import functools
 import heapq
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,8 +35,13 @@ SPACE = "▁"
 CHUNKS = re.compile(r" *[^ \n]+| +|\n")
 NEVER = np.int32(2**31 - 1)
 WIDTHS = [4, 6, 8, 10, 12, 16, 24, 48]
-MOST_CACHED = 150_000
-STRETCH = 32
+MOST_CACHED = 300_000
+#: Longest chunk that is remembered by its skips, and the largest dropout for which that pays.
+REMEMBERED = 16
+RARE = 0.2
+#: What occurs less often in a batch is worked off for its occurrence alone.
+OFTEN = 4
+AT_ONCE = 1 << 18
 SYMBOL_BITS = 22
 FACTORS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -43,7 +50,6 @@ FACTORS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D0
 class Dropout:
     share: float = 0.1
     seed: int = 0
-    variants: int = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -189,22 +195,22 @@ def merge_short(pieces: Pieces, symbols: np.ndarray, keys: np.ndarray, share: fl
     return out
 
 
-def merge_long(pieces: Pieces, symbols: list[int], key: int, share: float) -> list[int]:
-    """Agenda processing of one chunk with a heap and links between neighbours."""
+def worked_off(pieces: Pieces, symbols: list[int], is_skipped: Callable[[int, int], bool]) -> list[int]:
+    """Agenda processing of one chunk with a heap and links between neighbours.
+
+    ``is_skipped`` is asked once for every candidate, by place and pair, when it appears.
+    """
     n = len(symbols)
     symbols = list(symbols)
     behind, before = list(range(1, n + 1)), list(range(-1, n - 1))
     agenda: list[tuple[int, int, int, int, int]] = []
-    held = np.array([key], np.uint64)
 
     def add(left: int, right: int) -> None:
         if left < 0 or right >= n:
             return
-        found = pieces.pairs.get(symbols[left] << SYMBOL_BITS | symbols[right])
-        if found is None:
-            return
-        pair = (np.array([v]) for v in (left, symbols[left], symbols[right]))
-        if not skipped(held, *pair, share)[0]:
+        pair = symbols[left] << SYMBOL_BITS | symbols[right]
+        found = pieces.pairs.get(pair)
+        if found is not None and not is_skipped(left, pair):
             heapq.heappush(agenda, (found[0], left, symbols[left], symbols[right], found[1]))
 
     for i in range(n - 1):
@@ -223,25 +229,112 @@ def merge_long(pieces: Pieces, symbols: list[int], key: int, share: float) -> li
     return [s for s in symbols if s >= 0]
 
 
+def merge_long(pieces: Pieces, symbols: list[int], key: int, share: float) -> list[int]:
+    """Agenda processing of one chunk whose candidates are drawn with ``key``."""
+    if share <= 0 or share >= 1:
+        return worked_off(pieces, symbols, lambda place, pair: share >= 1)
+    below, all_bits = int(share * 2**64), 2**64 - 1
+    first, second, third = map(int, FACTORS)
+
+    def mixed_number(x: int) -> int:
+        x = (x ^ (x >> 30)) * second & all_bits
+        x = (x ^ (x >> 27)) * third & all_bits
+        return x ^ (x >> 31)
+
+    return worked_off(
+        pieces, symbols, lambda place, pair: mixed_number(mixed_number(pair * first + place & all_bits) ^ key) < below
+    )
+
+
 class Encoder:
-    """Remembers the ids of chunks per variant; what is new in a batch is worked out together."""
+    """Remembers what chunks become after each order of skips; ways that are new in a batch are added."""
 
     def __init__(self, path: str, dropout: Dropout):
         self.pieces = Pieces(path)
         self.dropout = dropout
-        self.known: list[dict[str, bytes]] = [{} for _ in range(max(1, dropout.variants))]
-
-    def learn(self, chunks: list[str], variant: int) -> None:
-        share, known = self.dropout.share, self.known[variant]
+        self.longest = REMEMBERED if dropout.share <= RARE else 0
+        self.forget()
+
+    def forget(self) -> None:
+        # A way is a chunk with the candidates skipped in it so far; its own candidates are those that
+        # appear behind the last skip if no other follows, each with the way that its skip leads to.
+        self.roots: dict[str, int] = {}
+        self.found: list[bytes] = []
+        self.ways: list[tuple[str, tuple[int, ...], int]] = []
+        self.begin, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.used = 0
+        self.candidate, self.draw = np.zeros(4096, np.int64), np.zeros(4096, np.uint64)
+        self.next = np.full(4096, -1, np.int64)
+
+    def add(self, ways: list[tuple[str, tuple[int, ...], int]]) -> None:
+        """Works out ways: chunk, skipped candidates, and how many candidates are behind the last skip's end."""
+        flat, sizes = self.pieces.symbols([w[0] for w in ways])
+        ends = np.cumsum(sizes).tolist()
+        flat = flat.tolist()
+        appeared: list[int] = []
+        counts = []
+        at = 0
+        for (chunk, skips, drawn), end in zip(ways, ends):
+            seen: list[int] = []
+
+            def is_skipped(place: int, pair: int) -> bool:
+                seen.append(place << 2 * SYMBOL_BITS | pair)
+                return seen[-1] in skips
+
+            self.found.append(self.spelt(worked_off(self.pieces, flat[at:end], is_skipped)))
+            appeared += seen[drawn:]
+            counts.append(len(seen) - drawn)
+            at = end
+        n, total = len(self.ways), self.used + len(appeared)
+        self.ways += ways
+        while len(self.ways) > len(self.begin):
+            self.begin, self.count = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.count))
+        while total > len(self.next):
+            self.candidate, self.draw = (np.concatenate([a, np.zeros_like(a)]) for a in (self.candidate, self.draw))
+            self.next = np.concatenate([self.next, np.full_like(self.next, -1)])
+        self.count[n : len(self.ways)] = counts
+        self.begin[n : len(self.ways)] = self.used + np.cumsum([0, *counts[:-1]])
+        new = np.array(appeared, np.int64)
+        pair, place = new & ((1 << 2 * SYMBOL_BITS) - 1), new >> 2 * SYMBOL_BITS
+        self.candidate[self.used : total] = new
+        self.draw[self.used : total] = mixed(pair.astype(np.uint64) * FACTORS[0] + place.astype(np.uint64))
+        self.used = total
+
+    def drawn(self, way: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The last way of each occurrence that starts on ``way``; -1 if that is too rare to be remembered."""
+        below = np.uint64(int(min(self.dropout.share, RARE) * 2**64))
+        open_ = np.arange(len(way)) if below else np.arange(0)
+        while len(open_ := open_[self.count[way[open_]] > 0]):
+            counts = self.count[way[open_]]
+            ends = np.cumsum(counts)
+            at = np.arange(ends[-1]) - np.repeat(ends - counts - self.begin[way[open_]], counts)
+            hit = np.nonzero(mixed(self.draw[at] ^ np.repeat(keys[open_], counts)) < below)[0]
+            owner = np.searchsorted(ends, hit, side="right")
+            first = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(hit)]
+            open_, at = open_[owner[first]], at[hit[first]]
+            lacks = open_[self.next[at] < 0]
+            missing, one, times = np.unique(at[self.next[at] < 0], return_index=True, return_counts=True)
+            missing, one = missing[times >= OFTEN], one[times >= OFTEN]
+            if len(missing):
+                origin = way[lacks[one]].tolist()
+                ways = []
+                for a, w in zip(missing.tolist(), origin):
+                    chunk, skips, before = self.ways[w]
+                    ways.append((chunk, (*skips, int(self.candidate[a])), before + a - int(self.begin[w]) + 1))
+                names = np.arange(len(self.ways), len(self.ways) + len(ways))
+                self.add(ways)
+                self.next[missing] = names
+            way[open_] = self.next[at]
+            open_ = open_[way[open_] >= 0]
+        return way
+
+    def merged(self, chunks: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of chunks that are not remembered."""
+        share = self.dropout.share
         symbols, sizes = self.pieces.symbols(chunks)
         ends = np.cumsum(sizes)
         begins = ends - sizes
-        # A chunk's key: its characters as digits, mixed with seed and variant.
-        weights = mixed(np.arange(1, int(sizes.max()) + 1, dtype=np.uint64))
-        inside = np.arange(len(symbols)) - np.repeat(begins, sizes)
-        digits = mixed(symbols.astype(np.uint64) + FACTORS[0]) * weights[inside]
-        salt = np.uint64((self.dropout.seed * 0x9E3779B97F4A7C15 + variant + 1) % 2**64)
-        keys = mixed(np.add.reduceat(digits, begins) + mixed(np.array([salt]))[0])
+        out: list[bytes] = [b""] * len(chunks)
         order = np.argsort(sizes, kind="stable")
         cuts = np.searchsorted(sizes[order], [0, *WIDTHS], side="right")
         for low, high, width in zip(cuts, cuts[1:], WIDTHS):
@@ -257,37 +350,57 @@ class Encoder:
                 spans = zip(rows_.tolist(), np.concatenate([[0], stops[:-1]]).tolist(), stops.tolist())
                 odd = (found >= self.pieces.size).any(axis=1)
                 for (i, a, b), is_odd in zip(spans, odd.tolist()):
-                    known[chunks[i]] = self.spelt(np.frombuffer(data[a:b], "<i4").tolist()) if is_odd else data[a:b]
+                    out[i] = self.spelt(np.frombuffer(data[a:b], "<i4").tolist()) if is_odd else data[a:b]
         for i in order[cuts[-1] :].tolist():
-            long = merge_long(self.pieces, symbols[begins[i] : ends[i]].tolist(), int(keys[i]), share)
-            known[chunks[i]] = self.spelt(long)
+            out[i] = self.spelt(merge_long(self.pieces, symbols[begins[i] : ends[i]].tolist(), int(keys[i]), share))
+        return out
 
     def spelt(self, symbols: list[int]) -> bytes:
         return np.array(self.pieces.spelt(symbols), "<i4").tobytes()
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[bytes | None]:
         """Ids of each text as bytes; ``keys`` tell documents apart."""
-        drawn: list[list[tuple[int, list[str]]]] = []
-        wanted: list[set[str]] = [set() for _ in self.known]
-        for text, key in zip(texts, keys):
-            # A leading space, as the model was trained with; an empty text has none.
-            chunks = CHUNKS.findall(" " + text) if text else []
-            stretches = [chunks[i : i + STRETCH] for i in range(0, len(chunks), STRETCH)]
-            document = np.uint64((key * 0x94D049BB133111EB + self.dropout.seed) % 2**64)
-            variants = mixed(np.arange(len(stretches), dtype=np.uint64) * FACTORS[0] + document)
-            drawn.append(list(zip((variants % np.uint64(len(self.known))).tolist(), stretches)))
-            for variant, stretch in drawn[-1]:
-                wanted[variant].update(stretch)
-        for variant, chunks in enumerate(wanted):
-            if len(self.known[variant]) > MOST_CACHED:
-                self.known[variant].clear()
-            if new := list(chunks.difference(self.known[variant])):
-                self.learn(new, variant)
-        get = [k.__getitem__ for k in self.known]
-        return [
-            None if text is None else b"".join([b"".join(map(get[v], stretch)) for v, stretch in line])
-            for text, line in zip(texts, drawn)
-        ]
+        # A leading space, as the model was trained with; an empty text has none.
+        split = [CHUNKS.findall(" " + text) if text else [] for text in texts]
+        out: list[bytes | None] = []
+        held: list[list[str]] = []
+        first = size = 0
+        for i, chunks in enumerate(split):
+            held.append(chunks)
+            size += len(chunks)
+            if size >= AT_ONCE or i + 1 == len(split):
+                out += self.joined(held, keys[first : i + 1])
+                held, first, size = [], i + 1, 0
+        return [None if text is None else found for text, found in zip(texts, out)]
+
+    def joined(self, split: list[list[str]], keys: list[int]) -> list[bytes]:
+        if len(self.ways) > MOST_CACHED:
+            self.forget()
+        seed = mixed(np.array([self.dropout.seed % 2**64], np.uint64) + FACTORS[0])[0]
+        chunks = [c for line in split for c in line]
+        if not chunks:
+            return [b""] * len(split)
+        documents = mixed(np.array([k % 2**64 for k in keys], np.uint64) * FACTORS[2] + seed)
+        counts = np.array([len(line) for line in split])
+        place = np.arange(len(chunks)) - np.repeat(np.cumsum(counts) - counts, counts)
+        drawn_by = mixed(np.repeat(documents, counts) + place.astype(np.uint64) * FACTORS[0])
+        often = OFTEN if self.dropout.share > 0 else 1
+        new = [c for c, n in Counter(chunks).items() if n >= often and len(c) <= self.longest and c not in self.roots]
+        if new:
+            self.roots.update(zip(new, range(len(self.ways), len(self.ways) + len(new))))
+            self.add([(c, (), 0) for c in new])
+        get = self.roots.get
+        way = np.array([get(c, -1) for c in chunks], np.int64)
+        known = np.nonzero(way >= 0)[0]
+        way[known] = self.drawn(way[known], drawn_by[known])
+        other = np.nonzero(way < 0)[0]
+        found = self.found
+        ids = [found[w] for w in way.tolist()] if len(known) else [b""] * len(chunks)
+        if len(other):
+            for i, line in zip(other.tolist(), self.merged([chunks[i] for i in other.tolist()], drawn_by[other])):
+                ids[i] = line
+        ends = np.cumsum(counts).tolist()
+        return [b"".join(ids[end - n : end]) for n, end in zip(counts.tolist(), ends)]
 
 
 def segment(

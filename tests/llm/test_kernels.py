@@ -211,3 +211,23 @@ def test_neighbours_template_goes_where_there_is_no_article():
     assert page_text.main_text(one, None) == "Welcome\n\nFirst story\n\nImprint"
     story = page("<article><p>Same</p></article>")
     assert page_text.main_text(story, story) == "Same"
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5])
+def test_every_occurrence_draws_its_own_skips(share):
+    encoder = merge_dropout.Encoder(MODEL, merge_dropout.Dropout(share, seed=1))
+    texts = ["the international " * 400, "the international " * 400, " thereafter" * 20, "understanding" * 5]
+    found = encoder.encode(texts, [7, 8, 9, 10])
+    assert found[0] != found[1]
+    seed = merge_dropout.mixed(np.array([1], np.uint64) + merge_dropout.FACTORS[0])[0]
+    ways = set()
+    for text, key, ids in zip(texts, [7, 8, 9, 10], found):
+        document = merge_dropout.mixed(np.array([key], np.uint64) * merge_dropout.FACTORS[2] + seed)
+        parts = []
+        for i, chunk in enumerate(merge_dropout.CHUNKS.findall(" " + text)):
+            own = int(merge_dropout.mixed(document + np.array([i], np.uint64) * merge_dropout.FACTORS[0])[0])
+            symbols = encoder.pieces.symbols([chunk])[0].tolist()
+            parts.append(encoder.spelt(merge_dropout.merge_long(encoder.pieces, symbols, own, share)))
+            ways |= {parts[-1]} if chunk == " international" else set()
+        assert b"".join(parts) == ids
+    assert len(ways) > 4
