@@ -6,8 +6,9 @@
 2. Pages of a host stand in order of URL path. Each is paired with the neighbour, before or
    behind it, whose path has the longest beginning in common with its own.
 3. The lines of a pair are aligned by a longest common subsequence. Lines they share belong to
-   the template and go; a page's own article element is exempt, since neighbours may carry the
-   same sentence, or the same article, under two addresses.
+   the template and go; all others stay, inside an article element or not. Inside one, a line goes only if
+   the neighbour on the other side shares it too, since two pages may carry the same sentence;
+   a neighbour with wholly the same article, under another address, says nothing of its lines.
 """
 
 from __future__ import annotations
@@ -192,27 +193,30 @@ def shared_lines(left: Sequence[str], right: Sequence[str]) -> list[int]:
     return sorted(ends + middle)
 
 
-def main_text(lines: list[dict], neighbour: list[dict] | None) -> str:
-    """The article's lines; in a page without one, the lines its neighbour does not share."""
+def main_text(lines: list[dict], neighbour: list[dict] | None, second: list[dict] | None = None) -> str:
+    """The lines that the neighbour does not share; in an article, those that not both neighbours share."""
     texts = [line["text"] for line in lines]
+    inside = {i for i, line in enumerate(lines) if line["article"]}
     template = set(shared_lines(texts, [line["text"] for line in neighbour or []]))
-    if any(line["article"] for line in lines):
-        kept = [line["text"] for line in lines if line["article"]]
-    else:
-        kept = [text for i, text in enumerate(texts) if i not in template]
-    return "\n\n".join(kept)
+    if repeated := template & inside:
+        own = [texts[i] for i in sorted(inside)]
+        told = [n for n in (neighbour, second) if n and [line["text"] for line in n if line["article"]] != own]
+        both = set(shared_lines(texts, [line["text"] for line in second])) if len(told) == 2 else set()
+        template -= repeated - both
+    return "\n\n".join(text for i, text in enumerate(texts) if i not in template)
 
 
 LINES = "array<struct<text:string,article:boolean>>"
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """key and near: each page's key and that of the page with the nearest path on its host.
+    """key, near and far: each page's key, that of the page with the nearest path on its host, and the other side's.
 
     ``pages`` has key, host and path, a row per key. Pages are dealt out in ranges of the
     order, so a large host is spread over many tasks; the first and last row of each range find
     their neighbours across the border among those rows alone. The path behind a pair
-    with equally long beginnings in common goes to the row before. A host of one page has none.
+    with equally long beginnings in common goes to the row before. A host of one page has none;
+    far is null for the first and last page of a host.
     """
     order = ["host", "path", "key"]
     ranged = written(
@@ -234,16 +238,19 @@ def neighbours(pages: DataFrame) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = []
+            near, far = [], []
             for host, path, before, behind in rows([batch], "host", "path", "before", "behind"):
                 candidates = [
                     (-len(os.path.commonprefix([path, n["path"]])), i, n["key"])
                     for i, n in enumerate((before, behind)) if n and n["host"] == host
                 ]
                 near.append(min(candidates)[2] if candidates else None)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(near, pa.int64())], ["key", "near"])
+                far.append(max(candidates)[2] if len(candidates) > 1 else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(near, pa.int64()), pa.array(far, pa.int64())], ["key", "near", "far"]
+            )
 
-    return both.mapInArrow(choose, "key bigint, near bigint").where("near IS NOT NULL")
+    return both.mapInArrow(choose, "key bigint, near bigint, far bigint").where("near IS NOT NULL")
 
 
 def extract_text(
@@ -270,12 +277,19 @@ def extract_text(
     read_pages = written(keyed.mapInArrow(read, f"page_id {id_type}, url string, key bigint, lines {LINES}"), "page-lines")
     urls = read_pages.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     near = neighbours(urls.dropDuplicates(["key"]))
-    other = read_pages.dropDuplicates(["key"]).select(F.col("key").alias("near"), F.col("lines").alias("other"))
-    paired = read_pages.join(near, "key", "left").join(other, "near", "left")
+    once = written(read_pages.select("key", "lines").dropDuplicates(["key"]), "distinct-page-lines")
+    other = once.select(F.col("key").alias("near"), F.col("lines").alias("other"))
+    # Only lines of an article ask for a second neighbour.
+    asking = F.when(F.exists("lines", lambda line: line["article"]), F.col("far"))
+    second = once.select(F.col("key").alias("asked"), F.col("lines").alias("second"))
+    paired = (
+        read_pages.join(near, "key", "left").withColumn("asked", asking)
+        .join(other, "near", "left").join(second, "asked", "left")
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(lines, other) for lines, other in rows([batch], "lines", "other")]
+            texts = [main_text(*three) for three in rows([batch], "lines", "other", "second")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())],
@@ -283,4 +297,4 @@ def extract_text(
             )
 
     schema = f"page_id {id_type}, url string, text string, n_chars bigint"
-    return paired.select("page_id", "url", "lines", "other").mapInArrow(compare, schema)
+    return paired.select("page_id", "url", "lines", "other", "second").mapInArrow(compare, schema)

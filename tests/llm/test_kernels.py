@@ -231,3 +231,14 @@ def test_every_occurrence_draws_its_own_skips(share):
             ways |= {parts[-1]} if chunk == " international" else set()
         assert b"".join(parts) == ids
     assert len(ways) > 4
+
+
+def test_lines_decide_inside_and_outside_of_articles():
+    page = lambda body: [{"text": t, "article": a} for t, a in page_text.lines_of(body)]
+    shell = "<main><div>Welcome</div><p>{}</p><p>{}</p><div>Imprint</div></main>"
+    one, two, three = (page(shell.format(f"Story {i}", s)) for i, s in enumerate(("Quoted", "Quoted", "Other")))
+    assert page_text.main_text(one, two, three) == "Story 0\n\nQuoted"
+    assert page_text.main_text(one, one, two) == "Welcome\n\nStory 0\n\nQuoted\n\nImprint"
+    cards = "<div>Site</div><h1>Title {0}</h1><div>Body {0}</div><article>Card {0}</article><article>Second card {0}</article>"
+    left, right = page(cards.format(1)), page(cards.format(2))
+    assert page_text.main_text(left, right) == "Title 1\n\nBody 1\n\nCard 1\n\nSecond card 1"

@@ -100,6 +100,13 @@ def test_page_text_on_hard_rows(spark):
     assert page_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_page_text_of_main_and_plain_bodies(spark):
+    shell = "<main><div>Welcome</div><p>Story {0}</p><div>Imprint</div></main><div>Note {0}</div>"
+    pages = spark.createDataFrame([(i, f"http://h.x/{i}", shell.format(i)) for i in range(3)], "page_id bigint, url string, html string")
+    found = {r.page_id: r.text for r in page_text.extract_text(pages).collect()}
+    assert found[1] == "Story 1\n\nNote 1" and "Note 0" in found[0]
+
+
 def test_neighbours_cross_the_borders_of_ranges(spark):
     rows = [(i, "h", f"/{i // 4}/{i % 4}") for i in range(200)] + [(1000, "alone", "/")]
     pages = spark.createDataFrame(rows, "key bigint, host string, path string").repartition(7)
