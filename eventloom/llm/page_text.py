@@ -193,8 +193,8 @@ def shared_lines(left: Sequence[str], right: Sequence[str]) -> list[int]:
     return sorted(ends + middle)
 
 
-def main_text(lines: list[dict], neighbour: list[dict] | None, second: list[dict] | None = None) -> str:
-    """The lines that the neighbour does not share; in an article, those that not both neighbours share."""
+def template_lines(lines: list[dict], neighbour: list[dict] | None, second: list[dict] | None) -> set[int]:
+    """Places of the lines that the neighbour shares; in an article, of those that both neighbours share."""
     texts = [line["text"] for line in lines]
     inside = {i for i, line in enumerate(lines) if line["article"]}
     template = set(shared_lines(texts, [line["text"] for line in neighbour or []]))
@@ -203,7 +203,13 @@ def main_text(lines: list[dict], neighbour: list[dict] | None, second: list[dict
         told = [n for n in (neighbour, second) if n and [line["text"] for line in n if line["article"]] != own]
         both = set(shared_lines(texts, [line["text"] for line in second])) if len(told) == 2 else set()
         template -= repeated - both
-    return "\n\n".join(text for i, text in enumerate(texts) if i not in template)
+    return template
+
+
+def main_text(lines: list[dict], neighbour: list[dict] | None, second: list[dict] | None = None) -> str:
+    """The lines that do not belong to the template."""
+    template = template_lines(lines, neighbour, second)
+    return "\n\n".join(line["text"] for i, line in enumerate(lines) if i not in template)
 
 
 LINES = "array<struct<text:string,article:boolean>>"
@@ -277,19 +283,20 @@ def extract_text(
     read_pages = written(keyed.mapInArrow(read, f"page_id {id_type}, url string, key bigint, lines {LINES}"), "page-lines")
     urls = read_pages.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     near = neighbours(urls.dropDuplicates(["key"]))
-    once = written(read_pages.select("key", "lines").dropDuplicates(["key"]), "distinct-page-lines")
-    other = once.select(F.col("key").alias("near"), F.col("lines").alias("other"))
-    # Only lines of an article ask for a second neighbour.
-    asking = F.when(F.exists("lines", lambda line: line["article"]), F.col("far"))
-    second = once.select(F.col("key").alias("asked"), F.col("lines").alias("second"))
-    paired = (
-        read_pages.join(near, "key", "left").withColumn("asked", asking)
-        .join(other, "near", "left").join(second, "asked", "left")
-    )
+    # Neighbours are sent as hashes of their lines: the joins carry each text once.
+    prints = F.transform("lines", lambda line: F.struct(F.xxhash64(line["text"]).alias("text"), line["article"].alias("article")))
+    once = read_pages.select("key", prints.alias("prints")).dropDuplicates(["key"])
+    other = once.select(F.col("key").alias("near"), F.col("prints").alias("other"))
+    second = once.select(F.col("key").alias("asked"), F.col("prints").alias("second"))
+    told = near.join(other, "near", "left").join(second, F.col("far") == F.col("asked"), "left").select("key", "other", "second")
+    paired = read_pages.join(told, "key", "left").withColumn("prints", prints)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(*three) for three in rows([batch], "lines", "other", "second")]
+            texts = []
+            for lines, own, other, second in rows([batch], "lines", "prints", "other", "second"):
+                template = template_lines(own, other, second)
+                texts.append("\n\n".join(line["text"] for i, line in enumerate(lines) if i not in template))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())],
@@ -297,4 +304,4 @@ def extract_text(
             )
 
     schema = f"page_id {id_type}, url string, text string, n_chars bigint"
-    return paired.select("page_id", "url", "lines", "other", "second").mapInArrow(compare, schema)
+    return paired.select("page_id", "url", "lines", "prints", "other", "second").mapInArrow(compare, schema)
