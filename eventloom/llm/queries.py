@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import (
-    decontaminate, langid, merge_dropout, nearest, page_text, repeats, simhash, token_counts, token_files, url_rules,
+    collocations, decontaminate, fertility, langid, merge_dropout, nearest, page_text, repeats, simhash, token_counts, token_files, url_rules,
 )
 from eventloom.llm.common import read_table
 from eventloom.session import scratch_path
@@ -67,6 +67,15 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return fertility.judge(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_page_text": op2_page_text,
@@ -78,6 +87,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_repeats": op9_repeats,
     "op10_merge_dropout": op10_merge_dropout,
+    "op12_fertility": op12_fertility,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES = {
@@ -98,4 +109,32 @@ fits AS (
   FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host))
     AND starts_with(path, rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS piece, lang, words FROM (
+    SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(unnest(string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda w: w <> '') AS words FROM documents)),
+places AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, words, i, unnest([1, 2, 3]) AS k FROM places),
+f AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*)::HUGEINT AS f
+  FROM grams WHERE i + k - 1 <= len(words) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT o.lang, o.k, o.phrase, a, c, l.f AS l, r.f AS r, 1000000 * a * a // (l.f * r.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM often) o
+  JOIN f l ON l.lang = o.lang AND l.phrase = array_to_string(words[1:c], ' ')
+  JOIN f r ON r.lang = o.lang AND r.phrase = array_to_string(words[c + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+longer AS (
+  SELECT lang, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS phrase, a
+  FROM often WHERE k = 3),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM longer g
+    WHERE g.lang = b.lang AND g.phrase = b.phrase AND 100 * g.a >= 50 * b.a))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
