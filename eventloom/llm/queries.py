@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import (
-    collocations, decontaminate, fertility, langid, merge_dropout, nearest, page_text, repeats, simhash, token_counts, token_files, url_rules,
+    collocations, conversation_trie, decontaminate, fertility, langid, merge_dropout, nearest, page_text, repeats, simhash, token_counts, token_files, url_rules,
 )
 from eventloom.llm.common import read_table
 from eventloom.session import scratch_path
@@ -67,6 +67,11 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.numbered_turns(read_table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_trie(conversation_trie.with_shared_heads(turns))
+
+
 def op12_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return fertility.judge(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -87,6 +92,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_repeats": op9_repeats,
     "op10_merge_dropout": op10_merge_dropout,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_fertility": op12_fertility,
     "op13_collocations": op13_collocations,
 }
@@ -109,6 +115,39 @@ fits AS (
   FROM parts LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host))
     AND starts_with(path, rule_path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE place = 1""",
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '')
+      || coalesce(text, '')) AS id, row_number() OVER (PARTITION BY conv_id
+      ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(id ORDER BY place) AS ids, list(strlen(text) ORDER BY place) AS sizes
+  FROM t GROUP BY conv_id),
+heads AS (
+  SELECT *, conv_id - conv_id % 5 AS base, xor(list_reduce([4294967295]::BIGINT[] || flatten(list_transform(
+      string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]::BIGINT[])),
+      lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295) % 9 AS h FROM own),
+rebuilt AS (
+  SELECT a.conv_id, coalesce(b.ids, [])[1:a.h] || a.ids[a.h + 1:] AS ids,
+    coalesce(b.sizes, [])[1:a.h] || a.sizes[a.h + 1:] AS sizes
+  FROM heads a LEFT JOIN own b ON b.conv_id = a.base),
+deep AS (SELECT *, unnest(range(0, len(ids) + 1)) AS depth FROM rebuilt),
+m AS (
+  SELECT conv_id, depth, sha256(array_to_string(ids[1:depth], '')) AS node, depth = len(ids) AS ended,
+    CASE WHEN depth > 0 THEN sha256(array_to_string(ids[1:depth - 1], '')) END AS parent,
+    CASE WHEN depth > 0 THEN sizes[depth] ELSE 0 END AS size FROM deep),
+n AS (
+  SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    any_value(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+      FILTER (ended), '')) AS ends_sha256 FROM m GROUP BY node),
+c AS (SELECT parent AS node, count(*) AS n_children FROM n GROUP BY parent),
+below AS (
+  SELECT m.node, count(*) FILTER (c.node IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.size)::BIGINT AS saved_tokens
+  FROM n LEFT JOIN c USING (node) JOIN m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children,
+  below.n_leaves, below.saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n p ON p.node = n.parent LEFT JOIN c ON c.node = n.node JOIN below ON below.node = n.node""",
     "op13_collocations": r"""
 WITH pieces AS (
   SELECT row_number() OVER () AS piece, lang, words FROM (
