@@ -6,7 +6,9 @@ trigger, and the following one starts with that trigger: neighbours overlap by i
 two words. Equal chunks are counted once for all occurrences (the dictionary with
 its parse frequencies), and n-grams are counted inside distinct chunks only,
 weighted by that frequency. An n-gram belongs to the chunk it starts in, and
-the trailing overlap starts nothing, so each occurrence counts once.
+the trailing overlap starts nothing, so each occurrence counts once. The distinct
+chunks are gone through twice: once for sums by slots of a fixed table, and once
+for the exact counts of the phrases whose slot is frequent enough.
 
 Python tasks cut and count on Arrow batches, a few million words at a time; Spark
 adds up chunks, then phrases, by partial sums, so a chunk or word of any frequency
@@ -26,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows, written
+from eventloom.llm.common import discard, rows, written
 from eventloom.operators.topk import first_per_group
 
 # Characters that end a piece, and those between words.
@@ -47,6 +49,8 @@ SPACING = 16
 #: Bytes of text that a task holds as separate words.
 HELD = 1 << 22
 NO_LANGUAGE = "und"
+#: Phrases are told apart roughly by so many bits, in a table of 2^27 bits, before any is spelt out.
+SLOT_BITS = 27
 
 
 class Numbers(dict):
@@ -118,12 +122,14 @@ def summed(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return distinct, np.bincount(place, weights, len(distinct)).astype(np.int64), place
 
 
-def phrases_of(chunks: list[tuple[bytes, bool, int]]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """For 1, 2 and 3 words: the phrases that start in the chunks, and their weighted counts."""
+def phrases_of(chunks: list[tuple[bytes, bool, int]]) -> tuple[Numbers, list[tuple[list[np.ndarray], np.ndarray]]]:
+    """The words of the chunks and, for 1, 2 and 3 words, the distinct phrases that start in them.
+
+    Phrases come as one array of word numbers for each place, with their weighted counts.
+    """
     words = split_words([chunk for chunk, _, _ in chunks])
     numbers = Numbers()
     ids = numbers.of(words)
-    vocabulary = pa.array(list(numbers), pa.binary())
     word = ids > 0
     # Room behind the last break, so that every place has two more to look at.
     ids, word = np.append(ids, [0, 0]), np.append(word, [False, False])
@@ -133,21 +139,21 @@ def phrases_of(chunks: list[tuple[bytes, bool, int]]) -> Iterator[tuple[int, pa.
     begins = word[:-2] & ~(shared & ~(word[1:-1] & word[2:]))
     size = len(numbers)
 
-    one, count, _ = summed(ids[:-2], np.where(begins, weight, 0))
-    yield 1, *named(vocabulary, [one], count)
-    pair = ids[:-2] * size + ids[1:-1]
-    two, count, place = summed(pair, np.where(begins & word[1:-1], weight, 0))
-    yield 2, *named(vocabulary, [two // size, two % size], count)
-    triple, count, _ = summed(place * size + ids[2:], np.where(begins & word[1:-1] & word[2:], weight, 0))
-    first = two[triple // size]
-    yield 3, *named(vocabulary, [first // size, first % size, triple % size], count)
+    one, n_one, _ = summed(ids[:-2], np.where(begins, weight, 0))
+    two, n_two, place = summed(ids[:-2] * size + ids[1:-1], np.where(begins & word[1:-1], weight, 0))
+    three, n_three, _ = summed(place * size + ids[2:], np.where(begins & word[1:-1] & word[2:], weight, 0))
+    first = two[three // size]
+    found = [([one], n_one), ([two // size, two % size], n_two), ([first // size, first % size, three % size], n_three)]
+    return numbers, [([p[n > 0] for p in parts], n[n > 0]) for parts, n in found]
 
 
-def named(vocabulary: pa.Array, parts: list[np.ndarray], counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Phrases with a count, spelt out."""
-    used = counts > 0
-    spelt = [vocabulary.take(pa.array(p[used])).cast(pa.string()) for p in parts]
-    return (pc.binary_join_element_wise(*spelt, " ") if len(spelt) > 1 else spelt[0]), counts[used]
+def slots(parts: list[np.ndarray], hashes: np.ndarray, lang: str) -> np.ndarray:
+    """A slot for each phrase, by its words and language alone."""
+    mixed = np.full(len(parts[0]), zlib.crc32(lang.encode()) + (len(parts) << 32), np.uint64)
+    for part in parts:
+        mixed = (mixed ^ hashes[part]) * np.uint64(FACTORS[0])
+        mixed ^= mixed >> np.uint64(31)
+    return (mixed * np.uint64(FACTORS[2]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 CHUNKS = "lang string, shared boolean, chunk string, n bigint"
@@ -192,11 +198,8 @@ def parse_dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", sp
     return parsed.groupBy("lang", "shared", "chunk").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(dictionary: DataFrame) -> DataFrame:
-    """Occurrences ``f`` of every phrase of up to three words, from distinct chunks alone.
-
-    The row with no words holds the occurrences of all words of the language.
-    """
+def _over_chunks(dictionary: DataFrame, counted, schema: str) -> DataFrame:
+    """``counted`` (a function of a language and its chunks) over the dictionary, some megabytes at a time."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[bytes, bool, int]]] = {}
@@ -205,24 +208,70 @@ def phrase_counts(dictionary: DataFrame) -> DataFrame:
             held.setdefault(name, []).append((chunk.encode(), shared, n))
             size += len(chunk)
             if size > HELD:
-                yield from counted(held)
+                for lang, chunks in held.items():
+                    yield from counted(lang, chunks)
                 held, size = {}, 0
-        yield from counted(held)
+        for lang, chunks in held.items():
+            yield from counted(lang, chunks)
+
+    return dictionary.select("lang", "chunk", "shared", "n").mapInArrow(task, schema)
+
 
-    def counted(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        for name, chunks in held.items():
-            for length, phrases, counts in phrases_of(chunks):
-                yield batch(name, length, phrases, counts)
-                if length == 1:
-                    yield batch(name, 0, pa.array([""]), counts.sum(keepdims=True))
+def frequent_slots(dictionary: DataFrame, least: int) -> np.ndarray:
+    """One byte for eight slots: those whose phrases occur ``least`` times together.
 
-    def batch(name: str, length: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    A frequent phrase always sets its slot; a rare one seldom shares a set slot. Numbers are shuffled, no
+    phrases, and the driver gets 16 MB of bits whatever the corpus.
+    """
+
+    def counted(lang: str, chunks: list) -> Iterator[pa.RecordBatch]:
+        numbers, found = phrases_of(chunks)
+        hashes = np.array(numbers.hashes, np.uint64)
+        for parts, counts in found:
+            slot = pa.array(slots(parts, hashes, lang).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([slot, pa.array(counts)], ["slot", "n"])
+
+    sums = _over_chunks(dictionary, counted, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    place = F.col("slot").cast("bigint") + 1
+    bits = (
+        sums.where(F.col("n") >= least)
+        .groupBy(F.bitmap_bucket_number(place).alias("part"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    )
+    table = np.zeros(max(1 << SLOT_BITS - 3, 4096), np.uint8)
+    for row in bits.collect():
+        start = (row.part - 1) * len(row.bits)
+        table[start : start + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
+    return table
+
+
+def phrase_counts(dictionary: DataFrame, least: int) -> DataFrame:
+    """Occurrences ``f`` of every phrase of up to three words that has at least ``least``, from distinct chunks alone.
+
+    The row with no words holds the occurrences of all words of the language. A first pass finds
+    out which phrases may be frequent, so that only those are spelt out, shuffled and counted.
+    """
+    frequent = dictionary.sparkSession.sparkContext.broadcast(frequent_slots(dictionary, least))
+
+    def counted(lang: str, chunks: list) -> Iterator[pa.RecordBatch]:
+        numbers, found = phrases_of(chunks)
+        hashes = np.array(numbers.hashes, np.uint64)
+        vocabulary = pa.array(list(numbers), pa.binary())
+        yield batch(lang, 0, pa.array([""]), found[0][1].sum(keepdims=True))
+        for length, (parts, counts) in enumerate(found, 1):
+            slot = slots(parts, hashes, lang)
+            used = frequent.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+            spelt = [vocabulary.take(pa.array(p[used])).cast(pa.string()) for p in parts]
+            phrases = pc.binary_join_element_wise(*spelt, " ") if length > 1 else spelt[0]
+            yield batch(lang, length, phrases, counts[used])
+
+    def batch(lang: str, length: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
         size = len(counts)
-        columns = [pa.array([name] * size, pa.string()), pa.array(np.full(size, length, np.int32)), phrases, pa.array(counts)]
+        columns = [pa.array([lang] * size, pa.string()), pa.array(np.full(size, length, np.int32)), phrases, pa.array(counts)]
         return pa.RecordBatch.from_arrays(columns, ["lang", "n_words", "phrase", "f"])
 
-    partial = dictionary.select("lang", "chunk", "shared", "n").mapInArrow(task, PHRASES)
-    return partial.groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
+    summed_up = _over_chunks(dictionary, counted, PHRASES).groupBy("lang", "n_words", "phrase").agg(F.sum("f").alias("f"))
+    return summed_up.where((F.col("f") >= least) | (F.col("n_words") == 0))
 
 
 def _known(counts: DataFrame, phrase: str, count: str) -> DataFrame:
@@ -275,8 +324,9 @@ def collocations(
     nothing, equal rows count each, and an empty table gives no rows. A language of few words has
     fewer than ``best`` phrases. ``n`` counts all words of the language.
     """
-    counted = phrase_counts(parse_dictionary(docs, text, lang, spacing))
-    counts = written(counted.where((F.col("f") >= least) | (F.col("n_words") == 0)), "phrases")
+    dictionary = written(parse_dictionary(docs, text, lang, spacing), "chunks")
+    counts = written(phrase_counts(dictionary, least), "phrases")
+    discard(dictionary)
     phrases = counts.where("n_words > 0")
     wanted = scored(phrases).join(swallowed(phrases, percent), ["lang", "phrase"], "left_anti")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]

@@ -73,8 +73,11 @@ def test_any_spacing_of_triggers_counts_the_same(spacing):
     texts = ["".join(pick.choice(words) + pick.choice([" ", " ", "\t ", ". ", "\n", ",", "  "]) for _ in range(80)) for _ in range(40)]
     chunks = collocations.chunks_of([t.encode() for t in texts], spacing)
     found = {k: Counter() for k in (1, 2, 3)}
-    for k, phrases, counts in collocations.phrases_of([(c, s, n) for (c, s), n in chunks.items()]):
-        found[k].update(dict(zip(phrases.to_pylist(), counts.tolist())))
+    numbers, phrases = collocations.phrases_of([(c, s, n) for (c, s), n in chunks.items()])
+    known = list(numbers)
+    for k, (parts, counts) in enumerate(phrases, 1):
+        spelt = [" ".join(known[i].decode() for i in line) for line in zip(*parts)]
+        found[k].update(dict(zip(spelt, counts.tolist())))
     expected, _ = plain_counts([(t, "z") for t in texts])
     assert found == {k: Counter({p: c for (_, p), c in expected[k].items()}) for k in found}
 
@@ -86,6 +89,14 @@ def test_texts_cut_into_stretches(monkeypatch):
     assert list(collocations.stretches(b"no break at all " * 9, 10)) == [b"no break at all " * 9]
 
 
+def test_crowded_slots_change_nothing(spark, monkeypatch):
+    """With 16 slots every phrase may be frequent, and only the exact counts decide."""
+    docs = [tuple(r) for r in queries.read_table(spark, SMALL, "documents").select("text", "lang").collect()][:60]
+    expected = spark_collocations(spark, docs)
+    monkeypatch.setattr(collocations, "SLOT_BITS", 4)
+    assert expected and spark_collocations(spark, docs) == expected
+
+
 def test_hard_rows(spark):
     hot = " ".join(["very common pair"] * 400)
     docs = [(hot, "en"), (hot, "en"), (None, "en"), ("", None), (" \t\n.,", None), ("Tie one. " * 10 + "tie two. " * 10, None)]
