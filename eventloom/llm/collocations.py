@@ -7,8 +7,8 @@ two words. Equal chunks are counted once for all occurrences (the dictionary wit
 its parse frequencies), and n-grams are counted inside distinct chunks only,
 weighted by that frequency. An n-gram belongs to the chunk it starts in, and
 the trailing overlap starts nothing, so each occurrence counts once. The distinct
-chunks are gone through twice: once for sums by slots of a fixed table, and once
-for the exact counts of the phrases whose slot is frequent enough.
+chunks are gone through twice: once for sums by hashed slots, and once for the exact
+counts of the phrases whose slot is frequent enough.
 
 Python tasks cut and count on Arrow batches, a few million words at a time; Spark
 adds up chunks, then phrases, by partial sums, so a chunk or word of any frequency
@@ -49,8 +49,10 @@ SPACING = 16
 #: Bytes of text that a task holds as separate words.
 HELD = 1 << 22
 NO_LANGUAGE = "und"
-#: Phrases are told apart roughly by so many bits, in a table of 2^27 bits, before any is spelt out.
-SLOT_BITS = 27
+#: Slots that may be frequent are marked in a table of 2^27 bits, whatever the corpus.
+TABLE_BITS = 27
+#: Entries that a task sums up before it makes room.
+SUMMED = 1 << 22
 
 
 class Numbers(dict):
@@ -148,12 +150,17 @@ def phrases_of(chunks: list[tuple[bytes, bool, int]]) -> tuple[Numbers, list[tup
 
 
 def slots(parts: list[np.ndarray], hashes: np.ndarray, lang: str) -> np.ndarray:
-    """A slot for each phrase, by its words and language alone."""
+    """A slot of 64 bits for each phrase, by its words and language alone."""
     mixed = np.full(len(parts[0]), zlib.crc32(lang.encode()) + (len(parts) << 32), np.uint64)
     for part in parts:
         mixed = (mixed ^ hashes[part]) * np.uint64(FACTORS[0])
         mixed ^= mixed >> np.uint64(31)
-    return (mixed * np.uint64(FACTORS[2]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return mixed * np.uint64(FACTORS[2])
+
+
+def table_place(slot: np.ndarray, table_bits: int) -> np.ndarray:
+    """The bit of a slot in the table that tasks get."""
+    return (slot >> np.uint64(64 - table_bits)).astype(np.int64)
 
 
 CHUNKS = "lang string, shared boolean, chunk string, n bigint"
@@ -217,41 +224,77 @@ def _over_chunks(dictionary: DataFrame, counted, schema: str) -> DataFrame:
     return dictionary.select("lang", "chunk", "shared", "n").mapInArrow(task, schema)
 
 
-def frequent_slots(dictionary: DataFrame, least: int) -> np.ndarray:
-    """One byte for eight slots: those whose phrases occur ``least`` times together.
+def frequent_slots(dictionary: DataFrame, least: int, table_bits: int = TABLE_BITS) -> np.ndarray:
+    """One byte for eight bits of the table: set for slots whose phrases occur ``least`` times together.
 
-    A frequent phrase always sets its slot; a rare one seldom shares a set slot. Numbers are shuffled, no
-    phrases, and the driver gets 16 MB of bits whatever the corpus.
+    A frequent phrase always sets its bit. Phrases share a slot only if 32 bits and those of the
+    part agree, so rare ones seldom set one. A part is a range of slots; there are more parts than
+    shuffle partitions, and what a task found of a part travels as one row of numbers. The driver gets
+    16 MB of bits whatever the corpus.
     """
+    spark = dictionary.sparkSession
+    bits = max(8, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
     def counted(lang: str, chunks: list) -> Iterator[pa.RecordBatch]:
         numbers, found = phrases_of(chunks)
         hashes = np.array(numbers.hashes, np.uint64)
-        for parts, counts in found:
-            slot = pa.array(slots(parts, hashes, lang).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([slot, pa.array(counts)], ["slot", "n"])
-
-    sums = _over_chunks(dictionary, counted, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    place = F.col("slot").cast("bigint") + 1
-    bits = (
-        sums.where(F.col("n") >= least)
-        .groupBy(F.bitmap_bucket_number(place).alias("part"))
+        slot = np.concatenate([slots(parts, hashes, lang) for parts, _ in found])
+        # Only whether a sum reaches ``least`` matters.
+        count = np.minimum(np.concatenate([n for _, n in found]), (1 << 31) - 1).astype("<u4")
+        order = np.argsort(slot)
+        slot, count = slot[order], count[order]
+        part = (slot >> np.uint64(64 - bits)).astype(np.int64)
+        rest = (slot >> np.uint64(32 - bits)).astype("<u4")
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        spans = [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(part[a]) for a, _ in spans], pa.int32()),
+                pa.array([rest[a:b].tobytes() for a, b in spans], pa.binary()),
+                pa.array([count[a:b].tobytes() for a, b in spans], pa.binary()),
+            ],
+            ["part", "rest", "n"],
+        )
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        distinct, sums, _ = summed(np.concatenate([r for r, _ in held]), np.concatenate([n for _, n in held]))
+        return distinct, sums
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting: Counter = Counter()
+        for part, rest, n in rows(batches, "part", "rest", "n"):
+            held.setdefault(part, []).append((np.frombuffer(rest, "<u4"), np.frombuffer(n, "<u4")))
+            waiting[part] += len(rest) // 4
+            if waiting[part] > SUMMED:
+                held[part], waiting[part] = [added(held[part])], 0
+        for part, lines in held.items():
+            rest, sums = added(lines)
+            often = rest[sums >= least].astype(np.uint64)
+            slot = np.uint64(part) << np.uint64(64 - bits) | often << np.uint64(32 - bits)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(table_place(slot, table_bits)))], ["bit"])
+
+    sums = _over_chunks(dictionary, counted, "part int, rest binary, n binary").repartition("part")
+    place = F.col("bit") + 1
+    marked = (
+        sums.mapInArrow(reached, "bit bigint")
+        .groupBy(F.bitmap_bucket_number(place).alias("stretch"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     )
-    table = np.zeros(max(1 << SLOT_BITS - 3, 4096), np.uint8)
-    for row in bits.collect():
-        start = (row.part - 1) * len(row.bits)
+    table = np.zeros(max(1 << table_bits - 3, 4096), np.uint8)
+    for row in marked.collect():
+        start = (row.stretch - 1) * len(row.bits)
         table[start : start + len(row.bits)] = np.frombuffer(row.bits, np.uint8)
     return table
 
 
-def phrase_counts(dictionary: DataFrame, least: int) -> DataFrame:
+def phrase_counts(dictionary: DataFrame, least: int, table_bits: int = TABLE_BITS) -> DataFrame:
     """Occurrences ``f`` of every phrase of up to three words that has at least ``least``, from distinct chunks alone.
 
     The row with no words holds the occurrences of all words of the language. A first pass finds
     out which phrases may be frequent, so that only those are spelt out, shuffled and counted.
     """
-    frequent = dictionary.sparkSession.sparkContext.broadcast(frequent_slots(dictionary, least))
+    frequent = dictionary.sparkSession.sparkContext.broadcast(frequent_slots(dictionary, least, table_bits))
 
     def counted(lang: str, chunks: list) -> Iterator[pa.RecordBatch]:
         numbers, found = phrases_of(chunks)
@@ -259,8 +302,8 @@ def phrase_counts(dictionary: DataFrame, least: int) -> DataFrame:
         vocabulary = pa.array(list(numbers), pa.binary())
         yield batch(lang, 0, pa.array([""]), found[0][1].sum(keepdims=True))
         for length, (parts, counts) in enumerate(found, 1):
-            slot = slots(parts, hashes, lang)
-            used = frequent.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1
+            place = table_place(slots(parts, hashes, lang), table_bits)
+            used = frequent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 == 1
             spelt = [vocabulary.take(pa.array(p[used])).cast(pa.string()) for p in parts]
             phrases = pc.binary_join_element_wise(*spelt, " ") if length > 1 else spelt[0]
             yield batch(lang, length, phrases, counts[used])
@@ -315,7 +358,7 @@ def swallowed(counts: DataFrame, percent: int) -> DataFrame:
 
 def collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 10, percent: int = 50, best: int = 2000,
-    spacing: int = SPACING,
+    spacing: int = SPACING, table_bits: int = TABLE_BITS,
 ) -> DataFrame:
     """The ``best`` phrases of two and three words of every language, by how much their parts belong together.
 
@@ -325,7 +368,7 @@ def collocations(
     fewer than ``best`` phrases. ``n`` counts all words of the language.
     """
     dictionary = written(parse_dictionary(docs, text, lang, spacing), "chunks")
-    counts = written(phrase_counts(dictionary, least), "phrases")
+    counts = written(phrase_counts(dictionary, least, table_bits), "phrases")
     discard(dictionary)
     phrases = counts.where("n_words > 0")
     wanted = scored(phrases).join(swallowed(phrases, percent), ["lang", "phrase"], "left_anti")

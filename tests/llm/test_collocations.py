@@ -89,12 +89,11 @@ def test_texts_cut_into_stretches(monkeypatch):
     assert list(collocations.stretches(b"no break at all " * 9, 10)) == [b"no break at all " * 9]
 
 
-def test_crowded_slots_change_nothing(spark, monkeypatch):
-    """With 16 slots every phrase may be frequent, and only the exact counts decide."""
+def test_crowded_slots_change_nothing(spark):
+    """With a table of 16 bits every phrase may be frequent, and only the exact counts decide."""
     docs = [tuple(r) for r in queries.read_table(spark, SMALL, "documents").select("text", "lang").collect()][:60]
     expected = spark_collocations(spark, docs)
-    monkeypatch.setattr(collocations, "SLOT_BITS", 4)
-    assert expected and spark_collocations(spark, docs) == expected
+    assert expected and spark_collocations(spark, docs, table_bits=4) == expected
 
 
 def test_hard_rows(spark):
