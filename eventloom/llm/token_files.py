@@ -16,6 +16,7 @@ covers them, on any file system, and a retried task leaves no half-written file.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -135,7 +136,10 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # White space to Python's split() but not to the tokenizer.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
-MOST_CACHED = 400_000
+#: Chunks, and words, that are remembered; when there are more, those not used since the last time go.
+MOST_CACHED = 250_000
+#: From here on characters are left to the library, which knows another version of Unicode than Python.
+FOREIGN = 0x2000
 
 
 class WordEncoder(dict):
@@ -143,8 +147,9 @@ class WordEncoder(dict):
 
     White space ends a word for this tokenizer, so a text's ids are its chunks' ids in a
     row. A chunk seen for the first time is cut into words, and each new word goes through
-    the library's model. Texts with a character on which Python and the tokenizer differ,
-    and chunks with a special token, go through the whole library pipeline.
+    the library's model. Texts with white space on which Python and the tokenizer differ, and chunks
+    with a special token or with a character on which they may differ, go through the whole
+    library pipeline. Those below U+2000 are found by trying each one, as a part of a word.
     """
 
     def __init__(self, path: str):
@@ -155,24 +160,39 @@ class WordEncoder(dict):
         self.model = self.tokenizer.model
         self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.foreign = re.compile(f"[{chr(FOREIGN)}-\U0010ffff]")
+        odd = [chr(c) for c in range(FOREIGN) if not chr(c).isspace() and self.differs(f"a{chr(c)}b1{chr(c)}!{chr(c)}")]
+        self.foreign = re.compile("[%s%s-\U0010ffff]" % ("".join(map(re.escape, odd)), chr(FOREIGN)))
+
+    def differs(self, chunk: str) -> bool:
+        plain = unicodedata.normalize("NFC", chunk)
+        return self.encoded(plain) != self.whole(chunk)
 
     def __missing__(self, chunk: str) -> bytes:
-        if "<|" in chunk and any(s in chunk for s in self.special):
-            found = self.whole(chunk)
-        else:
-            lower = chunk.replace("Σ", "σ").lower()
-            found = b"".join([self.words.get(w) or self.word(w) for w in WORDS.findall(lower)])
+        found = self.before.get(chunk)
+        if found is None:
+            found = self.whole(chunk) if self.is_special(chunk) else self.encoded(chunk)
         if len(self) >= MOST_CACHED:
+            self.before = dict(self)
             self.clear()
         self[chunk] = found
         return found
 
+    def encoded(self, chunk: str) -> bytes:
+        lower = chunk.replace("Σ", "σ").lower()
+        return b"".join([self.words.get(w) or self.word(w) for w in WORDS.findall(lower)])
+
     def word(self, word: str) -> bytes:
-        spelt = word if word.isascii() else self.byte_level.pre_tokenize_str(word)[0][0]
-        found = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+        found = self.words_before.get(word)
+        if found is None:
+            # Letters and signs of ASCII stand for themselves on the byte level; control characters do not.
+            spelt = word if word.isascii() and word.isprintable() else self.byte_level.pre_tokenize_str(word)[0][0]
+            found = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
         if len(self.words) >= MOST_CACHED:
-            self.words.clear()
+            self.words_before, self.words = self.words, {}
         self.words[word] = found
         return found
 
@@ -188,7 +208,8 @@ class WordEncoder(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
     def is_special(self, chunk: str) -> bool:
-        return "<|" in chunk and any(s in chunk for s in self.special)
+        """Whether only the library may cut the chunk."""
+        return bool(self.foreign.search(chunk)) or "<|" in chunk and any(s in chunk for s in self.special)
 
 
 SEGMENT_IDS = 1 << 18
