@@ -47,6 +47,8 @@ TRAILING_COLUMNS = {
     "block_hash": T.StringType(),
     "timestamp": T.LongType(),
 }
+# Positions of a log among all logs of its transaction and, where receipts tell, of its block.
+TX_LOG_INDEX = "tx_log_index"
 BLOCK_LOG_INDEX = "block_log_index"
 # Stored event tables are partitioned by stretches of so many blocks.
 BLOCK_BUCKET = "block_bucket"
@@ -141,7 +143,7 @@ class AbiItem:
     def schema(self) -> T.StructType:
         fields = dict(LEADING_COLUMNS)
         for i in self.columns:
-            if i.name in fields or i.name in TRAILING_COLUMNS or i.name == BLOCK_LOG_INDEX:
+            if i.name in fields or i.name in TRAILING_COLUMNS or i.name in (TX_LOG_INDEX, BLOCK_LOG_INDEX):
                 raise ConfigError(f"{self.signature}: input {i.name!r} collides with another column")
             fields[i.name] = spark_type(i.type)
         return T.StructType([T.StructField(n, t) for n, t in {**fields, **TRAILING_COLUMNS}.items()])
@@ -261,7 +263,7 @@ class JobConfig:
 
     def integer_columns(self, table: str) -> set[str]:
         """Columns of a table that documents write as numbers."""
-        names = {"log_index", "transaction_index", "block_number", BLOCK_LOG_INDEX}
+        names = {"log_index", "transaction_index", "block_number", TX_LOG_INDEX, BLOCK_LOG_INDEX}
         for _, _, item in self.events():
             if item.table == table:
                 names |= {i.name for i in item.inputs if is_declared_integer(i.type)}

@@ -19,9 +19,11 @@ from eventloom.operators.running import running_totals
 from eventloom.plans.logs import union_logs
 from eventloom.session import scratch_path
 from eventloom.sinks.tables import ParquetSink, configured_tables, event_tables_at
-from eventloom.sources.chain import TX_ID_SPAN, raw_logs, tx_ordinals
+from eventloom.sources.chain import TX_ID_SPAN, raw_logs, read_receipts, tx_ordinals, write_receipts
 
 LOGS_PER_ROW = 1024
+# Blocks of a partition of the stored receipts.
+RECEIPT_BLOCKS = 256
 EPOCH_SECONDS = 788918400
 CONTRACTS = {"A": "0x" + "aa" * 20, "N": "0x" + "bb" * 20, "R": "0x" + "cc" * 20}
 AA, BB, CC = CONTRACTS.values()
@@ -216,22 +218,18 @@ def _build_receipts(spark: SparkSession, sf_dir: str, path: str, logs_per_row: i
         (F.col("part") * logs_per_row).alias("first_log"),
         (parts == 1).alias("whole"),
     )
-    order = ["block_number", "transaction_index", "first_log"]
-    receipts.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+    write_receipts(receipts, path, RECEIPT_BLOCKS)
 
 
 def receipts(spark: SparkSession, sf_dir: str, logs_per_row: int = LOGS_PER_ROW) -> DataFrame:
-    """Receipts; the columns for spread transactions are there only if some are spread."""
+    """Receipts, as a chain stores them; transactions of many logs are spread over several rows."""
     path = _stored(
         spark,
         sf_dir,
         f"receipts-{logs_per_row}",
         lambda p: _build_receipts(spark, sf_dir, p, logs_per_row),
     )
-    stored = spark.read.parquet(path)
-    if stored.where(~F.col("whole")).isEmpty():
-        return stored.drop("first_log", "whole")
-    return stored
+    return read_receipts(spark, path, RECEIPT_BLOCKS)
 
 
 def plain_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,18 +271,29 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_table_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The Transfer and Approval tables of all contracts, stored by the job itself."""
+def event_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the Transfer and Approval tables of all contracts."""
     config = JobConfig(mappings=(ALL_EVENTS,), from_block=0)
 
     def build(path: str) -> None:
         sink = ParquetSink(path)
         sink.prepare(spark, configured_tables(config))
         tables = decode(receipts(spark, sf_dir), plain_headers(spark, sf_dir), config.events())
+        sink.begin(spark, tables)
         for name, df in tables.items():
             sink.write(name, df)
+        sink.commit(spark)
+
+    return _stored(spark, sf_dir, "events", build)
+
 
-    return event_tables_at(spark, config, _stored(spark, sf_dir, "events", build))
+def event_sink(spark: SparkSession, sf_dir: str) -> ParquetSink:
+    return ParquetSink(event_folder(spark, sf_dir))
+
+
+def event_table_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The Transfer and Approval tables of all contracts, stored by the job itself."""
+    return event_tables_at(spark, JobConfig(mappings=(ALL_EVENTS,), from_block=0), event_folder(spark, sf_dir))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,6 +120,84 @@ def integer_text(word: str, bits: int, signed: bool) -> str:
         ELSE {unsigned_text(full)} END"""
 
 
+# A wide word in steps of plain columns: chunks of 56 bits, each two limbs of 28, and digits of base 10^9.
+CHUNKS = 5
+CHUNK_DIGITS = 14
+LIMB_BITS = 28
+DIGITS = 9
+LIMB = 10**DIGITS
+GROUPS = 9
+
+
+def is_wide(abi_type: str) -> bool:
+    """Whether a value may need more than 64 bits, so that its word is decoded in steps."""
+    return abi_type in INTEGER_TYPES and INTEGER_TYPES[abi_type][1] > 64
+
+
+def _ones(word: str, bits: int, signed: bool) -> str:
+    """1 for a negative word, whose size is its complement plus one; else 0."""
+    return f"CASE WHEN {_is_negative(word, bits)} THEN 1 ELSE 0 END" if signed else "0"
+
+
+def _small(size: str) -> str:
+    return f"substring({size}, 1, 48) = '{'0' * 48}'"
+
+
+def _medium(size: str) -> str:
+    return f"substring({size}, 1, 32) = '{'0' * 32}' AND substring({size}, 33, 1) < '4'"
+
+
+def wide_steps(words: dict[str, tuple[bool, int]]) -> list[dict[str, str]]:
+    """Columns that the texts of wide integers are made of, a step at a time; each step reads the one before.
+
+    ``words`` names the inputs, whose words stand in columns ``_name``, with sign and bits. Columns
+    are computed once and stay in generated code; nothing is computed for a word that fits 126 bits.
+    A group of nine decimal digits before carrying is a sum of ten products below 2^28 * 10^9.
+    """
+    sizes, chunks, groups = {}, {}, {}
+    for name, (signed, bits) in words.items():
+        word = f"`_{name}`"
+        size = _extended(word, bits, signed)
+        if signed:
+            turned = f"translate({size}, '0123456789abcdef', 'fedcba9876543210')"
+            size = f"CASE WHEN {_is_negative(word, bits)} THEN {turned} ELSE {size} END"
+        sizes[f"size of {name}"] = size
+        size = f"`size of {name}`"
+        for c in range(CHUNKS):
+            end = 64 - CHUNK_DIGITS * c
+            start = max(1, end - CHUNK_DIGITS + 1)
+            digits = f"substring({size}, {start}, {end - start + 1})"
+            chunks[f"chunk {c} of {name}"] = (
+                f"CASE WHEN NOT ({_medium(size)}) AND {size} <> '{FULL_WORD}' THEN CAST(conv({digits}, 16, 10) AS BIGINT) END"
+            )
+        limbs = []
+        for c in range(CHUNKS):
+            chunk = f"`chunk {c} of {name}`"
+            limbs += [f"({chunk} & {2**LIMB_BITS - 1}L)", f"shiftright({chunk}, {LIMB_BITS})"]
+        for g in range(GROUPS):
+            factors = [2 ** (LIMB_BITS * k) // LIMB**g % LIMB for k in range(len(limbs))]
+            terms = [f"{limb} * {f}L" if f > 1 else limb for limb, f in zip(limbs, factors) if f]
+            groups[f"group {g} of {name}"] = " + ".join([*terms, _ones(word, bits, signed)] if g == 0 else terms)
+    return [sizes, chunks, groups]
+
+
+def wide_text(name: str, signed: bool, bits: int) -> str:
+    """Decimal text of a wide integer over the columns of its steps, by the cheapest arithmetic its size allows."""
+    size, word = f"`size of {name}`", f"`_{name}`"
+    one = _ones(word, bits, signed)
+    total, parts = "", []
+    for g in range(GROUPS):
+        group = f"`group {g} of {name}`"
+        total = f"({group} + {total} DIV {LIMB}L)" if total else group
+        parts.append(f"lpad(CAST({total} % {LIMB}L AS STRING), {DIGITS}, '0')")
+    text = f"""CASE
+        WHEN {_small(size)} THEN CAST(CAST(conv(substring({size}, 49, 16), 16, 10) AS DECIMAL(20,0)) + {one} AS STRING)
+        WHEN {_medium(size)} THEN CAST({_quarter(size, 33)} * {2**64}BD + {_quarter(size, 49)} + {one} AS STRING)
+        WHEN {size} = '{FULL_WORD}' THEN '{2**256 - 1}'
+        ELSE trim(LEADING '0' FROM concat({', '.join(reversed(parts))})) END"""
+    return f"concat(CASE WHEN {_is_negative(word, bits)} THEN '-' ELSE '' END, {text})" if signed else text
+
+
 def _dynamic_text(word: str, prefix: str) -> str:
     # One word can hold a dynamic value only when it is all zero: an empty one.
     return f"CASE WHEN {word} = '{ZERO_WORD}' THEN '' ELSE concat('{prefix}', {word}) END"

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.config import BLOCK_BUCKET, BLOCK_LOG_INDEX, LEADING_COLUMNS, TRAILING_COLUMNS
+from eventloom.config import BLOCK_BUCKET, BLOCK_LOG_INDEX, LEADING_COLUMNS, TRAILING_COLUMNS, TX_LOG_INDEX
 from eventloom.functions.text import hex_quantity
-from eventloom.operators.filters import TOPIC_COLUMNS, LogFilter, match_filter_table
+from eventloom.operators.filters import BROADCAST_ROWS, TOPIC_COLUMNS, LogFilter, match_filter_table
 from eventloom.operators.topk import first_per_group
 
 # How many hits a request for logs asks for, and how many logs a page of a
@@ -28,7 +28,7 @@ def union_logs(tables: Mapping[str, DataFrame]) -> DataFrame:
     """All event tables as one log table, without their decoded inputs."""
     frames = []
     for table, df in tables.items():
-        extra = [c for c in (BLOCK_LOG_INDEX, BLOCK_BUCKET) if c in df.columns]
+        extra = [c for c in (TX_LOG_INDEX, BLOCK_LOG_INDEX, BLOCK_BUCKET) if c in df.columns]
         frames.append(df.select(F.lit(table).alias("event"), *LOG_COLUMNS, *extra))
     return reduce(DataFrame.unionByName, frames)
 
@@ -51,12 +51,14 @@ def get_event_logs(
     return get_logs(tables[table.lower()], log_filter, max_hits)
 
 
-def get_logs_by_table(logs: DataFrame, filters: DataFrame, max_hits: int | None = None) -> DataFrame:
+def get_logs_by_table(
+    logs: DataFrame, filters: DataFrame, max_hits: int | None = None, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """The hits of every filter of a filter table: all, or the first ``max_hits`` of each."""
     if max_hits is None:
-        return match_filter_table(logs, filters)
+        return match_filter_table(logs, filters, broadcast_rows=broadcast_rows)
     order = [c for c in HIT_ORDER if c in logs.columns]
-    matches = match_filter_table(logs, filters, enough=max_hits)
+    matches = match_filter_table(logs, filters, max_hits, broadcast_rows)
     return first_per_group(matches, ["filter_id"], order, max_hits)
 
 

@@ -7,10 +7,12 @@ there is. Nothing is cut off.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.config import BLOCK_BUCKET, BUCKET_BLOCKS
+from eventloom.config import BLOCK_BUCKET, BUCKET_BLOCKS, TX_LOG_INDEX
 from eventloom.functions.text import hex_quantity
 from eventloom.operators.filters import LATEST_TAGS, highest_block
 from eventloom.plans.logs import MAX_BLOCK_LOGS, MAX_RECEIPT_LOGS, answer_log, valid_logs
@@ -56,8 +58,9 @@ def _constants(values: dict[str, str | None]) -> list[Column]:
     return [F.lit(v).cast("string").alias(k) for k, v in values.items()]
 
 
-def latest_block(logs: DataFrame) -> DataFrame:
-    return logs.agg(F.max("block_number").alias("latest_block"))
+def latest_block(zones: DataFrame) -> DataFrame:
+    """The highest block of the stored tables, from the zones that their sink keeps."""
+    return zones.agg(F.max("max_block").alias("latest_block"))
 
 
 def event_counts(logs: DataFrame) -> DataFrame:
@@ -93,15 +96,21 @@ def blocks_from_logs(logs: DataFrame) -> DataFrame:
     )
 
 
-def get_block(logs: DataFrame, block: int | str = "latest") -> DataFrame:
-    """The summary of one block; no row when the block has no logs."""
+def get_block(logs: DataFrame, block: int | str = "latest", zones: DataFrame | None = None) -> DataFrame:
+    """The summary of one block; no row when the block has no logs.
+
+    With the ``zones`` of stored tables the latest block is looked up there and not in the logs.
+    """
     number = F.col("block_number")
     if isinstance(block, str) and block.startswith("0x"):
         block = int(block, 16)
     if block == "earliest":
         block = 0
     if block == "latest":
-        chosen = logs.where(number == highest_block(logs))
+        highest = highest_block(logs) if zones is None else latest_block(zones).scalar()
+        chosen = logs.where(number == highest)
+        if zones is not None and BLOCK_BUCKET in logs.columns:
+            chosen = chosen.where(F.col(BLOCK_BUCKET) == F.floor(highest / BUCKET_BLOCKS))
     elif isinstance(block, int):
         chosen = logs.where(number == block)
         if BLOCK_BUCKET in logs.columns:
@@ -114,14 +123,17 @@ def get_block(logs: DataFrame, block: int | str = "latest") -> DataFrame:
 
 
 def receipts_from_logs(logs: DataFrame) -> DataFrame:
-    """A receipt for every transaction that has hits, one row per page of 1,000 log positions.
+    """A receipt for every transaction that has hits, one row per page of 1,000 logs of the transaction.
 
-    Its fields come from the first hit, malformed or not; only well-formed hits are listed.
-    ``to`` is the contract of the first hit and stands on page 0. A page without any
-    well-formed hit has an empty list. Hits without a transaction hash have no receipt.
+    A page goes by the position among all logs of the transaction, where the logs tell it, so
+    events of any number share one page of bounded size. The fields come from the first hit of the
+    page, malformed or not, ``to`` is its contract where it is the first log of its event; only
+    well-formed hits are listed. A page without any well-formed hit has an empty list. Hits without a
+    transaction hash have no receipt.
     """
+    place = F.coalesce(TX_LOG_INDEX, "log_index") if TX_LOG_INDEX in logs.columns else F.col("log_index")
     order = ["log_index", *[c for c in ("event", "indexed_id") if c in logs.columns]]
-    page = F.floor(F.col("log_index") / MAX_RECEIPT_LOGS)
+    page = F.floor(place / MAX_RECEIPT_LOGS)
     rows = valid_logs(logs, keep=True).where("tx_hash IS NOT NULL").select(
         F.lower("tx_hash").alias("tx_hash"),
         F.coalesce(page, F.lit(0)).alias("page"),
@@ -134,7 +146,7 @@ def receipts_from_logs(logs: DataFrame) -> DataFrame:
     )
     pages = rows.groupBy("tx_hash", "page").agg(
         F.min_by(
-            F.struct("transaction_index", "block_hash", "block_number", "contract_address"), "rank"
+            F.struct("transaction_index", "block_hash", "block_number", "contract_address", "rank.log_index"), "rank"
         ).alias("first"),
         F.transform(
             F.array_sort(F.collect_list(F.when(F.col("log").isNotNull(), F.struct("rank", "log")))), lambda x: x["log"]
@@ -146,12 +158,18 @@ def receipts_from_logs(logs: DataFrame) -> DataFrame:
         hex_quantity(F.col("first.transaction_index")).alias("transactionIndex"),
         F.col("first.block_hash").alias("blockHash"),
         hex_quantity(F.col("first.block_number")).alias("blockNumber"),
-        F.when(F.col("page") == 0, F.col("first.contract_address")).alias("to"),
+        F.when(F.coalesce("first.log_index", F.lit(0)) == 0, F.col("first.contract_address")).alias("to"),
         "logs",
         *_constants(RECEIPT_CONSTANTS),
     )
 
 
-def get_receipt(logs: DataFrame, tx_hash: str) -> DataFrame:
-    """The receipt of one transaction; no row when it has no logs."""
-    return receipts_from_logs(logs.where(F.col("tx_hash") == tx_hash.lower()))
+def get_receipt(logs: DataFrame, tx_hash: str, buckets: Sequence[int] | None = None) -> DataFrame:
+    """The receipt of one transaction; no row when it has no logs.
+
+    ``buckets`` are the block buckets that may hold it, as the hash index of stored tables tells.
+    """
+    wanted = logs.where(F.col("tx_hash") == tx_hash.lower())
+    if buckets is not None:
+        wanted = wanted.where(F.col(BLOCK_BUCKET).isin(*buckets) if buckets else F.lit(False))
+    return receipts_from_logs(wanted)

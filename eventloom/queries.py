@@ -7,13 +7,16 @@ decodes hex, so encoding and decoding are checked independently.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from hashlib import sha256
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom import fixtures as fx
-from eventloom.config import BUCKET_BLOCKS, AbiInput, AbiItem, ContractMapping, JobConfig
+from eventloom.config import (
+    BUCKET_BLOCKS, AbiInput, AbiItem, ContractMapping, DocumentSpec, JobConfig, ParquetSpec,
+)
 from eventloom.functions.bloom import bloom_has, event_gate, mapping_gate
 from eventloom.functions.keccak import checksum_address
 from eventloom.functions.text import epoch_seconds, hex_quantity, rfc3339
@@ -34,12 +37,11 @@ from eventloom.plans.logs import (
     matching_logs,
     valid_logs,
 )
-from eventloom.plans.sync import bounded
+from eventloom.plans.sync import bounded, sync
 from eventloom.session import scratch_path
 from eventloom.sinks import tables
-from eventloom.sinks.tables import CsvSink, ParquetSink
+from eventloom.sinks.tables import CsvSink, DocumentSink, ParquetSink
 from eventloom.sources import chain
-from eventloom.sources.csv import read_event_csv
 
 AA, BB, CC = fx.AA, fx.BB, fx.CC
 TRANSFER, APPROVAL, SETTLED = fx.TRANSFER, fx.APPROVAL, fx.SETTLED
@@ -149,6 +151,10 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.logs(spark, sf_dir).select("indexed_id", *LOG_COLUMNS)
 
 
+def _zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.event_sink(spark, sf_dir).zones(spark, ["transfer", "approval"])
+
+
 def _settled(*columns: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = decode(
@@ -222,10 +228,10 @@ def contiguous_prefix(spark, sf_dir):
 )
 def csv_roundtrip(spark, sf_dir):
     sink = CsvSink(scratch_path(spark, "csv"))
-    rows = _transfers(spark, sf_dir).drop("block_log_index")
+    rows = _transfers(spark, sf_dir).drop("tx_log_index", "block_log_index")
     # A column the declared schema lacks comes back as text.
     sink.write("transfer", rows.withColumn("note", F.col("transaction_index")))
-    return read_event_csv(spark, sink.path("transfer"), TRANSFER.schema()).drop("indexed_id")
+    return sink.read(spark, "transfer", TRANSFER.schema()).drop("indexed_id")
 
 
 # ---------------------------------------------------------------- sinks
@@ -241,7 +247,7 @@ def parquet_roundtrip(spark, sf_dir):
     sink = ParquetSink(scratch_path(spark, "parquet"))
     sink.prepare(spark, {"transfer": TRANSFER.schema()})
     sink.write("transfer", _transfers(spark, sf_dir))
-    return sink.read(spark, "transfer", TRANSFER.schema()).drop("indexed_id", "block_log_index")
+    return sink.read(spark, "transfer", TRANSFER.schema()).drop("indexed_id", "tx_log_index", "block_log_index")
 
 
 @query(
@@ -253,6 +259,15 @@ def block_boundaries(spark, sf_dir):
     return tables.block_boundaries(_transfers(spark, sf_dir))
 
 
+@query(
+    "stored_zones",
+    f"""WITH {LOGS} SELECT event AS "table", block_number // {BUCKET_BLOCKS} AS block_bucket,
+    min(block_number) AS min_block, max(block_number) AS max_block, count(*) AS rows FROM d GROUP BY ALL""",
+)
+def stored_zones(spark, sf_dir):
+    return _zones(spark, sf_dir)
+
+
 @query(
     "export_documents",
     f"""WITH {TRANSFERS} SELECT address AS contract_address, log_index, transaction_index, topic0, topic1,
@@ -339,8 +354,6 @@ def filter_address(spark, sf_dir):
 )
 def txs_left_with_logs(spark, sf_dir):
     kept = txs_with_logs(fx.receipts(spark, sf_dir), PAIR)
-    if "first_log" not in kept.columns:
-        return kept.select("tx_hash", "transaction_index", F.size("logs").cast("bigint").alias("logs"))
     return kept.groupBy("tx_hash", "transaction_index").agg(F.sum(F.size("logs")).alias("logs"))
 
 
@@ -606,6 +619,42 @@ def sync_transfers(spark, sf_dir):
     )
 
 
+@query(
+    "sync_delivery",
+    f"""WITH {TRANSFERS},
+    b AS (SELECT DISTINCT block_number FROM t WHERE block_number >= 0),
+    e AS (SELECT min(block_number) AS last FROM b WHERE block_number + 1 NOT IN (SELECT block_number FROM b)),
+    r AS (SELECT tx_hash, log_index, block_number, address AS contract_address, amount AS value FROM d, e
+      WHERE block_number BETWEEN 0 AND last AND EXISTS (SELECT 1 FROM b WHERE block_number = 0))
+    SELECT sink, r.* FROM r, (VALUES ('csv'), ('documents'), ('parquet')) s(sink)""",
+)
+def sync_delivery(spark, sf_dir):
+    """The whole job through its sinks: a first run over few blocks, then one that replaces it, read back."""
+    folder = scratch_path(spark, "delivery")
+    config = JobConfig(
+        mappings=(PAIR,),
+        from_block=0,
+        native_transfers=True,
+        csv=f"{folder}/csv",
+        parquet=ParquetSpec(f"{folder}/tables", False),
+        documents=DocumentSpec(f"{folder}/documents", "events", ""),
+    )
+    chain_tables = fx.headers(spark, sf_dir), fx.receipts(spark, sf_dir)
+    sync(spark, replace(config, to_block=20), *chain_tables)
+    sync(spark, config, *chain_tables)
+    schema = config.table_schemas()["transfer"]
+    columns = ["tx_hash", "log_index", "block_number", "contract_address", "value"]
+    fields = "tx_hash string, log_index bigint, block_number bigint, contract_address string, value string"
+    stored = DocumentSink(config.documents.directory, config.documents.prefix).read(spark, "transfer")
+    delivered = {
+        "parquet": ParquetSink(config.parquet.directory).read(spark, "transfer", schema),
+        "csv": CsvSink(config.csv).read(spark, "transfer", schema),
+        "documents": stored.select(F.from_json("document", fields).alias("d")).select("d.*"),
+    }
+    frames = [rows.select(F.lit(sink).alias("sink"), *columns) for sink, rows in delivered.items()]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
 @query(
     "decode_event",
     f"""WITH {decoded("event = 'approval'")} SELECT address AS contract_address, log_index, transaction_index,
@@ -619,7 +668,7 @@ def sync_transfers(spark, sf_dir):
 def decode_event(spark, sf_dir):
     mapping = ContractMapping((APPROVAL,))
     events = decode(fx.receipts(spark, sf_dir), _headers(spark, sf_dir), [(0, mapping, APPROVAL)])
-    return events["approval"].drop("indexed_id")
+    return events["approval"].drop("indexed_id", "tx_log_index")
 
 
 @query(
@@ -840,9 +889,7 @@ def rpc_logs(spark, sf_dir):
 def enrich_blocks(spark, sf_dir):
     joined = chain.enrich_blocks(fx.receipts(spark, sf_dir), _headers(spark, sf_dir))
     keys = ["block_number", "transaction_index", "tx_hash", "block_hash", "timestamp"]
-    if "first_log" in joined.columns:
-        return joined.groupBy(*keys).agg(F.sum(F.size("logs")).alias("logs"))
-    return joined.select(*keys, F.size("logs").cast("bigint").alias("logs"))
+    return joined.groupBy(*keys).agg(F.sum(F.size("logs")).alias("logs"))
 
 
 @query(
@@ -937,7 +984,7 @@ def blocks_from_logs(spark, sf_dir):
     WHERE block_number = (SELECT max(block_number) FROM d) GROUP BY block_number""",
 )
 def block_by_number(spark, sf_dir):
-    return _flat_block(summaries.get_block(_logs(spark, sf_dir), "latest"))
+    return _flat_block(summaries.get_block(fx.logs(spark, sf_dir), "latest", _zones(spark, sf_dir)))
 
 
 def _log_json_sql() -> str:
@@ -962,7 +1009,7 @@ RECEIPT_FIELDS = f"""tx_hash AS "transactionHash", 0::BIGINT AS page,
     f"WITH {LOGS} SELECT {RECEIPT_FIELDS} FROM d GROUP BY tx_hash",
 )
 def receipts_from_logs(spark, sf_dir):
-    rebuilt = summaries.receipts_from_logs(_logs(spark, sf_dir))
+    rebuilt = summaries.receipts_from_logs(fx.logs(spark, sf_dir))
     return rebuilt.withColumn("logs", F.to_json("logs"))
 
 
@@ -971,12 +1018,13 @@ def receipts_from_logs(spark, sf_dir):
     f"WITH {LOGS} SELECT {RECEIPT_FIELDS} FROM d WHERE tx_hash = '0x' || sha256('tx:1') GROUP BY tx_hash",
 )
 def receipt_by_hash(spark, sf_dir):
-    return summaries.get_receipt(_logs(spark, sf_dir), TX_1).withColumn("logs", F.to_json("logs"))
+    buckets = fx.event_sink(spark, sf_dir).buckets_of(spark, TX_1)
+    return summaries.get_receipt(fx.logs(spark, sf_dir), TX_1, buckets).withColumn("logs", F.to_json("logs"))
 
 
 @query("latest_block", f"WITH {LOGS} SELECT max(block_number) AS latest_block FROM d")
 def latest_block(spark, sf_dir):
-    return summaries.latest_block(_logs(spark, sf_dir))
+    return summaries.latest_block(_zones(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- ordinals

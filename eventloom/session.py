@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -23,16 +24,46 @@ def build_session(app: str = "eventloom", **overrides: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_to_release: set[str] = set()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder of any file system Spark reads; a missing one is fine."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Deletes every scratch table of this application; frames that read one end with it."""
+    delete_path(spark, _scratch_folder(spark))
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    try:
+        release_scratch(spark)
+    except Exception:  # the JVM may be gone before Python ends
+        pass
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that every executor shares.
 
     The cluster names that folder in ``spark.checkpoint.dir``. A local session
-    without one gets a temporary folder; a cluster without one is an error.
+    without one gets a temporary folder; a cluster without one is an error. What is
+    written there belongs to the application and goes with its end, if not before.
     """
+    folder = _scratch_folder(spark)
+    if folder not in _to_release:
+        _to_release.add(folder)
+        atexit.register(_release_at_exit, spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="eventloom-"))
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/eventloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/eventloom-{spark.sparkContext.applicationId}"

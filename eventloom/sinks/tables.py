@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventloom.config import (
-    BLOCK_BUCKET, BLOCK_LOG_INDEX, BUCKET_BLOCKS, NATIVE_COLUMNS, NATIVE_TABLE, ConfigError, JobConfig,
+    BLOCK_BUCKET, BLOCK_LOG_INDEX, BUCKET_BLOCKS, NATIVE_COLUMNS, NATIVE_TABLE, TX_LOG_INDEX, ConfigError, JobConfig,
 )
 from eventloom.plans.documents import to_documents
+from eventloom.sinks.runs import RUN, Run, RunFolders, entries, exists, live_runs
+from eventloom.sources.csv import read_event_csv
 
 log = logging.getLogger(__name__)
 
 # Columns whose values are spread over all blocks: files sorted by block cannot be
 # skipped by their value range, so row groups carry a bloom filter for them.
 SCATTERED_COLUMNS = ("tx_hash", "topic1", "topic2")
-RANGE = "run_range"
 
 
 def native_schema() -> T.StructType:
@@ -46,46 +48,107 @@ def by_block(df: DataFrame) -> DataFrame:
 
 
 @dataclass
-class ParquetSink:
-    """A folder of Parquet files per table, partitioned by block bucket and by the range of the run.
+class ParquetSink(RunFolders):
+    """A folder of Parquet files per table, partitioned by run and block bucket.
 
-    With ``block_range`` set, a run replaces what an earlier run over the same range
-    wrote; without, rows are added.
+    The manifest keeps the lowest and highest block of every partition, and an index beside the
+    tables says which buckets hold a transaction hash.
     """
 
     directory: str
     drop: bool = False
     name: str = "parquet"
-    block_range: str | None = None
 
-    def path(self, table: str) -> str:
-        return f"{self.directory.rstrip('/')}/{table}"
-
-    def prepare(self, spark: SparkSession, tables: Mapping[str, T.StructType]) -> None:
-        """Empties configured tables if asked to, and creates those that are missing."""
-        for table, schema in tables.items():
-            empty = spark.createDataFrame([], schema)
-            empty.write.mode("overwrite" if self.drop else "ignore").parquet(self.path(table))
-
-    def write(self, table: str, df: DataFrame) -> None:
-        run = F.lit(self.block_range or "all").alias(RANGE)
-        writer = by_block(df).select("*", run).write.partitionBy(BLOCK_BUCKET, RANGE)
-        if self.block_range:
-            writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        else:
-            writer = writer.mode("append")
+    def store(self, table: str, df: DataFrame, path: str) -> None:
+        writer = by_block(df).write.mode("append").partitionBy(BLOCK_BUCKET)
         for c in SCATTERED_COLUMNS:
             if c in df.columns:
                 writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(self.path(table))
+        writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
+
+    def zones_of(self, spark: SparkSession, table: str, run: Run) -> list[tuple]:
+        path = self.run_path(table, run.run)
+        if not exists(spark, path):
+            return []
+        return [tuple(r) for r in block_boundaries(_run_rows(spark, path, "block_number bigint"), rows=True).collect()]
+
+    def finish(self, spark: SparkSession, run: Run, tables: Sequence[str]) -> None:
+        paths = [self.run_path(t, run.run) for t in tables if t != NATIVE_TABLE]
+        frames = [_run_rows(spark, p, "tx_hash string") for p in paths if exists(spark, p)]
+        if frames:
+            hashes = reduce(DataFrame.unionByName, frames).where("tx_hash IS NOT NULL")
+            _indexed(hashes).write.mode("append").partitionBy(INDEX_FOLDER).parquet(self.run_path(HASH_INDEX, run.run))
 
     def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
         """The stored table; the position in the block is null where the chain tables lack it."""
         stored = T.StructType(schema.fields + [T.StructField(BLOCK_BUCKET, T.LongType())])
-        stored = stored.add(RANGE, T.StringType())
         if table != NATIVE_TABLE:
-            stored = stored.add(BLOCK_LOG_INDEX, T.LongType())
-        return spark.read.schema(stored).parquet(self.path(table)).drop(RANGE)
+            stored = stored.add(TX_LOG_INDEX, T.LongType()).add(BLOCK_LOG_INDEX, T.LongType())
+        return _live_rows(
+            self.live(spark, table),
+            lambda runs: self._read_runs(spark, table, runs, stored),
+            spark.createDataFrame([], stored),
+        )
+
+    def _read_runs(self, spark: SparkSession, table: str, runs: Sequence[str], schema: T.StructType | str) -> DataFrame:
+        reader = spark.read.schema(schema).option("basePath", self.path(table))
+        return reader.parquet(*[self.run_path(table, r) for r in runs]).drop(RUN)
+
+    def zones(self, spark: SparkSession, tables: Sequence[str]) -> DataFrame:
+        """table, block_bucket, min_block, max_block and rows of what the tables hold now.
+
+        Comes from the manifest alone. Only for a run that a later one replaces in part are its
+        partitions counted again, over the blocks that are left.
+        """
+        listed = entries(spark, self.directory).where("kind = 'zone'")
+        live = [(t, r) for t in tables for r in self.live(spark, t)]
+        whole = [(t, r.run) for t, r in live if r.predicate() is None]
+        kept = spark.createDataFrame(whole, "table string, run string")
+        parts = [listed.join(F.broadcast(kept), ["table", "run"], "left_semi").select(*ZONE)]
+        for table, run in live:
+            if run.predicate() is not None:
+                left = _run_rows(spark, self.run_path(table, run.run), "block_number bigint").where(run.predicate())
+                parts.append(block_boundaries(left, rows=True).select(F.lit(table).alias("table"), *ZONE[1:]))
+        return reduce(DataFrame.unionByName, parts)
+
+    def buckets_of(self, spark: SparkSession, tx_hash: str) -> list[int]:
+        """The block buckets that may hold a transaction, from the index alone."""
+        digits = tx_hash.lower().removeprefix("0x")
+        runs = {r.run for t, runs in live_runs(spark, self.directory).items() if t != NATIVE_TABLE for r in runs}
+        indexed = [r for r in sorted(runs) if exists(spark, self.run_path(HASH_INDEX, r))]
+        if not indexed:
+            return []
+        index = self._read_runs(spark, HASH_INDEX, indexed, INDEX)
+        start = digits[:INDEX_DIGITS]
+        found = index.where((F.col(INDEX_FOLDER) == start[:2]) & (F.col("prefix") == start))
+        return sorted(r[0] for r in found.select(BLOCK_BUCKET).distinct().collect())
+
+
+ZONE = ["table", BLOCK_BUCKET, "min_block", "max_block", "rows"]
+# The hash index: the first digits of a transaction hash and the buckets with such a transaction.
+HASH_INDEX = "tx-hash-index"
+INDEX_FOLDER = "start"
+INDEX_DIGITS = 8
+INDEX = f"prefix string, {BLOCK_BUCKET} bigint, {INDEX_FOLDER} string"
+
+
+def _indexed(hashes: DataFrame) -> DataFrame:
+    prefix = F.lower(F.substring("tx_hash", 3, INDEX_DIGITS))
+    rows = hashes.select(prefix.alias("prefix"), BLOCK_BUCKET, F.substring(prefix, 1, 2).alias(INDEX_FOLDER)).distinct()
+    return rows.hint("rebalance", INDEX_FOLDER).sortWithinPartitions(INDEX_FOLDER, "prefix")
+
+
+def _run_rows(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """One column of a run's table, and the bucket its folder tells."""
+    return spark.read.schema(f"{column}, {BLOCK_BUCKET} bigint").parquet(path)
+
+
+def _live_rows(runs: Sequence[Run], read: Callable[[list[str]], DataFrame], empty: DataFrame) -> DataFrame:
+    """The rows of runs that count: one read of all whole ones, one of each that was replaced in part."""
+    whole = [r.run for r in runs if r.predicate() is None]
+    frames = [read(whole)] if whole else []
+    frames += [read([r.run]).where(r.predicate()) for r in runs if r.predicate() is not None]
+    return reduce(DataFrame.unionByName, frames) if frames else empty
 
 
 def event_tables_at(spark: SparkSession, config: JobConfig, directory: str) -> dict[str, DataFrame]:
@@ -95,29 +158,27 @@ def event_tables_at(spark: SparkSession, config: JobConfig, directory: str) -> d
 
 
 @dataclass
-class CsvSink:
-    """A folder of CSV files with header per table."""
+class CsvSink(RunFolders):
+    """A folder of CSV files with header per table, one folder a run."""
 
     directory: str
     drop: bool = False
     name: str = "csv"
 
-    def path(self, table: str) -> str:
-        return f"{self.directory.rstrip('/')}/{table}"
-
-    def prepare(self, spark: SparkSession, tables: Mapping[str, T.StructType]) -> None:
-        for table, schema in tables.items():
-            empty = spark.createDataFrame([], schema)
-            mode = "overwrite" if self.drop else "ignore"
-            empty.write.mode(mode).option("header", True).csv(self.path(table))
+    def store(self, table: str, df: DataFrame, path: str) -> None:
+        df.write.mode("append").option("header", True).csv(path)
 
-    def write(self, table: str, df: DataFrame) -> None:
-        df.write.mode("append").option("header", True).csv(self.path(table))
+    def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
+        return _live_rows(
+            [r for r in self.live(spark, table) if exists(spark, self.run_path(table, r.run))],
+            lambda runs: read_event_csv(spark, [self.run_path(table, r) for r in runs], schema),
+            spark.createDataFrame([], schema),
+        )
 
 
 @dataclass
-class DocumentSink:
-    """A folder of newline-delimited JSON per table, ready for a search index to ingest."""
+class DocumentSink(RunFolders):
+    """A folder of newline-delimited JSON per table, one folder a run, ready for a search index to ingest."""
 
     directory: str
     prefix: str
@@ -128,13 +189,20 @@ class DocumentSink:
     def path(self, table: str) -> str:
         return f"{self.directory.rstrip('/')}/{self.prefix}-{table}"
 
-    def prepare(self, spark: SparkSession, tables: Mapping[str, T.StructType]) -> None:
-        for table in tables:
-            empty = spark.createDataFrame([], "document string")
-            empty.write.mode("overwrite" if self.drop else "ignore").text(self.path(table))
+    def store(self, table: str, df: DataFrame, path: str) -> None:
+        to_documents(df, self.integers(table)).write.mode("append").text(path)
 
-    def write(self, table: str, df: DataFrame) -> None:
-        to_documents(df, self.integers(table)).write.mode("append").text(self.path(table))
+    def read(self, spark: SparkSession, table: str) -> DataFrame:
+        """The documents that count, one JSON text a row."""
+        number = F.get_json_object("document", "$.block_number").cast("bigint").alias("block_number")
+        runs = [r for r in self.live(spark, table) if exists(spark, self.run_path(table, r.run))]
+        return _live_rows(
+            runs,
+            lambda names: spark.read.text([self.run_path(table, r) for r in names])
+            .select(F.col("value").alias("document"))
+            .select("document", number),
+            spark.createDataFrame([], "document string, block_number bigint"),
+        ).select("document")
 
 
 Sink = ParquetSink | CsvSink | DocumentSink
@@ -177,9 +245,10 @@ def open_sinks(
     return sinks
 
 
-def block_boundaries(tables: DataFrame) -> DataFrame:
-    """Lowest and highest block of every bucket of a table."""
+def block_boundaries(tables: DataFrame, rows: bool = False) -> DataFrame:
+    """Lowest and highest block of every bucket of a table, and its rows if asked for."""
     bucket = F.floor(F.col("block_number") / BUCKET_BLOCKS).alias("block_bucket")
+    counted = [F.count("*").alias("rows")] if rows else []
     return tables.groupBy(bucket).agg(
-        F.min("block_number").alias("min_block"), F.max("block_number").alias("max_block")
+        F.min("block_number").alias("min_block"), F.max("block_number").alias("max_block"), *counted
     )

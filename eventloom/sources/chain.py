@@ -7,31 +7,55 @@ receipts: block_number BIGINT, transaction_index BIGINT, tx_hash STRING, from ST
 Receipts may also carry ``block_log_start`` (position in its block of the first
 log of the transaction). A transaction with very many logs may be spread over
 several rows, each with ``first_log`` (position in its transaction of the first
-log of the row) and ``whole`` (false for such rows).
+log of the row) and ``whole`` (false for such rows). Stored receipts are partitioned by
+``block_bucket``, stretches of blocks whose length the column's metadata tells.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventloom.config import BLOCK_BUCKET
 from eventloom.operators.running import running_totals
 
 TX_ID_SPAN = 1 << 16
+# Blocks of a partition of stored receipts.
+CHAIN_BUCKET_BLOCKS = 10_000
+# Blocks of one built-in bitmap.
+STRETCH_BLOCKS = 1 << 15
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def write_receipts(receipts: DataFrame, path: str, blocks: int = CHAIN_BUCKET_BLOCKS) -> None:
+    """Stores receipts sorted by block and partitioned by stretches of blocks, so that block lookups prune folders."""
+    order = [c for c in ("block_number", "transaction_index", "first_log") if c in receipts.columns]
+    placed = receipts.repartitionByRange(*order).sortWithinPartitions(*order)
+    bucket = F.floor(F.col("block_number") / blocks).alias(BLOCK_BUCKET)
+    placed.select("*", bucket).write.partitionBy(BLOCK_BUCKET).parquet(path)
+
+
+def read_receipts(spark: SparkSession, path: str, blocks: int = CHAIN_BUCKET_BLOCKS) -> DataFrame:
+    """Receipts from a folder; ``blocks`` is the length of its partitions, where it has some."""
+    stored = spark.read.parquet(path)
+    return stored.withMetadata(BLOCK_BUCKET, {"blocks": blocks}) if BLOCK_BUCKET in stored.columns else stored
+
+
+def bucket_blocks(receipts: DataFrame) -> int:
+    return receipts.schema[BLOCK_BUCKET].metadata.get("blocks", CHAIN_BUCKET_BLOCKS)
 
 
 def in_block_range(df: DataFrame, first: int, last: int | None = None) -> DataFrame:
-    """Rows of the inclusive block range; plain comparisons, so they reach the scan."""
+    """Rows of the inclusive block range; plain comparisons, so they reach the scan and its partitions."""
     number = F.col("block_number")
-    return df.where(number >= first if last is None else number.between(first, last))
+    rows = df.where(number >= first if last is None else number.between(first, last))
+    if "blocks" not in (df.schema[BLOCK_BUCKET].metadata if BLOCK_BUCKET in df.columns else {}):
+        return rows
+    bucket, width = F.col(BLOCK_BUCKET), bucket_blocks(df)
+    return rows.where(bucket >= first // width if last is None else bucket.between(first // width, last // width))
 
 
 def best_block(headers: DataFrame) -> DataFrame:
@@ -41,14 +65,35 @@ def best_block(headers: DataFrame) -> DataFrame:
 def last_contiguous_block(headers: DataFrame, first: int) -> DataFrame:
     """The last block before the first gap at or after ``first``.
 
-    A block without a successor ends a run; the lowest such block is the answer.
-    ``first - 1`` joins in as a known block, so a missing first block gives it back.
+    ``first - 1`` if that is missing. The blocks present become one bitmap per 32,768 of them, so the
+    only shuffle carries a bit a block, combined before it, and the search for the gap looks at one
+    short row per stretch.
     """
-    present = headers.where(F.col("block_number") >= first).select("block_number")
-    known = present.union(headers.sparkSession.range(first - 1, first).toDF("block_number"))
-    predecessors = present.select((F.col("block_number") - 1).alias("block_number"))
-    ends = known.join(predecessors, "block_number", "left_anti")
-    return ends.agg(F.min("block_number").alias("last_block"))
+    place = F.col("block_number") - F.lit(first - 1)
+    stretches = (
+        headers.where(F.col("block_number") >= first)
+        .select(F.bitmap_bucket_number(place).alias("stretch"), F.bitmap_bit_position(place).alias("bit"))
+        .groupBy("stretch")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        .select("stretch", (F.bitmap_count("bits") == STRETCH_BLOCKS).alias("full"), _leading_ones("bits").alias("ones"))
+    )
+    follower = F.lead("stretch").over(Window.orderBy("stretch"))
+    start = F.lit(first - 1) + (F.col("stretch") - 1) * STRETCH_BLOCKS
+    end = F.when(~F.col("full"), start + F.col("ones")).when(
+        F.coalesce(follower != F.col("stretch") + 1, F.lit(True)), start + STRETCH_BLOCKS
+    )
+    ends = stretches.select("stretch", end.alias("end"))
+    begun = F.coalesce(F.min("stretch"), F.lit(0)) == 1
+    return ends.agg(F.when(begun, F.min("end")).otherwise(first - 1).alias("last_block"))
+
+
+def _leading_ones(bits: str) -> Column:
+    """How many bits of a bitmap are set before the first unset one, from its lowest on."""
+    digits = F.hex(bits)
+    whole = F.floor((F.length(digits) - F.length(F.ltrim(digits, F.lit("F")))) / 2)
+    byte = F.conv(F.substring(digits, whole.cast("int") * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    low = F.bit_count(byte.bitwiseAND(F.bitwise_not(byte + 1)))
+    return whole * 8 + F.coalesce(low, F.lit(0))
 
 
 def contiguous_prefix(headers: DataFrame, first: int) -> DataFrame:

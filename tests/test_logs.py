@@ -102,21 +102,39 @@ def filter_rows(filters):
     ]
 
 
-@pytest.mark.parametrize("broadcast_terms", [0, 100_000])
-@pytest.mark.parametrize("k", [20, None])
-def test_filter_table(spark, logs, data, monkeypatch, broadcast_terms, k):
-    monkeypatch.setattr(lf, "BROADCAST_TERMS", broadcast_terms)
+@pytest.mark.parametrize("broadcast_rows", [0, 100_000])
+@pytest.mark.parametrize("k, cells, crowd", [(20, 1024, 4), (20, 3, 0), (3, 2, 1), (None, 4, 4)])
+def test_filter_table(spark, logs, data, monkeypatch, broadcast_rows, k, cells, crowd):
+    """Both joins, with all logs in one cell, and cut into coarse and fine cells."""
+    monkeypatch.setattr(lf, "CELLS", cells)
+    monkeypatch.setattr(lf, "CROWD", crowd)
     wanted = [f for f in map(LogFilter.parse, FILTERS) if "latest" not in (f.from_block, f.to_block)]
     wanted += [LogFilter(from_block=n, to_block=n + 20) for n in range(-5, 45, 10)]
     wanted += [LogFilter(addresses=(AA, AA, BB)), LogFilter(from_block=9, to_block=3)]
     table = spark.createDataFrame(filter_rows(wanted), FILTER_SCHEMA)
     found = {}
-    for r in get_logs_by_table(logs, table, k).collect():
+    for r in get_logs_by_table(logs, table, k, broadcast_rows).collect():
         found.setdefault(r.filter_id, []).append(r.indexed_id)
     for n, f in enumerate(wanted):
         assert sorted(found.get(n, [])) == sorted(hits(data, f, k)), f
 
 
+def test_many_filters_on_one_topic_make_few_matches(spark):
+    """Filters that share a frequent topic look only as far as their first hits lie."""
+    logs = spark.range(60_000).selectExpr(
+        "'e' AS event", "CAST(id AS STRING) AS indexed_id", f"'{AA}' AS contract_address", "id % 7 AS log_index",
+        "id % 3 AS transaction_index", f"'{TOPICS[0]}' AS topic0", "CAST(NULL AS STRING) AS topic1",
+        "CAST(NULL AS STRING) AS topic2", "CAST(NULL AS STRING) AS topic3", "'0x' AS data", "'0x' AS tx_hash",
+        "id DIV 10 AS block_number", "'0x' AS block_hash", "id AS timestamp",
+    )
+    wanted = [LogFilter(from_block=3 * n, topics=((TOPICS[0],),)) for n in range(1000)]
+    table = spark.createDataFrame(filter_rows(wanted), FILTER_SCHEMA)
+    matches = lf.match_filter_table(logs, table, 50)
+    assert matches.count() <= 1000 * 50 * 4
+    found = get_logs_by_table(logs, table, 50).groupBy("filter_id").agg(F.count("*"), F.min("block_number"), F.max("block_number"))
+    assert sorted(map(tuple, found.collect())) == [(n, 50, 3 * n, 3 * n + 4) for n in range(1000)]
+
+
 def test_empty_filter_table(spark, logs):
     table = spark.createDataFrame([], FILTER_SCHEMA)
     assert get_logs_by_table(logs, table).count() == 0

@@ -72,6 +72,15 @@ def test_large_receipts_continue_on_further_pages(logs, monkeypatch):
     assert pages[0].blockNumber == pages[1].blockNumber == "0x1"
 
 
+def test_a_hundred_events_share_pages_of_bounded_size(spark):
+    """The position in the transaction makes the page, however many events its logs belong to."""
+    lines = [
+        (*log(1, 0, n // 100, event=f"event{n % 100:02d}"), n) for n in range(2500)
+    ]
+    found = summaries.receipts_from_logs(spark.createDataFrame(lines, LOGS + ", tx_log_index bigint")).collect()
+    assert sorted((r.page, len(r.logs)) for r in found) == [(0, 1000), (1, 1000), (2, 500)]
+
+
 def test_counts(logs):
     assert rows(summaries.event_counts(logs)) == [("approval", 1), ("transfer", 17)]
 

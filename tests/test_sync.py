@@ -59,7 +59,7 @@ def stored(spark, config, table):
 
 def documents(tmp_path, table):
     lines = []
-    for f in sorted((tmp_path / "docs" / f"events-{table}").glob("part-*")):
+    for f in sorted((tmp_path / "docs" / f"events-{table}").rglob("part-*")):
         lines += [json.loads(line) for line in f.read_text().splitlines()]
     return lines
 

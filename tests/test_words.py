@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from chains import word
 from eventloom.config import INTEGER_TYPES
-from eventloom.functions.words import data_word, topic_word, word_text, word_value
+from __spark_entry__ import SMALL
+from eventloom.functions.words import data_word, topic_word, wide_steps, wide_text, word_text, word_value
+from eventloom.queries import QUERIES
 
 
 def decoded(spark, abi_type, words, build=word_text):
@@ -67,3 +69,22 @@ def test_words_are_cut_in_order(spark):
     df = spark.createDataFrame([("0x" + word(1) + word(0xAB).upper(),)], "d string")
     assert df.select(F.expr(data_word("d", 1))).first()[0] == word(0xAB)
     assert df.select(F.expr(topic_word("d"))).first()[0] == word(1)
+
+
+@pytest.mark.parametrize("abi_type", ["uint128", "int128", "uint256", "int256"])
+def test_wide_integers_in_steps_of_columns(spark, abi_type):
+    signed, bits = INTEGER_TYPES[abi_type]
+    numbers = edge_numbers(signed, bits)
+    df = spark.createDataFrame([(word(n), word(-1 - n)) for n in numbers], "_a string, `_b c` string")
+    kinds = {"a": (signed, bits), "b c": (False, 256)}
+    for step in wide_steps(kinds):
+        df = df.withColumns({name: F.expr(text) for name, text in step.items()})
+    found = df.select(*[F.expr(wide_text(name, *kind)) for name, kind in kinds.items()]).collect()
+    assert [r[0] for r in found] == [str(n) for n in numbers]
+    assert [r[1] for r in found] == [str((-1 - n) % 2**256) for n in numbers]
+
+
+def test_wide_integers_of_a_table_are_generated_code(spark):
+    """No function over arrays, which Spark would interpret for every value, stands in the plan."""
+    plan = QUERIES["decode_wide"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "zip_with" not in plan
