@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from eventloom.llm import (
     collocations, conversation_trie, decontaminate, fertility, langid, merge_dropout, nearest, page_text, repeats, simhash, token_counts, token_files, url_rules,
 )
-from eventloom.llm.common import read_table
+from eventloom.llm.common import read_table, written
 from eventloom.session import scratch_path
 
 
@@ -35,7 +35,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents")
     lengths = token_counts.with_lengths(docs, ranks, public_tokenizers.PATTERN)
-    return token_counts.context_table(token_counts.length_histogram(lengths))
+    # Small, and read twice: written down, so that texts are encoded once.
+    return token_counts.context_table(written(token_counts.length_histogram(lengths), "lengths"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
