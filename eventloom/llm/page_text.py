@@ -42,6 +42,11 @@ PARTS = set(
     "subscribe signup social share sharing related recommended comment comments respond disqus widget pagination pager "
     "toolbar login search banner copyright".split()
 )
+# Of these, words that name the layout of a whole page as often as a part of it.
+LAYOUT = set(
+    "sidebar aside nav navbar navigation menu social share sharing search masthead banner notice alert login toolbar widget "
+    "cookie cookies consent header".split()
+)
 ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 WRAPPERS = {"html", "body", "article", "main"}
 
@@ -52,26 +57,38 @@ ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 NAME_PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 
 
-def is_part(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds a part of the page other than its article."""
+#: How sure an element is a part: not at all; by a word that may name the layout, or as a form; beyond doubt.
+NO_PART, MAYBE, SURELY = 0, 1, 2
+
+
+def is_part(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element holds a part of the page other than its article.
+
+    ``MAYBE`` holds until an article or main element begins inside, as in a form or a column layout
+    around the whole page.
+    """
     if tag in OUTSIDE or (tag == "header" and not in_article):
-        return True
+        return MAYBE if tag == "form" else SURELY
     if not attributes or attributes.isspace():
-        return False
+        return NO_PART
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true":
-        return True
+        return SURELY
     if re.search(r"display\s*:\s*none", found.get("style", "")) or found.get("role", "").lower() in ROLES:
-        return True
+        return SURELY
     if tag in WRAPPERS - {"article"}:
-        return False
+        return NO_PART
+    sure = NO_PART
     for name in f"{found.get('class', '')} {found.get('id', '')}".split():
-        words = [w.lower() for w in NAME_PARTS.findall(name)]
-        if PARTS & set(words) and not {"has", "with", "no", "without"} & set(words):
-            return True
-        if "header" in words and not in_article:
-            return True
-    return False
+        words = {w.lower() for w in NAME_PARTS.findall(name)}
+        if {"has", "with", "no", "without"} & words:
+            continue
+        if (PARTS - LAYOUT) & words:
+            return SURELY
+        # An article is not called after the layout, but after what it is about.
+        if tag != "article" and (PARTS & words or "header" in words and not in_article):
+            sure = MAYBE
+    return sure
 
 
 def lines_of(page: str | None) -> list[tuple[str, bool]]:
@@ -83,9 +100,9 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
     source = page or ""
     lines: list[tuple[str, bool]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, int]] = []
     at = 0
-    article = part = False
+    article, part = False, NO_PART
 
     def close() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -122,7 +139,9 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
                     _, article, part = stack[opened]
                     del stack[opened:]
             stack.append((tag, article, part))
-            part = part or is_part(tag, found[3], article)
+            if tag in ("article", "main") and part == MAYBE:
+                part = NO_PART
+            part = max(part, is_part(tag, found[3], article))
             article = article or tag in ("article", "main")
     close()
     return lines

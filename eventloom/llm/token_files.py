@@ -20,6 +20,7 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,7 +138,10 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 # White space to Python's split() but not to the tokenizer.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Chunks, and words, that are remembered; when there are more, those not used since the last time go.
-MOST_CACHED = 250_000
+MOST_CACHED = 400_000
+# The letters of the byte level: printable bytes stand for themselves, the others for code points from 256 on.
+PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 #: From here on characters are left to the library, which knows another version of Unicode than Python.
 FOREIGN = 0x2000
 
@@ -154,11 +158,10 @@ class WordEncoder(dict):
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.words_before: dict[str, bytes] = {}
@@ -182,15 +185,17 @@ class WordEncoder(dict):
         return found
 
     def encoded(self, chunk: str) -> bytes:
-        lower = chunk.replace("Σ", "σ").lower()
-        return b"".join([self.words.get(w) or self.word(w) for w in WORDS.findall(lower)])
+        lower = chunk.lower() if chunk.isascii() else chunk.replace("Σ", "σ").lower()
+        get, word = self.words.get, self.word
+        return b"".join([get(w) or word(w) for w in WORDS.findall(lower)])
 
     def word(self, word: str) -> bytes:
         found = self.words_before.get(word)
         if found is None:
             # Letters and signs of ASCII stand for themselves on the byte level; control characters do not.
-            spelt = word if word.isascii() and word.isprintable() else self.byte_level.pre_tokenize_str(word)[0][0]
-            found = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+            plain = word.isascii() and word.isprintable()
+            spelt = word if plain else word.encode().decode("latin-1").translate(BYTE_LETTERS)
+            found = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         if len(self.words) >= MOST_CACHED:
             self.words_before, self.words = self.words, {}
         self.words[word] = found
@@ -209,7 +214,9 @@ class WordEncoder(dict):
 
     def is_special(self, chunk: str) -> bool:
         """Whether only the library may cut the chunk."""
-        return bool(self.foreign.search(chunk)) or "<|" in chunk and any(s in chunk for s in self.special)
+        if not (chunk.isascii() and chunk.isprintable()) and self.foreign.search(chunk):
+            return True
+        return "<|" in chunk and any(s in chunk for s in self.special)
 
 
 SEGMENT_IDS = 1 << 18

@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from tokenizers import Tokenizer
 
 from eventloom.llm import bwt_merge, merge_dropout, page_text, repeats, simhash, token_files
 from eventloom.llm.fm_index import FMIndex
@@ -242,3 +243,41 @@ def test_lines_decide_inside_and_outside_of_articles():
     cards = "<div>Site</div><h1>Title {0}</h1><div>Body {0}</div><article>Card {0}</article><article>Second card {0}</article>"
     left, right = page(cards.format(1)), page(cards.format(2))
     assert page_text.main_text(left, right) == "Title 1\n\nBody 1\n\nCard 1\n\nSecond card 1"
+
+
+def test_token_ids_of_random_text_are_the_librarys():
+    """Control characters, combining marks, unassigned and new characters, special tokens."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, one = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    pick = random.Random(8)
+    kinds = [lambda: chr(pick.randrange(0x80)), lambda: chr(pick.randrange(0x80, 0x2000)), lambda: pick.choice("aeiou 's\t"),
+             lambda: chr(pick.choice([0x208F, 0x1C89, 0xA7CE, 0x378, 0x1F9FF, 0x10FFFF, 0x301, 0x327, 0x3A3, 0x3000, 0x85, 0xA0]))]
+    kinds += [lambda: pick.choice(["<|endoftext|>", "don't", "1st", "Ⅷ", "ǆ", "İ"]), lambda: chr(pick.randrange(0x2000, 0xD800))]
+    for _ in range(3000):
+        text = "".join(pick.choice(kinds)() for _ in range(pick.randrange(30)))
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(one.encode(text), "<u4").tolist() == expected, repr(text)
+    assert np.frombuffer(one.encode("a\x01b"), "<u4").tolist() == [320, 445, 321]
+
+
+def test_token_ids_survive_full_caches(monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_CACHED", 3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, one = Tokenizer.from_file(path), token_files.WordEncoder(path)
+    for text in ("a few words, a few more words and a few again", "words again", "don't don't"):
+        assert np.frombuffer(one.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout sidebar-left"><article><p>Body</p></article><div class="sidebar">x</div></div>',
+        '<form id="aspnetForm"><div class="menu">x</div><article><p>Body</p></article></form>',
+        '<article class="social-policy"><p>Body</p><div class="share">x</div></article>',
+        '<div id="search-results"><main><p>Body</p><form>x</form></main></div>',
+        '<div class="comments"><article>x</article></div><aside><article>x</article></aside><p>Body</p>',
+        '<div class="related"><article>x</article></div><article class="comment">x</article><article>Body</article>',
+    ],
+)
+def test_wrappers_around_an_article_do_not_hide_it(page):
+    assert [text for text, _ in page_text.lines_of(page)] == ["Body"]
