@@ -9,12 +9,13 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import TypeVar
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 import eventloom
-from eventloom.session import scratch_path
+from eventloom.session import delete_path, scratch_path
 
 T = TypeVar("T")
 _shipped: set[str] = set()
@@ -64,7 +65,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from a table in the folder that all executors share.
 
     Cuts the lineage, so a lost executor costs a re-read and not a recomputation. The
-    shuffle files of the write are given up with its end; nothing reads them again.
+    shuffle files of the write are given up with its end; nothing reads them again. The
+    table stays until ``discard`` or the end of the application.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -75,7 +77,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _scratch[table] = path
+    return table
+
+
+_scratch: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that ``written`` gave back and that nothing reads any more."""
+    for table in tables:
+        path = _scratch.pop(table, None)
+        if path:
+            delete_path(table.sparkSession, path)
 
 
 _helper: dict[object, object] = {}

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import written
+from eventloom.llm.common import discard, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """node and label of every node that has a link: the smallest node it reaches.
+    """node and label of every node that has a link, as a scratch table: the smallest node it reaches.
 
     ``links`` has integer columns a and b; loops, repeats and either direction are fine. No
     link gives no row. Each round hangs every node's larger neighbours, then its smaller
@@ -31,12 +31,15 @@ def connected_components(links: DataFrame) -> DataFrame:
         )
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
-        now = written(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct(), "links")
+        last, now = now, written(small.unionByName(least.select("u", F.col("low").alias("v"))).distinct(), "links")
+        discard(last)
         before, mark = mark, _mark(now)
         if mark == before:
             break
     centres = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(centres)
+    labels = written(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(centres), "labels")
+    discard(now)
+    return labels
 
 
 def _mark(links: DataFrame) -> tuple:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows, written
+from eventloom.llm.common import discard, rows, written
 from eventloom.operators.running import running_totals
 
 #: Hex digits of a turn's id, and turns of a chunk.
@@ -416,6 +416,7 @@ def prefix_trie(turns: DataFrame) -> DataFrame:
     )
     splitters = choose_splitters(paths, paths.count())
     nodes = written(shard_nodes(paths, splitters), "trie-nodes")
+    discard(chunks, classes, paths)
     known = skeleton(spark, nodes.where("node IS NOT NULL"))
     above = F.broadcast(known.select(F.col("node").alias("parent"), F.col("conv_id").alias("above")))
     finished = nodes.where("node IS NULL").join(above, "parent", "left")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import no_helper, rows, written
+from eventloom.llm.common import discard, no_helper, rows, written
 from eventloom.llm.components import connected_components
 
 SEED = 42
@@ -290,7 +291,7 @@ def near_duplicates(
     hashed = written(with_fingerprints(docs, words, id_col, text_col), "fingerprints")
     prints = written(hashed.groupBy("bits").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     links = fingerprint_links(prints.select(F.col("bits").alias("node"), "bits"), distance)
-    labels = written(connected_components(links), "labels")
+    labels = connected_components(links)
     labelled = prints.join(labels, prints.bits == labels.node, "left").select(
         "bits", "least_id", F.coalesce("label", "bits").alias("label")
     )
@@ -327,12 +328,6 @@ def set_fingerprints(text: str | None, words: int) -> tuple[int, bytes, np.ndarr
     return int(single[0]), majority(spread).tobytes(), shingles
 
 
-def similarity_of(left: str | None, right: str | None, words: int) -> float:
-    """Jaccard similarity of the sets of shingles; 1 if both are empty."""
-    a, b = (set(shingle_hashes(words_of(t), words).tolist()) for t in (left, right))
-    return len(a & b) / len(a | b) if a | b else 1.0
-
-
 # --- the exact way for what the fingerprints miss ---
 
 PARITY_BITS = 1024
@@ -450,7 +445,9 @@ def shared_prefixes(sets: DataFrame, labels: DataFrame) -> DataFrame:
         .select("node", "place", "shingle", share.alias("own"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("other"))
         .select("node", "place", F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
     )
-    return written(dealt, "shared-prefixes")
+    met = written(dealt, "shared-prefixes")
+    discard(shared)
+    return met
 
 
 def with_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -583,10 +580,19 @@ def drop_near_copies(
     prints = written(
         marked.groupBy("node").agg(*[F.first(c).alias(c) for c in ("bits", "wide", "size", "prefix", "parity")]), "texts"
     )
+    ids = written(marked.select("node", "id"), "ids")
+    discard(marked)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A text of several links is hashed once while its links follow each other.
+        shingles = lru_cache(64)(lambda text: np.unique(shingle_hashes(words_of(text), words)))
         for batch in batches:
-            near = [similarity_of(x, y, words) >= similarity for x, y in rows([batch], "left", "right")]
+            near = []
+            for left, right in rows([batch], "left", "right"):
+                a, b = shingles(left), shingles(right)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                whole = len(a) + len(b) - common
+                near.append(whole == 0 or common / whole >= similarity)
             yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
 
     def checked(links: DataFrame) -> DataFrame:
@@ -599,11 +605,13 @@ def drop_near_copies(
             links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
         )
-        return written(both.select("a", "b", "left", "right").mapInArrow(confirm, "a bigint, b bigint"), "checked-links")
+        near = written(both.select("a", "b", "left", "right").mapInArrow(confirm, "a bigint, b bigint"), "checked-links")
+        discard(texts)
+        return near
 
     asked = written(fingerprint_links(prints, WORD_DISTANCE, wide_distance_of(similarity)), "candidate-links")
     found = checked(asked)
-    labels = written(connected_components(found), "labels")
+    labels = connected_components(found)
     met = shared_prefixes(prints, labels)
     for pruned in (True, False):
         links = written(
@@ -613,9 +621,11 @@ def drop_near_copies(
             # Without a new candidate a later round may still have some: those a pruned one stands for.
             continue
         asked, found = asked.unionByName(links), found.unionByName(checked(links))
-        labels = written(connected_components(found), "labels")
+        discard(labels)
+        labels = connected_components(found)
+    discard(met, prints)
     members = (
-        marked.select("node", "id").join(labels, "node", "left")
+        ids.join(labels, "node", "left")
         .select("node", "id", F.coalesce("label", "node").alias("label"))
     )
     stays = members.groupBy("label").agg(F.min(F.struct("id", "node")).alias("stays"))
@@ -625,6 +635,7 @@ def drop_near_copies(
         (F.struct("id", "node") == F.col("stays")).alias("_stays"),
     )
     odd = written(judged.where("NOT _stays OR _n > 1"), "copies")
+    discard(ids, labels)
     same = keyed[id_col].cast("bigint").eqNullSafe(F.col("_id")) & (keyed["_own"] == F.col("_node"))
     kept = keyed.join(odd, same, "left").where("_stays IS NULL OR _stays")
     once = kept.where("_n IS NULL").select(*docs.columns)
