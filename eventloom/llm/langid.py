@@ -135,7 +135,7 @@ class Scorer(dict):
         if self.used == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         if known:
-            self.table[self.used] = self.model.scores[known].mean(axis=0)
+            self.table[self.used] = np.add.reduce(self.model.scores.take(known, axis=0)) / len(known)
         self.unseen[word] = self.used
         self.used += 1
         return self.unseen[word]
