@@ -68,7 +68,8 @@ def live_runs(spark: SparkSession, directory: str) -> dict[str, list[Run]]:
 
     The driver looks at one small entry a run and table, and at no data.
     """
-    listed = entries(spark, directory).where("kind <> 'zone'").orderBy(F.desc("number"), F.desc("kind")).collect()
+    listed = entries(spark, directory).where("kind <> 'zone'").collect()
+    listed.sort(key=lambda e: (e.number, e.kind), reverse=True)
     tables: dict[str, list[Run]] = {}
     later: dict[str, list[tuple[int, int]]] = {}
     dropped: set[str] = set()

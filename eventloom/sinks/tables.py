@@ -79,13 +79,18 @@ class ParquetSink(RunFolders):
             hashes = reduce(DataFrame.unionByName, frames).where("tx_hash IS NOT NULL")
             _indexed(hashes).write.mode("append").partitionBy(INDEX_FOLDER).parquet(self.run_path(HASH_INDEX, run.run))
 
-    def read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
-        """The stored table; the position in the block is null where the chain tables lack it."""
+    def read(
+        self, spark: SparkSession, table: str, schema: T.StructType, live: dict[str, list[Run]] | None = None
+    ) -> DataFrame:
+        """The stored table; the position in the block is null where the chain tables lack it.
+
+        A caller that reads several tables looks at the manifest once (``live_runs``).
+        """
         stored = T.StructType(schema.fields + [T.StructField(BLOCK_BUCKET, T.LongType())])
         if table != NATIVE_TABLE:
             stored = stored.add(TX_LOG_INDEX, T.LongType()).add(BLOCK_LOG_INDEX, T.LongType())
         return _live_rows(
-            self.live(spark, table),
+            self.live(spark, table) if live is None else live.get(table, []),
             lambda runs: self._read_runs(spark, table, runs, stored),
             spark.createDataFrame([], stored),
         )
@@ -101,7 +106,8 @@ class ParquetSink(RunFolders):
         partitions counted again, over the blocks that are left.
         """
         listed = entries(spark, self.directory).where("kind = 'zone'")
-        live = [(t, r) for t in tables for r in self.live(spark, t)]
+        runs = live_runs(spark, self.directory)
+        live = [(t, r) for t in tables for r in runs.get(t, [])]
         whole = [(t, r.run) for t, r in live if r.predicate() is None]
         kept = spark.createDataFrame(whole, "table string, run string")
         parts = [listed.join(F.broadcast(kept), ["table", "run"], "left_semi").select(*ZONE)]
@@ -153,8 +159,8 @@ def _live_rows(runs: Sequence[Run], read: Callable[[list[str]], DataFrame], empt
 
 def event_tables_at(spark: SparkSession, config: JobConfig, directory: str) -> dict[str, DataFrame]:
     """The stored event tables of a job."""
-    sink = ParquetSink(directory)
-    return {table: sink.read(spark, table, schema) for table, schema in config.table_schemas().items()}
+    sink, live = ParquetSink(directory), live_runs(spark, directory)
+    return {table: sink.read(spark, table, schema, live) for table, schema in config.table_schemas().items()}
 
 
 @dataclass
