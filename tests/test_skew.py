@@ -1,6 +1,8 @@
 """Hot keys: one order, one day and one line item repeated hold a third of the rows each."""
 
+import os
 import random
+import shutil
 
 import duckdb
 import pyarrow as pa
@@ -11,6 +13,7 @@ from eventloom import fixtures
 from eventloom.operators.running import running_totals
 from eventloom.operators.topk import first_per_group
 from eventloom.queries import ORACLES, QUERIES
+from eventloom.sinks.tables import ParquetSink
 from eventloom.sources import chain
 from pyspark.sql import functions as F
 
@@ -107,3 +110,48 @@ def test_first_per_group(spark):
     for row in sorted(data, key=lambda r: (r[1], r[2])):
         groups.setdefault(row[0], []).append(row)
     assert sorted(map(tuple, found)) == sorted(r for g in groups.values() for r in g[:25])
+
+
+@pytest.mark.parametrize("name", ["scan_logs", "decode_event", "enrich_blocks"])
+def test_orders_beyond_a_row_are_numbered_in_runs(spark, skewed, monkeypatch, tmp_path, name):
+    for file in os.listdir(skewed):
+        shutil.copyfile(f"{skewed}/{file}", tmp_path / file)
+    real = fixtures.receipts
+    monkeypatch.setattr(fixtures, "LOGS_PER_ROW", 16)
+    monkeypatch.setattr(fixtures, "receipts", lambda s, d, logs_per_row=8: real(s, d, logs_per_row))
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{skewed}/{t}.parquet'")
+    answer = db.execute(ORACLES[name])
+    columns = [c[0] for c in answer.description]
+    found = sorted((tuple(r[c] for c in columns) for r in QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+    assert found == sorted(answer.fetchall(), key=repr)
+    assert any(k[1:] == (str(tmp_path), "some-lines") for k in fixtures._written)
+
+
+def test_settled_logs_need_no_receipts_and_no_blooms(spark, skewed, tmp_path):
+    for file in os.listdir(skewed):
+        shutil.copyfile(f"{skewed}/{file}", tmp_path / file)
+    assert QUERIES["decode_bool"](spark, str(tmp_path)).count() == 300
+    assert {k[2] for k in fixtures._written if k[1] == str(tmp_path)} == {"settled", "plain-headers"}
+
+
+def test_receipts_are_spelt_out_behind_the_last_shuffle(spark, skewed, monkeypatch):
+    stored = []
+    monkeypatch.setattr(fixtures, "store_receipts", lambda placed, path: stored.append(placed))
+    fixtures._build_receipts(spark, skewed, "", 8)
+    plan = stored[0]._jdf.queryExecution().optimizedPlan().toString()
+    spelt, shuffled = plan.split("RepartitionByExpression", 1)
+    assert "sha2" in spelt and "sha2" not in shuffled and "lpad" not in shuffled
+
+
+def test_rows_in_stretches_of_blocks_are_written_as_they_come(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 5).select(
+        F.col("id").alias("block_number"), F.concat(F.lit("0x"), F.sha2(F.col("id").cast("string"), 256)).alias("tx_hash")
+    )
+    sink = ParquetSink(str(tmp_path), ordered=True)
+    sink.write("t", rows)
+    files = [f for _, _, names in os.walk(tmp_path / "t") for f in names if f.endswith(".parquet")]
+    assert len(files) == 5 and all(".zstd." in f for f in files)
+    assert sorted(r[0] for r in sink.read(spark, "t", rows.schema).select("block_number").collect()) == list(range(1000))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
