@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventloom.config import BLOCK_BUCKET, BLOCK_LOG_INDEX, LEADING_COLUMNS, TRAILING_COLUMNS, TX_LOG_INDEX
 from eventloom.functions.text import hex_quantity
-from eventloom.operators.filters import BROADCAST_ROWS, TOPIC_COLUMNS, LogFilter, match_filter_table
+from eventloom.operators.filters import BROADCAST_ROWS, TOPIC_COLUMNS, LogFilter, match_filter_parts, match_filter_table
 from eventloom.operators.topk import first_per_group
 
 # How many hits a request for logs asks for, and how many logs a page of a
@@ -58,8 +58,9 @@ def get_logs_by_table(
     if max_hits is None:
         return match_filter_table(logs, filters, broadcast_rows=broadcast_rows)
     order = [c for c in HIT_ORDER if c in logs.columns]
-    matches = match_filter_table(logs, filters, max_hits, broadcast_rows)
-    return first_per_group(matches, ["filter_id"], order, max_hits)
+    few, many = match_filter_parts(logs, filters, max_hits, broadcast_rows)
+    # A filter that cannot have more hits than asked for needs no ranking.
+    return few.unionByName(first_per_group(many, ["filter_id"], order, max_hits))
 
 
 def _digits(text: Column) -> Column:

@@ -135,6 +135,21 @@ def test_many_filters_on_one_topic_make_few_matches(spark):
     assert sorted(map(tuple, found.collect())) == [(n, 50, 3 * n, 3 * n + 4) for n in range(1000)]
 
 
+def test_only_filters_that_may_have_more_hits_are_ranked(spark):
+    """Rare values pass as they are; several frequent columns look no further than the block that completes them."""
+    logs = spark.range(20_000).selectExpr(
+        f"CASE WHEN id % 5 = 0 THEN '{AA}' ELSE 'other' END AS contract_address", f"'{TOPICS[0]}' AS topic0",
+        "concat('0x', id % 1000) AS topic1", "CAST(NULL AS STRING) AS topic2", "CAST(NULL AS STRING) AS topic3",
+        "id DIV 10 AS block_number", "'0x' AS block_hash", "id AS log_index",
+    )
+    wanted = [LogFilter(topics=((), (f"0x{n}",))) for n in range(500)]
+    wanted.append(LogFilter(addresses=(AA,), topics=((TOPICS[0],),)))
+    few, many = lf.match_filter_parts(logs, spark.createDataFrame(filter_rows(wanted), FILTER_SCHEMA), 50)
+    assert few.count() == 500 * 20 and few.where("filter_id = 500").isEmpty()
+    # Two of ten logs of a block are hits.
+    assert many.agg(F.count("*"), F.min("filter_id"), F.max("block_number")).first() == (50, 500, 24)
+
+
 def test_empty_filter_table(spark, logs):
     table = spark.createDataFrame([], FILTER_SCHEMA)
     assert get_logs_by_table(logs, table).count() == 0
