@@ -10,9 +10,10 @@ import pyarrow.parquet as pq
 import pytest
 
 from eventloom import fixtures
+from eventloom.operators import decode
 from eventloom.operators.running import running_totals
 from eventloom.operators.topk import first_per_group
-from eventloom.queries import ORACLES, QUERIES
+from eventloom.queries import EVERY_EVENT, ORACLES, QUERIES
 from eventloom.sinks.tables import ParquetSink
 from eventloom.sources import chain
 from pyspark.sql import functions as F
@@ -155,3 +156,14 @@ def test_rows_in_stretches_of_blocks_are_written_as_they_come(spark, tmp_path):
     assert len(files) == 5 and all(".zstd." in f for f in files)
     assert sorted(r[0] for r in sink.read(spark, "t", rows.schema).select("block_number").collect()) == list(range(1000))
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_staged_logs_are_not_sorted_by_event(spark, skewed, monkeypatch):
+    seen, real = [], decode.unsorted_writes
+    monkeypatch.setattr(decode, "unsorted_writes", lambda s, n: seen.append(n) or real(s, n))
+    receipts, headers = fixtures.receipts(spark, skewed), fixtures.plain_headers(spark, skewed)
+    staged = decode.staged_once(receipts, headers, EVERY_EVENT, "staged")
+    assert seen == [2] and all(".zstd." in f for f in staged.inputFiles())
+    plain = decode.stage_events(receipts, headers, EVERY_EVENT)
+    columns = ["event_key", "tx_hash", "log_index"]
+    assert sorted(map(tuple, staged.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
