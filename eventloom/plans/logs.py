@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import BLOCK_BUCKET, BLOCK_LOG_INDEX, LEADING_COLUMNS, TRAILING_COLUMNS, TX_LOG_INDEX
-from eventloom.functions.text import hex_quantity
+from eventloom.functions.text import MAX_TEXT, hex_quantity
 from eventloom.operators.filters import BROADCAST_ROWS, TOPIC_COLUMNS, LogFilter, match_filter_parts, match_filter_table
 from eventloom.operators.topk import first_per_group
 
@@ -19,7 +19,6 @@ MAX_LOGS = 1000
 MAX_BLOCK_LOGS = 10000
 MAX_RECEIPT_LOGS = 1000
 
-MAX_TEXT = 2**31 - 1
 LOG_COLUMNS = [*LEADING_COLUMNS, *TRAILING_COLUMNS]
 HIT_ORDER = ["block_number", "log_index", "transaction_index", "event", "indexed_id"]
 
@@ -105,17 +104,17 @@ def valid_logs(hits: DataFrame, keep: bool = False) -> DataFrame:
     return hits.where(required).select(*chosen)
 
 
-def answer_log() -> Column:
-    """A valid log in the shape of a log answer."""
+def answer_log(fields: Callable[[str], Column] = F.col) -> Column:
+    """A valid log, whose ``fields`` are columns unless told otherwise, in the shape of a log answer."""
     return F.struct(
-        F.col("contract_address").alias("address"),
-        F.col("topics").alias("topics"),
-        F.col("data").alias("data"),
-        F.col("block_hash").alias("blockHash"),
-        hex_quantity(F.col("block_number")).alias("blockNumber"),
-        F.col("tx_hash").alias("transactionHash"),
-        hex_quantity(F.col("transaction_index")).alias("transactionIndex"),
-        hex_quantity(F.col("log_index")).alias("logIndex"),
+        fields("contract_address").alias("address"),
+        fields("topics").alias("topics"),
+        fields("data").alias("data"),
+        fields("block_hash").alias("blockHash"),
+        hex_quantity(fields("block_number")).alias("blockNumber"),
+        fields("tx_hash").alias("transactionHash"),
+        hex_quantity(fields("transaction_index")).alias("transactionIndex"),
+        hex_quantity(fields("log_index")).alias("logIndex"),
         F.lit(False).alias("removed"),
     )
 

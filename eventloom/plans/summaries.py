@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.config import BLOCK_BUCKET, BUCKET_BLOCKS, TX_LOG_INDEX
-from eventloom.functions.text import hex_quantity
+from eventloom.functions.text import hex_quantity, packed_hex, spelt_hex
 from eventloom.operators.filters import LATEST_TAGS, highest_block
 from eventloom.plans.logs import MAX_BLOCK_LOGS, MAX_RECEIPT_LOGS, answer_log, valid_logs
 
@@ -122,6 +122,11 @@ def get_block(logs: DataFrame, block: int | str = "latest", zones: DataFrame | N
     return blocks_from_logs(chosen)
 
 
+def _short_id() -> Column:
+    """The beginning of a row id, which is a hash; 64 bits of it order the few hits that are alike otherwise."""
+    return F.when(F.col("indexed_id").rlike(r"^[0-9a-f]{64}\z"), F.substring("indexed_id", 1, 16)).otherwise(F.col("indexed_id"))
+
+
 def receipts_from_logs(logs: DataFrame) -> DataFrame:
     """A receipt for every transaction that has hits, one row per page of 1,000 logs of the transaction.
 
@@ -129,37 +134,46 @@ def receipts_from_logs(logs: DataFrame) -> DataFrame:
     events of any number share one page of bounded size. The fields come from the first hit of the
     page, malformed or not, ``to`` is its contract where it is the first log of its event; only
     well-formed hits are listed. A page without any well-formed hit has an empty list. Hits without a
-    transaction hash have no receipt.
+    transaction hash have no receipt. Hits travel as bytes and numbers; texts are spelt out behind the shuffle.
     """
     place = F.coalesce(TX_LOG_INDEX, "log_index") if TX_LOG_INDEX in logs.columns else F.col("log_index")
-    order = ["log_index", *[c for c in ("event", "indexed_id") if c in logs.columns]]
     page = F.floor(place / MAX_RECEIPT_LOGS)
+    order = [F.col("log_index"), *[F.col("event") for c in logs.columns if c == "event"]]
+    order += [_short_id().alias("id") for c in logs.columns if c == "indexed_id"]
+    valid = F.col("is_valid")
     rows = valid_logs(logs, keep=True).where("tx_hash IS NOT NULL").select(
-        F.lower("tx_hash").alias("tx_hash"),
+        packed_hex(F.lower("tx_hash")).alias("tx_hash"),
         F.coalesce(page, F.lit(0)).alias("page"),
-        "transaction_index",
-        F.lower("block_hash").alias("block_hash"),
-        "block_number",
-        F.lower("contract_address").alias("contract_address"),
-        F.struct(*order).alias("rank"),
-        F.when(F.col("is_valid"), answer_log()).alias("log"),
+        F.struct(
+            *order,
+            "transaction_index",
+            packed_hex(F.lower("block_hash")).alias("block_hash"),
+            "block_number",
+            packed_hex(F.lower("contract_address")).alias("contract_address"),
+            F.when(valid, F.transform("topics", packed_hex)).alias("topics"),
+            F.when(valid, packed_hex(F.col("data"))).alias("data"),
+        ).alias("hit"),
     )
-    pages = rows.groupBy("tx_hash", "page").agg(
-        F.min_by(
-            F.struct("transaction_index", "block_hash", "block_number", "contract_address", "rank.log_index"), "rank"
-        ).alias("first"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("log").isNotNull(), F.struct("rank", "log")))), lambda x: x["log"]
-        ).alias("logs"),
+    # Shuffled as they are, hits are gathered once, and not sorted by transaction in front of the shuffle too.
+    gathered = rows.repartition("tx_hash", "page").groupBy("tx_hash", "page")
+    pages = gathered.agg(F.array_sort(F.collect_list("hit")).alias("hits")).select(
+        spelt_hex(F.col("tx_hash")).alias("tx_hash"), "page", "hits", F.col("hits")[0].alias("first")
     )
+
+    def spelt(hit: Column) -> Column:
+        texts = {c: spelt_hex(hit[c]) for c in ("contract_address", "data", "block_hash")}
+        texts |= {"tx_hash": F.col("tx_hash"), "topics": F.transform(hit["topics"], spelt_hex)}
+        return answer_log(lambda c: texts[c] if c in texts else hit[c])
+
+    first = {c: F.col("first")[c] for c in ("log_index", "transaction_index", "block_hash", "block_number", "contract_address")}
     return pages.select(
         F.col("tx_hash").alias("transactionHash"),
         "page",
-        hex_quantity(F.col("first.transaction_index")).alias("transactionIndex"),
-        F.col("first.block_hash").alias("blockHash"),
-        hex_quantity(F.col("first.block_number")).alias("blockNumber"),
-        F.when(F.coalesce("first.log_index", F.lit(0)) == 0, F.col("first.contract_address")).alias("to"),
-        "logs",
+        hex_quantity(first["transaction_index"]).alias("transactionIndex"),
+        spelt_hex(first["block_hash"]).alias("blockHash"),
+        hex_quantity(first["block_number"]).alias("blockNumber"),
+        F.when(F.coalesce(first["log_index"], F.lit(0)) == 0, spelt_hex(first["contract_address"])).alias("to"),
+        F.transform(F.filter("hits", lambda hit: hit["data"].isNotNull()), spelt).alias("logs"),
         *_constants(RECEIPT_CONSTANTS),
     )
 

@@ -92,3 +92,23 @@ def test_receipt_of_malformed_hits(spark):
     assert receipt.to == BB and [l.address for l in receipt.logs] == [AA]
     (receipt,) = summaries.receipts_from_logs(spark.createDataFrame([tuple(bad)], LOGS)).collect()
     assert receipt.to == BB and receipt.logs == []
+
+
+def test_receipts_shuffle_bytes_once_and_sort_nothing_before(spark):
+    """Texts of all logs, sorted in front of the shuffle too, took many times the disk of the tables."""
+    logs = spark.createDataFrame(DATA, LOGS)
+    plan = summaries.receipts_from_logs(logs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    behind, before = plan.split("Exchange")
+    assert "ObjectHashAggregate" in behind and "Aggregate" not in before
+    assert "unhex" in before
+
+
+def test_receipts_give_malformed_texts_as_they_are(spark):
+    odd = [list(log(1, t, 0)) for t in range(5)]
+    for line, text in zip(odd, ("0xABC", "0x", "0xzz", "0xé1", "AB")):
+        line[10] = line[12] = text
+        line[2] = text
+    found = {r.transactionHash: r for r in summaries.receipts_from_logs(spark.createDataFrame(map(tuple, odd), LOGS)).collect()}
+    assert sorted(found) == sorted(["0xabc", "0x", "0xzz", "0xé1", "0xab"])
+    assert all(r.blockHash == r.to == h and r.logs == [] for h, r in found.items())
