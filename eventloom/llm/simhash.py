@@ -228,9 +228,11 @@ def fingerprint_links(prints: DataFrame, distance: int = 4, wide_distance: int |
     payload = ["node", "bits"] if wide_distance is None else ["node", "bits", "wide"]
     pairs = F.posexplode(F.array(*[F.col("bits").bitwiseAND(F.lit(m)) for m in signed])).alias("pair", "shared")
     keyed = prints.select(*payload, pairs)
-    crowded = (
+    # Written down, these few rows tell their size, and the fingerprints are not shuffled to meet them.
+    crowded = written(
         prints.select("bits", pairs).groupBy("pair", "shared").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
-        .select("pair", "shared", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("shares"))
+        .select("pair", "shared", F.ceil(F.col("n") * 2 / GROUP).cast("int").alias("shares")),
+        "crowded-blocks",
     )
     shares = F.coalesce("shares", F.lit(1))
     share = F.pmod(F.xxhash64("node", F.lit("share")), shares).cast("int")

@@ -454,3 +454,16 @@ def test_prefixes_meet_all_similar_sets(spark, monkeypatch, crowd):
     docs += [(1000 + i, " ".join(docs[0][1].split()[i : i + 50])) for i in range(11)]
     kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
     assert kept == near_copies_by_hand(docs)
+
+
+def test_fingerprints_are_shuffled_once_for_their_links(spark):
+    """The join with the few crowded blocks shuffled every copy of every fingerprint before they were dealt out."""
+    prints = spark.range(20_000).select(F.col("id").alias("node"), F.xxhash64("id").alias("bits"), F.lit(bytes(32)).alias("wide"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100000")
+    try:
+        plan = simhash.fingerprint_links(prints, 8, 90)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "SortMergeJoin" not in plan and plan.split("MapInArrow")[1].count("Exchange hashpartitioning") == 1
