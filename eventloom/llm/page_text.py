@@ -20,10 +20,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import rows, written
+from eventloom.llm.common import discard, rows, written
 from eventloom.llm.url_rules import host_of, path_of
 
 # Elements by what HTML says they are, and words that name parts of a page.
@@ -231,7 +232,12 @@ def main_text(lines: list[dict], neighbour: list[dict] | None, second: list[dict
     return "\n\n".join(line["text"] for i, line in enumerate(lines) if i not in template)
 
 
-LINES = "array<struct<text:string,article:boolean>>"
+PRINTS = "array<struct<text:bigint,article:boolean>>"
+
+
+def line_hash(text: str) -> int:
+    """A signed 64-bit number that stands for a line where pages are compared."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
@@ -291,36 +297,51 @@ def extract_text(
         F.xxhash64(F.col(id_col), F.col(url_col), F.col(html_col)).alias("key"),
     )
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_())]))
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("text", pa.int64()), ("article", pa.bool_())]))
         for batch in batches:
-            found = [[{"text": t, "article": a} for t, a in lines_of(h)] for (h,) in rows([batch], "html")]
-            kept = batch.drop_columns(["html"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, kind)], [*kept.schema.names, "lines"])
-
-    id_type = keyed.schema["page_id"].dataType.simpleString()
-    read_pages = written(keyed.mapInArrow(read, f"page_id {id_type}, url string, key bigint, lines {LINES}"), "page-lines")
-    urls = read_pages.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    near = neighbours(urls.dropDuplicates(["key"]))
-    # Neighbours are sent as hashes of their lines: the joins carry each text once.
-    prints = F.transform("lines", lambda line: F.struct(F.xxhash64(line["text"]).alias("text"), line["article"].alias("article")))
-    once = read_pages.select("key", prints.alias("prints")).dropDuplicates(["key"])
+            found = [[{"text": line_hash(t), "article": a} for t, a in lines_of(h)] for (h,) in rows([batch], "html")]
+            columns = [batch.column("key"), batch.column("url"), pa.array(found, kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "url", "prints"])
+
+    # Pages are compared by hashes of their lines; their texts are read again at the end and not kept until then.
+    hashed = keyed.select("key", "url", "html").mapInArrow(prints_of, f"key bigint, url string, prints {PRINTS}")
+    once = written(hashed.dropDuplicates(["key"]), "page-prints")
+    near = neighbours(once.select("key", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")))
+    own = once.select("key", "prints")
     other = once.select(F.col("key").alias("near"), F.col("prints").alias("other"))
     second = once.select(F.col("key").alias("asked"), F.col("prints").alias("second"))
     told = near.join(other, "near", "left").join(second, F.col("far") == F.col("asked"), "left").select("key", "other", "second")
-    paired = read_pages.join(told, "key", "left").withColumn("prints", prints)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(template_lines(*of)) for of in rows([batch], "prints", "other", "second")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.int32()))], ["key", "template"])
+
+    compared = own.join(told, "key").select("key", "prints", "other", "second")
+    template = written(compared.mapInArrow(compare, "key bigint, template array<int>").where("size(template) > 0"), "templates")
+    discard(once)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[t for t, _ in lines_of(h)] for (h,) in rows([batch], "html")]
+            kept = batch.drop_columns(["html"])
+            lines = pa.array(found, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, lines], [*kept.schema.names, "lines"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for lines, own, other, second in rows([batch], "lines", "prints", "other", "second"):
-                template = template_lines(own, other, second)
-                texts.append("\n\n".join(line["text"] for i, line in enumerate(lines) if i not in template))
+            for lines, places in rows([batch], "lines", "template"):
+                gone = set(places or ())
+                texts.append("\n\n".join(line for i, line in enumerate(lines) if i not in gone))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
             )
 
+    id_type = keyed.schema["page_id"].dataType.simpleString()
+    lines = keyed.mapInArrow(read, f"page_id {id_type}, url string, key bigint, lines array<string>")
     schema = f"page_id {id_type}, url string, text string, n_chars bigint"
-    return paired.select("page_id", "url", "lines", "prints", "other", "second").mapInArrow(compare, schema)
+    return lines.join(template, "key", "left").select("page_id", "url", "lines", "template").mapInArrow(joined, schema)

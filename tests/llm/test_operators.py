@@ -467,3 +467,17 @@ def test_fingerprints_are_shuffled_once_for_their_links(spark):
     finally:
         spark.conf.set(key, before)
     assert "SortMergeJoin" not in plan and plan.split("MapInArrow")[1].count("Exchange hashpartitioning") == 1
+
+
+def test_page_texts_are_not_kept_to_be_compared(spark, monkeypatch):
+    """Lines were written down and shuffled with all their text, though only few pages share any."""
+    kept = []
+    monkeypatch.setattr(page_text, "written", lambda df, name: kept.append(df.schema.simpleString()) or written(df, name))
+    line = "A sentence that stands on its own here."
+    pages = [(i, f"http://h.org/{i}", f"<p>{line} {i}</p><p>Shared by all pages.</p>") for i in range(4)]
+    pages.append((9, "http://other.org/", f"<p>{line}</p>"))
+    found = page_text.extract_text(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == {**{i: f"{line} {i}" for i in range(4)}, 9: line}
+    assert kept and not any("text:string" in schema for schema in kept)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
