@@ -42,7 +42,10 @@ RARE = 0.2
 #: What occurs less often in a batch is worked off for its occurrence alone.
 OFTEN = 4
 AT_ONCE = 1 << 18
+#: Occurrences whose candidates are drawn together.
+DRAWN = 1 << 12
 SYMBOL_BITS = 22
+SLOT_BITS = 21
 FACTORS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -53,9 +56,13 @@ class Dropout:
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * FACTORS[1]
-    x = (x ^ (x >> np.uint64(27))) * FACTORS[2]
-    return x ^ (x >> np.uint64(31))
+    y = x >> np.uint64(30)
+    y ^= x
+    y *= FACTORS[1]
+    y ^= y >> np.uint64(27)
+    y *= FACTORS[2]
+    y ^= y >> np.uint64(31)
+    return y
 
 
 class Pieces:
@@ -87,6 +94,8 @@ class Pieces:
         self.keys = np.array(sorted(pairs), np.int64)
         self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
         self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int32)
+        self.taken = np.zeros(1 << SLOT_BITS, bool)
+        self.taken[self.slot(self.keys)] = True
         # Symbol of each character; one that looks like the space mark stays a character of its own.
         self.symbol_of = np.arange(0x110000, dtype=np.int32) + size
         for piece, i in self.ids.items():
@@ -106,9 +115,17 @@ class Pieces:
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged piece of pairs; NEVER where there is none."""
         wanted = np.where((left >= 0) & (right >= 0), left.astype(np.int64) << SYMBOL_BITS | right, -1)
+        rank, merged = np.full(wanted.shape, NEVER), np.zeros(wanted.shape, np.int32)
+        # Most pairs make no piece; nearly all of these are told by their slot alone.
+        maybe = np.nonzero(self.taken[self.slot(wanted)])
+        wanted = wanted[maybe]
         at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        known = self.keys[at] == wanted
-        return np.where(known, self.ranks[at], NEVER), self.merged[at]
+        rank[maybe], merged[maybe] = np.where(self.keys[at] == wanted, self.ranks[at], NEVER), self.merged[at]
+        return rank, merged
+
+    @staticmethod
+    def slot(pairs: np.ndarray) -> np.ndarray:
+        return (pairs.astype(np.uint64) * FACTORS[0]) >> np.uint64(64 - SLOT_BITS)
 
     def spelt(self, symbols: list[int]) -> list[int]:
         """Ids; characters that are no piece become their bytes."""
@@ -300,18 +317,25 @@ class Encoder:
         self.draw[self.used : total] = mixed(pair.astype(np.uint64) * FACTORS[0] + place.astype(np.uint64))
         self.used = total
 
+    def first_hits(self, way: np.ndarray, keys: np.ndarray, below: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Which occurrences have a skipped candidate on their way, and where their first one stands."""
+        counts = self.count[way]
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1]) - np.repeat(ends - counts - self.begin[way], counts)
+        hit = np.nonzero(mixed(self.draw[at] ^ np.repeat(keys, counts)) < below)[0]
+        owner = np.searchsorted(ends, hit, side="right")
+        first = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(hit)]
+        return owner[first], at[hit[first]]
+
     def drawn(self, way: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """The last way of each occurrence that starts on ``way``; -1 if that is too rare to be remembered."""
         below = np.uint64(int(min(self.dropout.share, RARE) * 2**64))
         open_ = np.arange(len(way)) if below else np.arange(0)
         while len(open_ := open_[self.count[way[open_]] > 0]):
-            counts = self.count[way[open_]]
-            ends = np.cumsum(counts)
-            at = np.arange(ends[-1]) - np.repeat(ends - counts - self.begin[way[open_]], counts)
-            hit = np.nonzero(mixed(self.draw[at] ^ np.repeat(keys[open_], counts)) < below)[0]
-            owner = np.searchsorted(ends, hit, side="right")
-            first = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(hit)]
-            open_, at = open_[owner[first]], at[hit[first]]
+            # Some occurrences at a time, so that what is drawn for them stays in the processor's cache.
+            hits = [self.first_hits(way[some], keys[some], below) for some in np.split(open_, range(DRAWN, len(open_), DRAWN))]
+            at = np.concatenate([place for _, place in hits])
+            open_ = open_[np.concatenate([owner + i * DRAWN for i, (owner, _) in enumerate(hits)])]
             lacks = open_[self.next[at] < 0]
             missing, one, times = np.unique(at[self.next[at] < 0], return_index=True, return_counts=True)
             missing, one = missing[times >= OFTEN], one[times >= OFTEN]

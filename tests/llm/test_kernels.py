@@ -281,3 +281,16 @@ def test_token_ids_survive_full_caches(monkeypatch):
 )
 def test_wrappers_around_an_article_do_not_hide_it(page):
     assert [text for text, _ in page_text.lines_of(page)] == ["Body"]
+
+
+def test_pairs_that_make_no_piece_are_looked_up_by_slot():
+    """Every pair of symbols was sought among all pairs of pieces, though most make none."""
+    pieces = merge_dropout.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    pairs = np.concatenate([pieces.keys[::7], pieces.keys[::7] + 1])
+    left, right = pairs >> merge_dropout.SYMBOL_BITS, pairs & ((1 << merge_dropout.SYMBOL_BITS) - 1)
+    rank, merged = pieces.look_up(np.append(left, -1), np.append(right, 3))
+    for pair, r, m in zip(pairs.tolist(), rank.tolist(), merged.tolist()):
+        assert (r, m) == pieces.pairs[pair] if pair in pieces.pairs else r == merge_dropout.NEVER
+    assert rank[-1] == merge_dropout.NEVER
+    others = np.random.default_rng(1).integers(0, 1 << 40, 10_000)
+    assert pieces.taken[pieces.slot(others)].mean() < 0.2
