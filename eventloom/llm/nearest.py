@@ -10,12 +10,14 @@ the nearest (``SLACK`` standard deviations). What is left at the end is scored e
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.llm.common import written
 
@@ -23,6 +25,10 @@ SLACK = 2.1
 BLOCK_DIMS = 8
 SEED = 20240607
 ROUNDING = 1e-5
+#: Pairs of a query and a vector that are looked at together, and numbers of vectors that are multiplied together.
+PAIRS, VALUES = 1 << 18, 1 << 20
+#: Rows that a task hands on together.
+BATCH_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -74,39 +80,100 @@ def fit(sample: np.ndarray, rows: int, k: int, recall: float, most_lists: int) -
 
 
 def search_list(
-    queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vector row, squared distance) of pairs that no test rejects. Rows are rotated unit vectors."""
+    queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, cut: bool = True
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query rows, vector rows) of pairs that no test rejects, some queries at a time. Rows are rotated unit vectors.
+
+    ``cut`` leaves out pairs that lie farther than a query's k nearest by more than rounding can explain.
+    """
     dims = vectors.shape[1]
     # Column blocks: all vectors' first dimensions lie together, then the next ones.
     blocks = [np.ascontiguousarray(vectors[:, d : d + BLOCK_DIMS]) for d in range(0, dims, BLOCK_DIMS)]
     squares = [(b * b).sum(axis=1) for b in blocks]
     # The k-th distance to a few vectors of the list is the first bound.
     few = min(len(vectors), 4 * k + 1)
-    found = []
-    for start in range(0, len(queries), 256):
-        asked, asked_ids = queries[start : start + 256], query_ids[start : start + 256]
+    together = int(np.clip(PAIRS // max(1, len(vectors)), 1, 256))
+    for start in range(0, len(queries), together):
+        asked, asked_ids = queries[start : start + together], query_ids[start : start + together]
+        own = asked_ids[:, None] == ids[None]
         first = ((asked[:, None, :] - vectors[None, :few, :]) ** 2).sum(axis=2)
-        first[asked_ids[:, None] == ids[None, :few]] = np.inf
+        first[own[:, :few]] = np.inf
         bound = np.sort(first, axis=1)[:, k - 1] if few >= k else np.full(len(asked), np.inf)
-        head = asked[:, :BLOCK_DIMS]
-        partial = (head * head).sum(axis=1)[:, None] + squares[0][None] - 2 * head @ blocks[0].T
-        done = blocks[0].shape[1]
-        limit = bound * (done / dims) * (1 + SLACK / np.sqrt(done)) ** 2 if done < dims else bound
-        row, at = np.nonzero(partial <= limit[:, None] + ROUNDING)
-        sums = partial[row, at]
-        for b, block in enumerate(blocks[1:], 1):
-            part = asked[:, b * BLOCK_DIMS : b * BLOCK_DIMS + block.shape[1]]
-            sums = sums + ((part[row] - block[at]) ** 2).sum(axis=1)
+        sums, row, at, done = np.zeros(own.shape, np.float32), None, None, 0
+        sums[own] = np.inf
+        for b, block in enumerate(blocks):
+            part = asked[:, done : done + block.shape[1]]
             done += block.shape[1]
             limit = bound * (done / dims) * (1 + SLACK / np.sqrt(done)) ** 2 if done < dims else bound
-            keep = sums <= limit[row] + ROUNDING
-            row, at, sums = row[keep], at[keep], sums[keep]
-        other = asked_ids[row] != ids[at]
-        found.append((row[other] + start, at[other], sums[other]))
+            limit = limit + ROUNDING
+            if row is None:
+                # While most candidates are left, all pairs are summed up as one product of matrices.
+                sums += (part * part).sum(axis=1)[:, None] + squares[b][None] - 2 * part @ block.T
+                sums[sums > limit[:, None]] = np.inf
+                left = np.isfinite(sums)
+                if np.count_nonzero(left) * 16 <= left.size:
+                    row, at = np.nonzero(left)
+                    sums = sums[row, at]
+            else:
+                sums = sums + ((part[row] - block[at]) ** 2).sum(axis=1)
+                keep = sums <= limit[row]
+                row, at, sums = row[keep], at[keep], sums[keep]
+        if row is None:
+            row, at = np.nonzero(np.isfinite(sums))
+            sums = sums[row, at]
+        if cut and len(row):
+            sums, by = sums.astype(float), np.lexsort((sums, row))
+            place = _places(row[by])
+            farthest = np.full(len(asked), np.inf)
+            farthest[row[by][place == k - 1]] = sums[by][place == k - 1]
+            keep = sums <= farthest[row] + 4 * ROUNDING
+            row, at = row[keep], at[keep]
+        yield row + start, at
+
+
+def _places(groups: np.ndarray) -> np.ndarray:
+    """The place of every element among its equals, which lie together."""
+    begin = np.concatenate([[True], groups[1:] != groups[:-1]]) if len(groups) else np.zeros(0, bool)
+    return np.arange(len(groups)) - np.maximum.accumulate(np.where(begin, np.arange(len(groups)), 0))
+
+
+def best_of_list(
+    queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, rotation: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query id, vector id and cosine of each query's k best in a list. Rows are the original vectors.
+
+    Pairs are scored and cut to the best query by query: what is held at once does not grow with the
+    queries times the list.
+    """
+    asked_length, length = (np.sqrt((v * v).sum(axis=1)) for v in (queries, vectors))
+    # Where squares overflow or vanish, distances of unit vectors don't tell the order of the scores.
+    lengths = np.concatenate([asked_length, length])
+    plain = bool(((lengths > 1e-140) & (lengths < 1e140)).all())
+    step = max(1, VALUES // vectors.shape[1])
+    found = []
+    for row, at in search_list(
+        (unit(queries) @ rotation).astype(np.float32), query_ids, (unit(vectors) @ rotation).astype(np.float32), ids, k, plain
+    ):
+        score = np.empty(len(row))
+        for i in range(0, len(row), step):
+            r, a = row[i : i + step], at[i : i + step]
+            score[i : i + step] = (queries[r] * vectors[a]).sum(axis=1) / (asked_length[r] * length[a])
+        order = np.lexsort((ids[at], -score, row))
+        order = order[_places(row[order]) < k]
+        found.append((query_ids[row[order]], ids[at[order]], score[order]))
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def packed_lists(rows_in: np.ndarray, most: int) -> np.ndarray:
+    """The part of every list: neighbouring lists together, of ``most`` rows at most unless one list has more."""
+    part_of, part, held = np.zeros(len(rows_in), int), 0, 0
+    for i, n in enumerate(rows_in):
+        if held and held + n > most:
+            part, held = part + 1, 0
+        part_of[i], held = part, held + n
+    return part_of
+
+
 def nearest(
     embeddings: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
     sample_rows: int = 20_000, recall: float = 0.97, most_lists: int = 512, chunk_rows: int = 8192,
@@ -123,17 +190,23 @@ def nearest(
     those of another dimension than most of the sample. Rows with a query's own id are not
     its candidates; rows without an id take no part; repeated rows are one.
 
-    Large lists are cut into chunks by a hash, the queries of a list into shares, and each
-    chunk meets each share in a task of its own, so no list has to fit one task.
+    Small lists are put together into parts, large ones are cut into chunks by a hash; a part's queries
+    are cut into shares by their own number. Each chunk meets each share in a group of its own, so
+    neither a list nor its queries have to fit one task. A query travels once to a part.
     """
     spark = embeddings.sparkSession
+    # Single precision stays as it is: half the bytes to move.
+    single = isinstance(getattr(embeddings.select(vector_col).schema[0].dataType, "elementType", None), T.FloatType)
+    kind, dtype = ("array<float>", "<f4") if single else ("array<double>", "<f8")
     wanted = embeddings.select(
-        F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"),
-        is_query.alias("asks"),
+        F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast(kind).alias("vector"), is_query.alias("asks")
     )
     valid = wanted.where(F.col("vec_id").isNotNull() & usable(F.col("vector")))
     schema = "query_id bigint, rank int, vec_id bigint, score double"
-    chosen = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("vector").toPandas()["vector"]
+    # The largest hash of the sample first: only its own vectors are gathered.
+    place = F.xxhash64("vec_id")
+    last = valid.select(place.alias("place")).orderBy("place").limit(sample_rows).agg(F.max("place")).first()[0]
+    chosen = valid.where(place <= last).orderBy(place, "vec_id", "vector").limit(sample_rows).select("vector").toPandas()["vector"]
     if not len(chosen):
         return spark.createDataFrame([], schema)
     sizes = chosen.map(len)
@@ -144,14 +217,14 @@ def nearest(
     held = spark.sparkContext.broadcast(index)
 
     def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dims)
+        return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, dims).astype(float)
 
     def deal(batches):
         centres = held.value.centres
         for batch in batches:
             flat = batch.column("vector").flatten().to_numpy().reshape(-1, dims)
-            near = (unit(flat) @ centres.T).argmax(axis=1) if len(flat) else np.zeros(0, int)
-            packed = pa.array([v.tobytes() for v in flat.astype("<f8")], pa.binary())
+            near = (unit(flat.astype(float)) @ centres.T).argmax(axis=1) if len(flat) else np.zeros(0, int)
+            packed = pa.array([v.tobytes() for v in flat.astype(dtype)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), packed, batch.column("asks"), pa.array(near, pa.int32())],
                 ["vec_id", "vector", "asks", "list"],
@@ -164,62 +237,85 @@ def nearest(
     counts = dict(dealt.groupBy("list").agg(F.count("*")).collect())
     lists = len(index.centres)
     rows_in = np.array([counts.get(i, 0) for i in range(lists)])
-    chunks = np.maximum(1, -(-rows_in // chunk_rows))
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part_of = packed_lists(rows_in, max(1, min(chunk_rows, int(rows_in.sum()) // (4 * width))))
+    parts = int(part_of[-1]) + 1
+    chunks = np.maximum(1, -(-np.bincount(part_of, rows_in, parts).astype(int) // chunk_rows))
 
-    def probe(batches):
+    def probed(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, part and list of every probe, sorted."""
         one = held.value
+        order = np.argsort(-(unit(vectors) @ one.centres.T), axis=1, kind="stable")
+        # Lists in order of nearness, until they are enough and hold enough.
+        before = np.cumsum(rows_in[order], axis=1) - rows_in[order]
+        row, place = np.nonzero((np.arange(lists)[None] < one.probes) | (before < 20 * k))
+        found = order[row, place]
+        by = np.lexsort((found, row))
+        return row[by], part_of[found[by]], found[by]
+
+    def askers(batches):
         for batch in batches:
-            order = np.argsort(-(unit(matrix(batch.column("vector"))) @ one.centres.T), axis=1, kind="stable")
-            # Lists in order of nearness, until they are enough and hold enough.
-            before = np.cumsum(rows_in[order], axis=1) - rows_in[order]
-            asked = (np.arange(lists)[None] < one.probes) | (before < 20 * k)
-            row, place = np.nonzero(asked)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("vec_id").take(pa.array(row)), batch.column("vector").take(pa.array(row)),
-                    pa.array(order[row, place].astype(np.int32)),
-                ],
-                ["vec_id", "vector", "list"],
-            )
+            row, part, _ = probed(matrix(batch.column("vector")))
+            first = np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])[: len(row)]
+            held_by, n = np.unique(part[first], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(held_by, pa.int32()), pa.array(n, pa.int64())], ["part", "n"])
+
+    def probe(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                some = batch.slice(start, 64)
+                row, part, found = probed(matrix(some.column("vector")))
+                first = np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])[: len(row)]
+                begin = np.nonzero(first)[0]
+                own = pa.ListArray.from_arrays(
+                    pa.array(np.append(begin, len(row)), pa.int32()), pa.array(found, pa.int32())
+                )
+                for i in range(0, len(begin), BATCH_ROWS):
+                    at = begin[i : i + BATCH_ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            some.column("vec_id").take(pa.array(row[at])), some.column("vector").take(pa.array(row[at])),
+                            pa.array(part[at], pa.int32()), own.slice(i, len(at)),
+                        ],
+                        ["vec_id", "vector", "part", "lists"],
+                    )
 
     asked = dealt.where("asks").select("vec_id", "vector")
-    probing = asked.mapInArrow(probe, "vec_id bigint, vector binary, list int")
-    askers = int(sum(counts.values()) and asked.count())
-    shares = max(1, -(-askers * index.probes // lists // query_rows))
-    chunk_of = F.array(*[F.lit(int(c)) for c in chunks])[F.col("list")]
-    hashed = F.xxhash64("vec_id", F.lit("part"))
-    key = ["list", "chunk", "share"]
-    candidates = dealt.select(
-        "vec_id", "vector", "list", F.pmod(hashed, chunk_of).cast("int").alias("chunk"),
-        F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"),
+    # One number per part.
+    asking = dict(asked.mapInArrow(askers, "part int, n bigint").groupBy("part").agg(F.sum("n")).collect())
+    shares = [max(1, -(-asking.get(i, 0) // query_rows)) for i in range(parts)]
+    probing = asked.mapInArrow(probe, "vec_id bigint, vector binary, part int, lists array<int>")
+
+    def cut_into(numbers: Iterable[int]) -> Column:
+        return F.array(*[F.lit(int(n)) for n in numbers])[F.col("part")]
+
+    # Rows that share an id still part.
+    hashed = F.xxhash64("vec_id", "vector")
+    key = ["part", "chunk", "share"]
+    candidates = dealt.withColumn("part", F.array(*[F.lit(int(p)) for p in part_of])[F.col("list")]).select(
+        "vec_id", "vector", "list", "part", F.pmod(hashed, cut_into(chunks)).cast("int").alias("chunk"),
+        F.explode(F.sequence(F.lit(0), cut_into(shares) - 1)).alias("share"),
     )
     queries = probing.select(
-        "vec_id", "vector", "list", F.explode(F.sequence(F.lit(0), chunk_of - 1)).alias("chunk"),
-        F.pmod(hashed, F.lit(shares)).cast("int").alias("share"),
+        "vec_id", "vector", "lists", "part", F.explode(F.sequence(F.lit(0), cut_into(chunks) - 1)).alias("chunk"),
+        F.pmod(hashed, cut_into(shares)).cast("int").alias("share"),
     )
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
         kinds = [pa.int64(), pa.int64(), pa.float64()]
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names)
-        ask, have = matrix(left.column("vector")), matrix(right.column("vector"))
-        ask_ids, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
-        rotation = held.value.rotation
-        row, at, _ = search_list(
-            (unit(ask) @ rotation).astype(np.float32), ask_ids, (unit(have) @ rotation).astype(np.float32), ids, k
-        )
-        query, vector = ask[row], have[at]
-        lengths = np.sqrt((query * query).sum(axis=1)) * np.sqrt((vector * vector).sum(axis=1))
-        score = (query * vector).sum(axis=1) / lengths
-        order = np.lexsort((ids[at], -score, row))
-        row, at, score = row[order], at[order], score[order]
-        begin = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
-        rank = np.arange(len(row)) - np.maximum.accumulate(np.where(begin, np.arange(len(row)), 0))
-        best = rank < k
-        return pa.Table.from_arrays(
-            [pa.array(ask_ids[row[best]]), pa.array(ids[at[best]]), pa.array(score[best])], names
-        )
+        found = [[np.zeros(0, t.to_pandas_dtype()) for t in kinds]]
+        if left.num_rows and right.num_rows:
+            ask, have = matrix(left.column("vector")), matrix(right.column("vector"))
+            ask_ids, ids = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+            wanted = left.column("lists").combine_chunks()
+            asker, wanted = wanted.value_parent_indices().to_numpy(), wanted.flatten().to_numpy()
+            own = right.column("list").to_numpy()
+            for each in np.unique(own):
+                row, at = asker[wanted == each], np.nonzero(own == each)[0]
+                if len(row):
+                    found.append(best_of_list(ask[row], ask_ids[row], have[at], ids[at], k, held.value.rotation))
+        return pa.Table.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*found), kinds)], names)
 
     found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(
         search, "query_id bigint, vec_id bigint, score double"

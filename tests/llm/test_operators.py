@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -267,6 +268,71 @@ def test_nearest_on_hard_rows(spark):
     assert [r.vec_id for r in found[:10]] == [1, 2, 3, 4, 5, 0, 1, 2, 3, 4] and len(found) == 30
 
 
+def test_nearest_of_a_list_holds_few_pairs_at_once():
+    # Equal vectors: no test rejects a pair. All pairs' vectors together would be 1.8 GB, twice.
+    random_ = np.random.default_rng(5)
+    one = random_.normal(size=(1, 128))
+    queries_, vectors = np.repeat(one, 600, axis=0), np.repeat(one, 3000, axis=0)
+    tracemalloc.start()
+    query, vector, score = nearest.best_of_list(queries_, np.arange(600), vectors, np.arange(3000) + 100, 5, np.eye(128))
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 200 << 20
+    assert query.tolist() == np.repeat(np.arange(600), 5).tolist() and np.allclose(score, 1, atol=1e-12)
+    own = [[v for v in range(100, 107) if v != q][:5] for q in range(600)]
+    assert vector.reshape(-1, 5).tolist() == own
+    spread = random_.normal(size=(700, 8))
+    spread[1] = spread[0] * 1e200
+    for data in (spread[2:], spread):
+        with np.errstate(all="ignore"):
+            score = (data @ data.T) / np.outer(*[np.sqrt((data * data).sum(axis=1))] * 2)
+            found = nearest.best_of_list(data, np.arange(len(data)), data, np.arange(len(data)), 5, np.eye(8))
+        for q in range(2, 60):
+            own = found[1][found[0] == q]
+            score[q, q] = np.nan
+            # Below 9 dimensions there is one block, and its test is exact but for what the first vectors bound.
+            assert np.allclose(score[q][own], np.sort(np.nan_to_num(score[q], nan=-2))[::-1][:5], atol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_nearest_with_a_hot_list_and_a_hot_id(spark, kind):
+    random_ = np.random.default_rng(6)
+    hot = np.ones(8) + random_.normal(size=(900, 8)) / 50
+    vectors = np.concatenate([hot, random_.normal(size=(600, 8))])[random_.permutation(1500)]
+    # Half of the rows share one id, with different vectors.
+    ids = np.where(np.arange(1500) % 2, np.arange(1500), 1500)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(ids, vectors)]
+    table = spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>")
+    asks = F.col("vec_id") % 5 == 0
+
+    def found(**dealt):
+        return {(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in nearest.nearest(table, asks, **dealt).collect()}
+
+    whole = found()
+    assert whole == found(chunk_rows=64, query_rows=16) == found(chunk_rows=1000, query_rows=100)
+    kept = np.array(rows_of(vectors, kind))
+    score = (kept @ kept.T) / np.outer(*[np.sqrt((kept * kept).sum(axis=1))] * 2)
+    by_id = collections.defaultdict(dict)
+    for q, n, v, s in whole:
+        by_id[q][n] = (v, s)
+    assert set(by_id) == set(ids[ids % 5 == 0].tolist())
+    hits = 0
+    for q in by_id:
+        others = score[np.ix_(ids == q, ids != q)].ravel()
+        best = np.sort(others)[::-1][:5]
+        hits += sum(abs(by_id[q][n][1] - best[n - 1]) < 1e-6 for n in by_id[q])
+    assert hits >= 0.9 * len(whole)
+
+
+def rows_of(vectors, kind):
+    return vectors.astype(np.float32).astype(float) if kind == "float" else vectors
+
+
+def test_lists_in_parts():
+    assert nearest.packed_lists(np.array([3, 3, 0, 9, 1, 1]), 6).tolist() == [0, 0, 0, 1, 2, 2]
+    assert nearest.packed_lists(np.array([0, 0]), 1).tolist() == [0, 0]
+
+
 def contamination_by_hand(docs, items):
     words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: words.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
