@@ -103,3 +103,9 @@ def test_one_table_needs_one_type_per_column():
     b = item("E", ("v", "uint256", False))
     with pytest.raises(ConfigError):
         JobConfig(mappings=(ContractMapping((a,)), ContractMapping((b,)))).table_schemas()
+
+
+def test_codec_of_texts():
+    assert JobConfig.parse(RAW).compression == "" and JobConfig.parse({**RAW, "textCompression": "gzip"}).compression == "gzip"
+    with pytest.raises(ConfigError):
+        JobConfig.parse({**RAW, "textCompression": "zip"})

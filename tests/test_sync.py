@@ -2,6 +2,7 @@ import json
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chains import AA, BB, CC, HEADERS, RECEIPTS, TRANSFER, header, item, rows, transfer, tx, word
@@ -10,8 +11,10 @@ from eventloom.plans.documents import read_back, to_documents
 from eventloom.plans.sync import sync
 from eventloom.session import scratch_path
 from eventloom.plans.logs import union_logs
+from eventloom.queries import QUERIES
 from eventloom.sinks.tables import (
     CsvSink,
+    DocumentSink,
     ParquetSink,
     block_boundaries,
     configured_tables,
@@ -136,6 +139,51 @@ def test_csv_from_the_job(spark, chain, tmp_path):
     assert rows(back, "value", "tx_hash") == rows(stored(spark, config, "transfer"), "value", "tx_hash")
 
 
+def test_compressed_texts_hold_the_same_rows(spark, tmp_path):
+    receipts = [tx(b, 0, [transfer(AA, b, 2, 3), transfer(AA, b, 2, 4)], value="9") for b in range(5, 400)]
+    chain = (
+        spark.createDataFrame([header(b) for b in range(5, 400)], HEADERS).drop("logs_bloom").coalesce(1),
+        spark.createDataFrame(receipts, RECEIPTS).coalesce(1),
+    )
+    held, size = {}, {}
+    for codec in ("", "gzip"):
+        config = job(tmp_path / (codec or "plain"), csv=str(tmp_path / (codec or "plain") / "csv"), compression=codec)
+        sync(spark, config, *chain)
+        csv = CsvSink(config.csv).read(spark, "transfer", configured_tables(config)["transfer"])
+        documents = DocumentSink(config.documents.directory, "events").read(spark, "transfer")
+        held[codec] = rows(csv), rows(documents)
+        folder = tmp_path / (codec or "plain")
+        files = [f for part in ("csv/transfer", "docs/events-transfer") for f in (folder / part).rglob("part-*")]
+        assert all(f.name.endswith(".gz") == bool(codec) for f in files)
+        size[codec] = sum(f.stat().st_size for f in files)
+    assert held[""] == held["gzip"] and len(held["gzip"][0]) == len(held["gzip"][1]) == 790
+    assert size["gzip"] * 4 < size[""]
+
+
+def shuffle_bytes(spark):
+    """Size of every shuffle file that Spark still keeps."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = (files.apply(i) for i in range(files.size()))
+    return {f.getPath(): f.length() for f in found if "shuffle_" in f.getName()}
+
+
+def test_a_delivery_leaves_no_shuffles_of_rows(spark, tmp_path):
+    """Orders and line items of its own; neither the chain tables nor the tables delivered leave their shuffles behind."""
+    spark.range(2000).selectExpr(
+        "id o_orderkey", "id % 50 o_custkey", "'O' o_orderstatus", "CAST(id AS DOUBLE) o_totalprice",
+        "date_add(DATE'1995-01-01', CAST(id DIV 100 AS INT)) o_orderdate", "'1-URGENT' o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(8000).selectExpr(
+        "id DIV 4 l_orderkey", "id % 97 l_partkey", "id % 13 l_suppkey", "CAST(id % 4 AS INT) l_linenumber",
+        "CAST(id AS DOUBLE) l_extendedprice", "'A' l_returnflag", "'O' l_linestatus",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    before = shuffle_bytes(spark)
+    found = QUERIES["sync_delivery"](spark, str(tmp_path))
+    left = sum(size for path, size in shuffle_bytes(spark).items() if path not in before)
+    assert left < 64 << 10
+    assert {r["sink"]: r["n"] for r in found.groupBy("sink").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(("csv", "documents", "parquet"), 8000)
+
+
 def test_csv_keeps_types_and_order(spark, tmp_path):
     df = spark.createDataFrame(
         [("7", Decimal(2**70), "", "a,\"b\"\nc", None)], "value string, wide decimal(38,0), empty string, text string, gone string"
