@@ -89,7 +89,7 @@ def search_list(
     dims = vectors.shape[1]
     # Column blocks: all vectors' first dimensions lie together, then the next ones.
     blocks = [np.ascontiguousarray(vectors[:, d : d + BLOCK_DIMS]) for d in range(0, dims, BLOCK_DIMS)]
-    squares = [(b * b).sum(axis=1) for b in blocks]
+    turned = [np.vstack([b.T, np.ones(len(b), np.float32), (b * b).sum(axis=1)]).astype(np.float32) for b in blocks]
     # The k-th distance to a few vectors of the list is the first bound.
     few = min(len(vectors), 4 * k + 1)
     together = int(np.clip(PAIRS // max(1, len(vectors)), 1, 256))
@@ -99,19 +99,19 @@ def search_list(
         first = ((asked[:, None, :] - vectors[None, :few, :]) ** 2).sum(axis=2)
         first[own[:, :few]] = np.inf
         bound = np.sort(first, axis=1)[:, k - 1] if few >= k else np.full(len(asked), np.inf)
-        sums, row, at, done = np.zeros(own.shape, np.float32), None, None, 0
-        sums[own] = np.inf
+        sums, left, row, at, done = np.zeros(own.shape, np.float32), ~own, None, None, 0
         for b, block in enumerate(blocks):
             part = asked[:, done : done + block.shape[1]]
             done += block.shape[1]
             limit = bound * (done / dims) * (1 + SLACK / np.sqrt(done)) ** 2 if done < dims else bound
             limit = limit + ROUNDING
             if row is None:
-                # While most candidates are left, all pairs are summed up as one product of matrices.
-                sums += (part * part).sum(axis=1)[:, None] + squares[b][None] - 2 * part @ block.T
-                sums[sums > limit[:, None]] = np.inf
-                left = np.isfinite(sums)
-                if np.count_nonzero(left) * 16 <= left.size:
+                # While many candidates are left, all pairs are summed up as one product of matrices:
+                # |q|^2 - 2 q v + |v|^2, each term with a column of its own.
+                ones = np.ones((len(part), 1), np.float32)
+                sums += np.hstack([-2 * part, (part * part).sum(axis=1)[:, None], ones]) @ turned[b]
+                left &= sums <= limit[:, None].astype(np.float32)
+                if np.count_nonzero(left) * 32 <= left.size:
                     row, at = np.nonzero(left)
                     sums = sums[row, at]
             else:
@@ -119,9 +119,11 @@ def search_list(
                 keep = sums <= limit[row]
                 row, at, sums = row[keep], at[keep], sums[keep]
         if row is None:
-            row, at = np.nonzero(np.isfinite(sums))
-            sums = sums[row, at]
-        if cut and len(row):
+            if cut and k <= len(vectors):
+                sums[~left] = np.inf
+                left &= sums <= np.partition(sums, k - 1, axis=1)[:, k - 1 : k] + np.float32(4 * ROUNDING)
+            row, at = np.nonzero(left)
+        elif cut and len(row):
             sums, by = sums.astype(float), np.lexsort((sums, row))
             place = _places(row[by])
             farthest = np.full(len(asked), np.inf)
