@@ -27,6 +27,8 @@ SEED = 20240607
 ROUNDING = 1e-5
 #: Pairs of a query and a vector that are looked at together, and numbers of vectors that are multiplied together.
 PAIRS, VALUES = 1 << 18, 1 << 20
+#: Vectors of either side, in double precision, that a group holds.
+GROUP_BYTES = 16 << 20
 #: Rows that a task hands on together.
 BATCH_ROWS = 4096
 
@@ -178,8 +180,8 @@ def packed_lists(rows_in: np.ndarray, most: int) -> np.ndarray:
 
 def nearest(
     embeddings: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    sample_rows: int = 20_000, recall: float = 0.97, most_lists: int = 512, chunk_rows: int = 8192,
-    query_rows: int = 8192,
+    sample_rows: int = 20_000, recall: float = 0.97, most_lists: int = 512,
+    chunk_rows: int | None = None, query_rows: int | None = None,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k nearest other rows.
 
@@ -194,7 +196,8 @@ def nearest(
 
     Small lists are put together into parts, large ones are cut into chunks by a hash; a part's queries
     are cut into shares by their own number. Each chunk meets each share in a group of its own, so
-    neither a list nor its queries have to fit one task. A query travels once to a part.
+    neither a list nor its queries have to fit one task. A query travels once to a part. ``chunk_rows`` and
+    ``query_rows`` bound the two sides; without them, the bytes of their vectors do.
     """
     spark = embeddings.sparkSession
     # Single precision stays as it is: half the bytes to move.
@@ -215,6 +218,8 @@ def nearest(
     dims = int(sizes.mode().iloc[0])
     sample = np.stack(chosen[sizes == dims].to_list()).astype(float)
     rows_ = valid.where(F.size("vector") == dims)
+    together = max(1, GROUP_BYTES // (8 * dims))
+    chunk_rows, query_rows = chunk_rows or together, query_rows or together
     index = fit(sample, rows_.count(), k, recall, most_lists)
     held = spark.sparkContext.broadcast(index)
 
@@ -240,7 +245,7 @@ def nearest(
     lists = len(index.centres)
     rows_in = np.array([counts.get(i, 0) for i in range(lists)])
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part_of = packed_lists(rows_in, max(1, min(chunk_rows, int(rows_in.sum()) // (4 * width))))
+    part_of = packed_lists(rows_in, max(1, min(chunk_rows, int(rows_in.sum()) // (2 * width))))
     parts = int(part_of[-1]) + 1
     chunks = np.maximum(1, -(-np.bincount(part_of, rows_in, parts).astype(int) // chunk_rows))
 
